@@ -14,6 +14,7 @@ from .html_text import extract
 from .packing import pack_documents
 from .quality_rules import quality_report
 from .shared import table
+from .simhash import report
 from .url_filter import filter_urls
 
 
@@ -31,6 +32,10 @@ SELECT * FROM r WHERE rank <= 5
 """
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -100,6 +105,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
+    "op2_simhash": op2_simhash,
     "op3_html_extraction": op3_html_extraction,
     "op5_url_filters": op5_url_filters,
     "op7_best_fit_packing": op7_best_fit_packing,
