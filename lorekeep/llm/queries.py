@@ -12,6 +12,7 @@ from .ball_tree import top_k
 from .byte_bpe import digests
 from .html_text import extract
 from .packing import pack_documents
+from .quality_classifier import quality_scores
 from .quality_rules import quality_report
 from .shared import table
 from .simhash import report
@@ -40,6 +41,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: Fixed values of the contract: rule and verdict.
 URL_RULES = [
     ("com/", "allow"),
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_simhash": op2_simhash,
     "op3_html_extraction": op3_html_extraction,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filters": op5_url_filters,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
