@@ -16,6 +16,7 @@ from .quality_classifier import quality_scores
 from .quality_rules import quality_report
 from .shared import table
 from .simhash import report
+from .toxicity import toxicity_scores
 from .url_filter import filter_urls
 
 
@@ -71,6 +72,10 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s L
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filters": op5_url_filters,
+    "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
