@@ -16,6 +16,7 @@ from .quality_classifier import quality_scores
 from .quality_rules import quality_report
 from .shared import table
 from .simhash import report
+from .substring_dedup import repeated_passages
 from .toxicity import toxicity_scores
 from .url_filter import filter_urls
 
@@ -113,6 +114,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_simhash": op2_simhash,
@@ -123,5 +128,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {"op1_topk_search": OP1_SQL, "op5_url_filters": OP5_SQL, "op8_quality_rules": OP8_SQL}
