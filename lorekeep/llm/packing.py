@@ -15,6 +15,7 @@ table; only the id and text columns are read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,45 +29,70 @@ from .shared import cut
 
 CAPACITY = 4096
 END_ID = 1
-MEMO_CHUNKS = 250_000
+MEMO_CHUNKS = 400_000
 MEMO_CHARS = 64
 ROWS_PER_PARTITION = 20_000
 LAST_ROWS = 20_000
 MAX_ROUNDS = 8
 
-#: Characters that str.split() takes for white space and the tokenizer's \s does not.
-ONLY_PYTHON_SPACE = re.compile("[\x1c-\x1f]")
+#: Texts that Python's split and lower treat otherwise than the tokenizer: other white space, the context-bound final
+#: sigma, the dotted capital I, and the special tokens' strings.
+ODD = re.compile("[\x1c-\x1f\u03a3\u0130]|<\\|(?:start|end)oftext\\|>")
+END_MARK = re.compile(r"(?<=[^\W_])([.,])(?=\s)")
 
 
 class ChunkTokenizer:
-    """Ids of whole texts as little-endian 32-bit bytes. The tokenizer drops white space and never looks across it, so
-    that chunks between white space are encoded one by one and those that recur are remembered, a bounded number."""
+    """Ids of whole texts as little-endian 32-bit bytes.
+
+    The tokenizer lower-cases, drops white space and never looks across it, and parts punctuation from letters: chunks
+    between white space, a full stop or comma at their end apart, are encoded one by one, and those that recur are
+    remembered, a bounded number. Chunks not seen before that are letters only are encoded as one string, whose words
+    end where tokens with the end-of-word mark are.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        vocabulary = self.t.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     def ids(self, text: str) -> bytes:
-        if ONLY_PYTHON_SPACE.search(text):
+        if ODD.search(text):
             return self._raw([text])[0]
-        chunks = text.split()
-        memo, older = self.memo, self.older
-        new = []
-        for c in set(chunks).difference(memo):
-            if c in older:
-                memo[c] = older[c]
-            else:
-                new.append(c)
-        if new:
-            memo.update(zip(new, self._raw(new), strict=True))
-        out = b"".join(map(memo.__getitem__, chunks))
-        if len(memo) > MEMO_CHUNKS:
-            self.memo, self.older = {}, {c: x for c, x in memo.items() if len(c) <= MEMO_CHARS}
+        chunks = END_MARK.sub(r" \1", text.lower()).split()
+        try:
+            out = b"".join([self.memo[c] for c in chunks])
+        except KeyError:
+            self._learn(chunks)
+            out = b"".join([self.memo[c] for c in chunks])
+        if len(self.memo) > MEMO_CHUNKS:
+            self.memo, self.older = {}, {c: x for c, x in self.memo.items() if len(c) <= MEMO_CHARS}
         return out
 
+    def _learn(self, chunks: list[str]) -> None:
+        memo, older, plain, other = self.memo, self.older, [], []
+        for c in set(chunks):
+            if c not in memo:
+                if c in older:
+                    memo[c] = older[c]
+                else:
+                    (plain if c.isalpha() else other).append(c)
+        if plain:
+            ids = np.array(self.t.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) == len(plain):
+                raw = ids.tobytes()
+                memo.update(zip(plain, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+            else:
+                other += plain
+        if other:
+            memo.update(zip(other, self._raw(other), strict=True))
+
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
