@@ -12,6 +12,7 @@ whole; repeated rows are judged alike; an empty table gives an empty table; extr
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -60,13 +61,18 @@ def grams(w: Column) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row, wherever the optimizer moves the expression. A mere column
+    would be put in place of its name when a filter on the result moves below its projection, in lambdas for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def n_repeat_words(g: Column) -> Column:
     """Words in windows that occur twice or more, counted once each; ``g`` is the array of window hashes.
 
     Sorted by hash, equal windows are neighbours. Their positions, sorted again, each cover three words less what the
     next one covers.
     """
-    s = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
 
     def repeated(s: Column) -> Column:
         at = lambda j: F.get(s, j)["g"]
@@ -78,55 +84,52 @@ def n_repeat_words(g: Column) -> Column:
         steps = F.transform(p, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(p, j + 1) - x, F.lit(WINDOW))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    once = F.transform(F.array(s), lambda a: covered_of(a, repeated, covered))
-    return F.when(F.size(F.array_distinct(g)) < F.size(g), F.get(once, F.lit(0))).otherwise(F.lit(0).cast("long"))
-
-
-def covered_of(a: Column, repeated, covered) -> Column:
-    """Bind the sorted array and then the positions to lambda variables, so that neither is computed per element."""
-    return F.get(F.transform(F.array(repeated(a)), covered), F.lit(0))
+    pairs = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+    found = let(pairs, lambda s: let(repeated(s), covered))
+    return F.when(F.size(F.array_distinct(g)) < F.size(g), found).otherwise(F.lit(0).cast("long"))
 
 
 @dataclass
 class Rule:
+    """``rejects`` takes the text and its array of words."""
+
     name: str
-    rejects: Column
+    rejects: Callable[[Column, Column], Column]
+
 
+def per_word(x: Column, w: Column) -> Column:
+    return x / F.greatest(F.size(w), F.lit(1))
 
-def measured(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with the arrays that several measures share, as columns whose names are returned."""
-    names = {k: fresh(docs, f"__{k}") for k in ("w", "lines")}
-    return docs.withColumns({names["w"]: words(docs[text]), names["lines"]: worded_lines(docs[text])}), names
+
+def mean_length(w: Column) -> Column:
+    return per_word(F.length(F.array_join(w, "")), w)
 
 
 def shout_share(w: Column) -> Column:
-    """Share of words with two or more A-Z letters and no a-z letter among words with a letter."""
-    shouted = F.size(F.filter(w, lambda x: x.rlike("^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$")))
-    return shouted / F.greatest(F.size(w), F.lit(1))
+    """Share of words with two or more A-Z letters and no a-z letter."""
+    return per_word(F.size(F.filter(w, lambda x: x.rlike("^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$"))), w)
 
 
-def own_rules(text: Column, w: Column, lines: Column) -> list[Rule]:
-    """The method's rules beside the base ones. None divides by zero; none rejects for language alone."""
-    n = F.greatest(F.size(w), F.lit(1))
-    mean = F.length(F.array_join(w, "")) / n
-    return [
-        Rule("symbols", n_symbols(text) / n > MAX_SYMBOLS_PER_WORD),
-        Rule("word_length", (mean < MIN_MEAN_WORD) | (mean > MAX_MEAN_WORD)),
-        Rule("shouting", shout_share(w) > MAX_SHOUT_SHARE),
-        Rule("dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))) > MAX_DUP_LINE_SHARE * F.size(lines)),
-    ]
+def n_dup_lines(lines: Column) -> Column:
+    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-def base_rules(w: Column) -> list[Rule]:
-    return [
-        Rule("few_words", F.size(w) < MIN_WORDS),
-        Rule("repeats", 100 * n_repeat_words(grams(w)) > MAX_REPEAT_PERCENT * F.size(w)),
-    ]
+#: The method's rules beside the base ones. None divides by zero; none rejects for language alone.
+OWN_RULES = [
+    Rule("symbols", lambda text, w: per_word(n_symbols(text), w) > MAX_SYMBOLS_PER_WORD),
+    Rule("word_length", lambda text, w: let(mean_length(w), lambda m: (m < MIN_MEAN_WORD) | (m > MAX_MEAN_WORD))),
+    Rule("shouting", lambda text, w: shout_share(w) > MAX_SHOUT_SHARE),
+    Rule("dup_lines", lambda text, w: let(worded_lines(text), lambda x: n_dup_lines(x) > MAX_DUP_LINE_SHARE * F.size(x))),
+]
+BASE_RULES = [
+    Rule("few_words", lambda text, w: F.size(w) < MIN_WORDS),
+    Rule("repeats", lambda text, w: 100 * let(grams(w), n_repeat_words) > MAX_REPEAT_PERCENT * F.size(w)),
+]
 
 
-def plan_cascade(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
-    """Order rules by rejected share per second on ``sample``, a few rows that are kept in memory meanwhile."""
-    sample = sample.persist()
+def plan_cascade(docs: DataFrame, text: str, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """Order rules by rejected share per second on a sample of a few rows, which are kept in memory meanwhile."""
+    sample = docs.limit(rows).select(F.col(text).alias("text"), words(F.col(text)).alias("w")).persist()
     try:
         total = sample.count()
         if not total:
@@ -134,27 +137,25 @@ def plan_cascade(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
         gain = {}
         for rule in rules:
             began = time.perf_counter()
-            hit = sample.agg(F.sum(rule.rejects.cast("int"))).first()[0] or 0
+            hit = sample.agg(F.sum(rule.rejects(F.col("text"), F.col("w")).cast("int"))).first()[0] or 0
             gain[rule.name] = (hit / total) / max(time.perf_counter() - began, 1e-4)
     finally:
         sample.unpersist()
     return sorted(rules, key=lambda r: -gain[r.name])
 
 
-def cascade(rules: list[Rule]) -> Column:
+def cascade(rules: list[Rule], text: Column, w: Column) -> Column:
     """The name of the first rule that rejects, null if none does; later rules are not evaluated."""
     out = F.lit(None).cast("string")
     for rule in reversed(rules):
-        out = F.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(rule.name)).otherwise(out)
+        out = F.when(F.coalesce(rule.rejects(text, w), F.lit(False)), F.lit(rule.name)).otherwise(out)
     return out
 
 
 def judge(docs: DataFrame, text: str = "text", out: str = "rejected_by", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with ``out``: the rule that rejects the document, null for documents that stay."""
-    wide, c = measured(docs, text)
-    rules = [*base_rules(wide[c["w"]]), *own_rules(wide[text], wide[c["w"]], wide[c["lines"]])]
-    ordered = plan_cascade(wide.limit(sample_rows), rules)
-    return wide.withColumn(out, cascade(ordered)).drop(*c.values())
+    ordered = plan_cascade(docs, text, [*BASE_RULES, *OWN_RULES], sample_rows)
+    return docs.withColumn(out, let(words(docs[text]), lambda w: cascade(ordered, docs[text], w)))
 
 
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -165,17 +166,20 @@ def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The measures and the verdict of every document."""
-    wide, c = measured(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text")
-    w, lines = wide[c["w"]], wide[c["lines"]]
-    ordered = plan_cascade(wide.limit(SAMPLE_ROWS), own_rules(wide["text"], w, lines))
-    counted = wide.select(
-        "doc_id", c["w"], c["lines"], "text", F.size(w).cast("long").alias("n_words"), grams(w).alias("__g"),
-        F.length(F.array_join(w, "")).cast("long").alias("word_chars"), n_symbols(wide["text"]).alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-    )
-    counted = counted.withColumn("n_repeat_words", n_repeat_words(F.col("__g")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    ordered = plan_cascade(rows, "text", OWN_RULES)
+    t = F.col("text")
+
+    def measure(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            n_symbols(t).alias("n_symbols"), let(worded_lines(t), n_dup_lines).alias("n_dup_lines"),
+            let(grams(w), n_repeat_words).alias("n_repeat_words"), cascade(ordered, t, w).isNull().alias("passed"),
+        )
+
+    m = rows.select("doc_id", let(words(t), measure).alias("m")).select("doc_id", "m.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(ordered).isNull()).alias("kept"),
+    return m.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & F.col("passed")).alias("kept"),
     )
