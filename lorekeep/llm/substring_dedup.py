@@ -184,7 +184,7 @@ def passages(own: np.ndarray, src: np.ndarray, shift: int, t: int, similarity: f
         if run[-1] - run[0] + 1 < t:
             continue
         shift_here = run - there[run]
-        near = run[np.abs(shift_here - np.median(shift_here)) <= SHIFT]
+        near = run[np.abs(shift_here - np.sort(shift_here)[len(run) // 2]) <= SHIFT]  # holds one at least
         a, b = int(near[0]), int(near[-1])
         sa, sb = int(there[near].min()), int(there[near].max())
         mine, theirs = np.unique(own[a : b + 1]), np.unique(src[sa : sb + 1])
@@ -197,8 +197,8 @@ def passages(own: np.ndarray, src: np.ndarray, shift: int, t: int, similarity: f
         if len(gaps) and gaps.max() > 1:  # too unlike as a whole; its parts on both sides of the widest gap may not be
             widest = int(gaps.argmax()) + 1
             todo += [run[:widest], run[widest:]]
-        elif len(near) < len(run):
-            todo.append(near)
+        elif len(near) < len(run):  # parts without a gap that lie on other diagonals
+            todo += np.split(run, np.flatnonzero(np.abs(np.diff(shift_here)) > SHIFT) + 1) if (np.abs(np.diff(shift_here)) > SHIFT).any() else [near]
     return sorted(out)
 
 
