@@ -29,7 +29,7 @@ from .shared import cut
 
 CAPACITY = 4096
 END_ID = 1
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 700_000
 MEMO_CHARS = 64
 ROWS_PER_PARTITION = 20_000
 LAST_ROWS = 20_000
@@ -38,15 +38,14 @@ MAX_ROUNDS = 8
 #: Texts that Python's split and lower treat otherwise than the tokenizer: other white space, the context-bound final
 #: sigma, the dotted capital I, and the special tokens' strings.
 ODD = re.compile("[\x1c-\x1f\u03a3\u0130]|<\\|(?:start|end)oftext\\|>")
-END_MARK = re.compile(r"(?<=[^\W_])([.,])(?=\s)")
 
 
 class ChunkTokenizer:
     """Ids of whole texts as little-endian 32-bit bytes.
 
-    The tokenizer lower-cases, drops white space and never looks across it, and parts punctuation from letters: chunks
-    between white space, a full stop or comma at their end apart, are encoded one by one, and those that recur are
-    remembered, a bounded number. Chunks not seen before that are letters only are encoded as one string, whose words
+    The tokenizer lower-cases, drops white space and never looks across it: chunks between white space are encoded one by
+    one, and those that recur are remembered, a bounded number. It parts punctuation from letters, so that a word with a
+    full stop or comma behind it has the ids of both. Chunks not seen before that are letters only are encoded as one string, whose words
     end where tokens with the end-of-word mark are.
     """
 
@@ -55,6 +54,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
+        self.mark = {m: self._raw([m])[0] for m in ".,"}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         vocabulary = self.t.get_vocab()
@@ -64,24 +64,35 @@ class ChunkTokenizer:
     def ids(self, text: str) -> bytes:
         if ODD.search(text):
             return self._raw([text])[0]
-        chunks = END_MARK.sub(r" \1", text.lower()).split()
-        try:
-            out = b"".join([self.memo[c] for c in chunks])
-        except KeyError:
-            self._learn(chunks)
-            out = b"".join([self.memo[c] for c in chunks])
+        chunks = text.lower().split()
+        new = set(chunks).difference(self.memo)
+        if new:
+            self._learn(new)
+        out = b"".join(map(self.memo.__getitem__, chunks))
         if len(self.memo) > MEMO_CHUNKS:
             self.memo, self.older = {}, {c: x for c, x in self.memo.items() if len(c) <= MEMO_CHARS}
         return out
 
-    def _learn(self, chunks: list[str]) -> None:
-        memo, older, plain, other = self.memo, self.older, [], []
-        for c in set(chunks):
-            if c not in memo:
-                if c in older:
-                    memo[c] = older[c]
-                else:
-                    (plain if c.isalpha() else other).append(c)
+    def _learn(self, new: set[str]) -> None:
+        memo, older = self.memo, self.older
+        plain, other, marked = [], [], []
+        for c in new:
+            known = older.get(c)
+            if known is not None:
+                memo[c] = known
+            elif c.isalpha():
+                plain.append(c)
+            elif c[-1] in ".," and (stem := c[:-1]).isalpha():
+                marked.append(c)
+                if stem not in memo and stem not in new:
+                    known = older.get(stem)
+                    if known is not None:
+                        memo[stem] = known
+                    else:
+                        memo[stem] = b""  # so that it is asked for once
+                        plain.append(stem)
+            else:
+                other.append(c)
         if plain:
             ids = np.array(self.t.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
             ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
@@ -92,6 +103,8 @@ class ChunkTokenizer:
                 other += plain
         if other:
             memo.update(zip(other, self._raw(other), strict=True))
+        for c in marked:
+            memo[c] = memo[c[:-1]] + self.mark[c[-1]]
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
