@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+FREE_S = 1.0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,6 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_and_free(df: DataFrame) -> DataFrame:
+    """``cut``, and then let go of the shuffle files that made ``df``: Spark deletes those whose plans nobody refers to
+    when the driver collects its garbage, which it may not do by itself for long."""
+    out = cut(df)
+    del df
+    for _ in range(2):  # what the first round finalises, the second collects
+        gc.collect()
+        out.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(FREE_S)
+    return out
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have; callers' extra columns never clash with ours."""
     have = {c.lower() for c in df.columns}

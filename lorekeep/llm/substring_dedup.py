@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, fresh
+from .shared import cut_and_free, fresh
 from .textvec import Words, batched, mix, shingles
 
 SHINGLE = 5
@@ -235,10 +235,10 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     if not twice.isEmpty():
         some = rows.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
         rows = rows.join(twice, "doc_id", "left_anti").unionByName(some)
-    pairs = cut(interval_pairs(links(windows(rows, t, functions)), t, enough))
+    pairs = cut_and_free(interval_pairs(links(windows(rows, t, functions)), t, enough))
     span = lambda id_, a, b: pairs.select(F.col(id_).alias("doc_id"), F.explode(F.sequence(F.floor(F.col(a) / CELL).cast("int"), F.floor(F.col(b) / CELL).cast("int"))).alias("cell"))
     wanted = span("doc_id", "a", "b").union(span("src_id", "sa", "sb")).groupBy("doc_id").agg(F.collect_set("cell").alias("cells"))
-    out = verified(pairs, cells(rows, wanted), t, similarity)
+    out = verified(pairs, cut_and_free(cells(rows, wanted)), t, similarity)
     return out.select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), "source_id", "source_start", "source_stop", "similarity").distinct()
 
 
