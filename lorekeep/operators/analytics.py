@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.text import display_id
 from lorekeep.operators.graph import degrees
+from lorekeep.operators.store import settle
 
 TOP = 10
 ROUNDS = 12
@@ -149,8 +150,7 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         member = member.join(label.withColumnRenamed("id", "group"), "group", "left").select("id", F.coalesce("to", "group").alias("group"))
         ends = weighted.join(label.select(F.col("id").alias("a"), F.col("to").alias("ta")), "a").join(label.select(F.col("id").alias("b"), F.col("to").alias("tb")), "b")
         weighted = ends.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"))
-        if spark.sparkContext.getCheckpointDir():
-            weighted, member = weighted.checkpoint(), member.checkpoint()
+        weighted, member = settle(weighted), settle(member)
     local = weighted.where("a <> b OR w > 0").limit(LOCAL_EDGES + 1).toPandas()
     if len(local) <= LOCAL_EDGES and len(local):
         names = sorted(set(local["a"]) | set(local["b"]))

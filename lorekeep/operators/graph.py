@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import display_id
+from lorekeep.operators.store import settle
 
 MAX_DEPTH = 6
 
@@ -94,6 +95,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = MAX_
         # the order of the frontier is by the steps taken: \x01 and \x02 come before any character of an id
         ahead = ahead.select("to_node", "kind", F.concat("order", F.lit("\x01"), "to_node", F.lit("\x02"), "kind").alias("order"), F.concat("steps", F.array(step)).alias("steps"))
         front = ahead.withColumn("nth", F.row_number().over(one)).where("nth = 1").select(F.col("to_node").alias("id"), "order", "steps")
+        front = settle(front)
         found = front.where(F.col("id") == goal)
         if not found.isEmpty():
             return found.select(F.posexplode("steps").alias("at", "s")).select((F.col("at") + 1).cast("int").alias("step"), "s.*")

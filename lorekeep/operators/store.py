@@ -7,6 +7,7 @@ pointer, so that readers see the old one or the new one.
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,15 @@ from pyspark.sql import functions as F
 from lorekeep.functions.text import content_hash
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` computed once and checkpointed: later plans begin there. The folder is the one that the cluster names in
+    spark.checkpoint.dir; one of our own only if it names none."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-ckpt-"))
+    return df.checkpoint()
+
+
 def latest(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The last row of each key. A maximum of structs aggregates before its shuffle; a hot key costs one row a task."""
     rest = [c for c in rows.columns if c not in keys]
