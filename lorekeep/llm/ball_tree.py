@@ -121,8 +121,7 @@ def search(tree: dict[str, np.ndarray], qids: np.ndarray, q: np.ndarray, k: int,
             score, all_ids = np.take_along_axis(score, keep, 1), np.take_along_axis(all_ids, keep, 1)
         by_id = np.argsort(all_ids, axis=1, kind="stable")
         score, all_ids = np.take_along_axis(score, by_id, 1), np.take_along_axis(all_ids, by_id, 1)
-        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        top = np.where(np.take_along_axis(score, top, 1) == NONE, top, top)
+        top = np.argsort(~score, axis=1, kind="stable")[:, :k]  # the complement turns the order round without overflow
         best[who], best_ids[who] = np.take_along_axis(score, top, 1), np.take_along_axis(all_ids, top, 1)
     return best, best_ids
 

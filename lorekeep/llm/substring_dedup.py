@@ -4,7 +4,9 @@ A text is a sequence of five-word shingles. Under one hash function, the Cartesi
 all of the text's subsequences by the place of their minimum: the node at place c stands for every subsequence that lies
 in its subtree's interval [l, r] and holds c, all of which have c's hash as signature. Only nodes whose interval has at
 least the length of a passage matter. They are few (about 2 n / t of n places), and are found without the rest of the
-tree: the minimum's place moves to the right only as a frame of t shingles does, and each run of one place is such a node.
+tree: as a frame of t shingles moves to the right, so does the minimum's place, and each run of one place is such a node.
+Its window is the union of these frames: the node's interval as far as it lies within t - 1 places of c. What lies
+further away is in the windows of other nodes.
 
 Windows of equal signature are sorted together, and each is linked with the first of them and with the one before it, so
 that links grow with the windows and not with the square of a group. Links of two documents along one diagonal join into
