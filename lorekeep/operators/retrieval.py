@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import content_hash, metadata_boost, words
+from lorekeep.functions.text import content_hash, metadata_boost, word_count
 
 #: What the reference ranks with.
 RRF_K = 60
@@ -41,18 +41,14 @@ def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "l2", key:
     return near.orderBy("distance", key).limit(k)
 
 
-def _equals(word: str):
-    return lambda x: x == F.lit(word)
-
-
 def bm25(docs: DataFrame, query: str, k: int, key: str = "chunk_id", text: str = "content") -> DataFrame:
     """(key, score) of the k best. One pass makes lengths and the query words' counts; the corpus figures are one row."""
     asked = sorted({w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()})
     if not asked:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    tokens = F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda x: x != "")
-    tf = [F.size(F.filter("tokens", _equals(w))).alias(f"tf{i}") for i, w in enumerate(asked)]
-    counted = docs.select(key, tokens.alias("tokens")).select(key, F.size("tokens").alias("length"), *tf)
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    tf = [F.regexp_count("low", F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])")).alias(f"tf{i}") for i, w in enumerate(asked)]
+    counted = docs.select(key, low.alias("low")).select(key, F.regexp_count("low", F.lit("[a-z0-9]+")).alias("length"), *tf)
     # the corpus figures are a single row, which a scalar subquery would be in SQL
     figures = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(asked))))
     hit = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(asked)))).join(F.broadcast(figures))
@@ -94,7 +90,7 @@ def fold_duplicates(rows: DataFrame, path: str = "file_path", content: str = "co
 
 def approximate_tokens(tokens: Column, content: Column) -> Column:
     """The stored count, or words by 0.75 where it is zero."""
-    return F.when(tokens > 0, tokens.cast("long")).otherwise(F.floor(F.size(words(content)) / F.lit(0.75)).cast("long"))
+    return F.when(tokens > 0, tokens.cast("long")).otherwise(F.floor(word_count(content) / F.lit(0.75)).cast("long"))
 
 
 def token_budget(rows: DataFrame, budget: int, tokens: str = "token_count", content: str = "content") -> DataFrame:

@@ -39,4 +39,4 @@ def entries(questions: DataFrame, embedder: Embedder, threshold: float = THRESHO
 
 def as_markdown(rows: DataFrame) -> DataFrame:
     """(file_name, content)."""
-    return rows.select(F.concat("slug", F.lit(".md")).alias("file_name"), F.concat(F.lit("---\ntitle: "), F.concat(F.lit('"'), F.regexp_replace("question", '"', '\\\\\\\\"'), F.lit('"')), F.lit("\ntype: faq\n---\n\n# "), "question", F.lit("\n\n"), "answer", F.lit("\n")).alias("content"))
+    return rows.select(F.concat("slug", F.lit(".md")).alias("file_name"), F.concat(F.lit("---\ntitle: "), F.concat(F.lit('"'), F.regexp_replace("question", '"', '\\\\"'), F.lit('"')), F.lit("\ntype: faq\n---\n\n# "), "question", F.lit("\n\n"), "answer", F.lit("\n")).alias("content"))

@@ -174,7 +174,7 @@ def chunk_lines_of(rows: DataFrame, most: int = 512) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
 
     def step(acc, line):
-        n = F.size(T.words(line)).cast("long")
+        n = T.word_count(line).cast("long")
         full = (F.floor((acc["n"] + n) / 0.75) > most) & (acc["now"] != "")
         return F.struct(
             F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import fnmatch
+import pathlib
 import posixpath
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,10 +144,50 @@ def default_registry() -> Registry:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of all files under a folder; the path is relative to it."""
+    """(path, content, length) of all files under a folder; the path is relative to it. Spark's own listing leaves out
+    names that begin with a dot or an underscore; those come from ``skipped_files``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1]
-    return files.select(F.regexp_replace(F.col("path"), "^.*?" + re.escape(base) + "/", "").alias("path"), "content", "length")
+    rows = files.select(F.regexp_replace(F.col("path"), "^.*?" + re.escape(base) + "/", "").alias("path"), "content", "length")
+    return rows.unionByName(skipped_files(spark, root))
+
+
+def skipped_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files with a dot or an underscore before a part of their path, except in folders that are never read. The
+    driver lists their names; executors read local ones, the driver those of other file systems."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, todo = [], [(top, "", False)]
+    while todo:
+        folder, rel, hidden = todo.pop()
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            path, odd = f"{rel}{name}", hidden or name[0] in "._"
+            if status.isDirectory():
+                if name not in HARD_EXCLUDES and name not in DEFAULT_EXCLUDES:
+                    todo.append((status.getPath(), f"{path}/", odd))
+            elif odd:
+                found.append((path, status.getPath()))
+    schema = "path string, content binary, length long"
+    if fs.getScheme() == "file":
+        names = spark.createDataFrame([(p, full.toUri().getPath()) for p, full in found], "path string, full string")
+
+        def read(batches):
+            for b in batches:
+                data = [pathlib.Path(x).read_bytes() for x in b["full"]]
+                yield pd.DataFrame({"path": b["path"], "content": data, "length": [len(x) for x in data]})
+
+        return names.mapInPandas(read, schema)
+    rows = []
+    for path, full in found:
+        stream = fs.open(full)
+        try:
+            data = bytes(stream.readAllBytes())
+        finally:
+            stream.close()
+        rows.append((path, data, len(data)))
+    return spark.createDataFrame(rows, schema)
 
 
 def walk(files: DataFrame, registry: Registry, excludes: Iterable[str] = (), ignore: IgnoreRules | None = None, roots: Iterable[str] = (), skip_handlers: Iterable[str] = ()) -> DataFrame:
