@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_PIECES = 250_000
+MEMO_PIECES = 600_000
 MEMO_CHARS = 64
 MEMO_PAIRS = 500_000
 
