@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Fixed value: Unicode white space beyond ASCII.
 SPACES = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
+ODD_SPACES = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{3000}]"
+
 #: Label and risk names by what is written in bold.
 LABELS = {
     "warn": "warning",
@@ -99,14 +101,16 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """The number of ``words``, without making them."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACES}]+"))
+    """The number of ``words``. Texts without a character where Unicode's own spaces are take the quick way."""
+    t = F.coalesce(text, F.lit(""))
+    quick = F.size(F.array_remove(F.split(t, r"\s+"), ""))
+    return F.when(t.rlike(ODD_SPACES), F.regexp_count(t, F.lit(f"[^{SPACES}]+"))).otherwise(quick)
 
 
 def token_estimate(text: Column) -> Column:
     """Words by 0.75, cut to a whole number; one for a text that has no full token."""
-    n = F.floor(word_count(text) / F.lit(0.75)).cast("long")
-    return F.when((n == 0) & (F.octet_length(F.coalesce(text, F.lit(""))) > 0), F.lit(1).cast("long")).otherwise(n)
+    some = (F.octet_length(F.coalesce(text, F.lit(""))) > 0).cast("long")
+    return F.greatest(F.floor(word_count(text) / F.lit(0.75)).cast("long"), some)
 
 
 def content_hash(text: Column) -> Column:
