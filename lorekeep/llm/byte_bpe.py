@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import ahocorasick
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -43,10 +44,15 @@ class Vocabulary:
         self.longest = max(map(len, ranks), default=1)
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.unreachable: set[int] = set()
-        self.apart_memo: dict[tuple[int, int], bool] = {}
+        self.apart_memo: dict[int, bool] = {}
         for i in sorted(self.bytes_of):
             self._split(i)
         self.reachable = {b: i for b, i in ranks.items() if i not in self.unreachable}
+        self.length_bits = self.longest.bit_length()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for b, i in self.reachable.items():
+            self.automaton.add_word(b.decode("latin-1"), i << self.length_bits | len(b))
+        self.automaton.make_automaton()
 
     def _split(self, i: int) -> None:
         """Merge the token's bytes with lower ranks only; two parts must be left, or merges never make it."""
@@ -67,7 +73,7 @@ class Vocabulary:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether merges of both tokens' bytes leave the boundary between them."""
-        key = (left, right)
+        key = left << 32 | right
         if key not in self.apart_memo:
             if len(self.apart_memo) >= MEMO_PAIRS:
                 self.apart_memo.clear()
@@ -146,20 +152,30 @@ def ending(v: Vocabulary, data: bytes, last: list[int], base: int) -> int:
             if not base + start:
                 return t
             before = last[base + start - 1]
-            ok = memo.get((before, t))
+            ok = memo.get(before << 32 | t)
             if ok or ok is None and v.apart(before, t):
                 return t
     raise ValueError("a byte is not in the vocabulary")
 
 
 def encode_piece(v: Vocabulary, piece: bytes) -> tuple[int, ...]:
+    """The same table as ``Encoder`` has, filled in one pass of an automaton that tells all tokens which end at each byte."""
     whole = v.ranks.get(piece)
     if whole is not None:
         return (whole,)
-    last: list[int] = []
-    for end in range(1, len(piece) + 1):
-        base = max(0, end - v.longest)
-        last.append(ending(v, piece[base:end], last, base))
+    last = [-1] * len(piece)
+    memo, shift, low = v.apart_memo.get, v.length_bits, (1 << v.length_bits) - 1
+    for end, packed in v.automaton.iter(piece.decode("latin-1")):
+        if last[end] >= 0:
+            continue
+        start, t = end - (packed & low), packed >> shift
+        if start < 0:
+            last[end] = t
+            continue
+        before = last[start]
+        ok = memo(before << 32 | t)
+        if ok or ok is None and v.apart(before, t):
+            last[end] = t
     out, end = [], len(piece)
     while end:
         out.append(last[end - 1])
