@@ -280,11 +280,12 @@ def dedup_by_hash(spark, d):
     return groups.select(F.get("m", F.lit(0))["doc_id"].alias("doc_id"), F.array_join(F.transform(F.slice("m", 2, F.size("m")), lambda x: x["path"]), ",").alias("duplicates"))
 
 
-@query(f"""WITH r AS (SELECT doc_id, trunc(len({SQL_WORDS.format('text')}) / 0.75) AS tokens FROM documents ORDER BY doc_id LIMIT 100),
-s AS (SELECT doc_id, sum(tokens) OVER (ORDER BY doc_id) AS running FROM r) SELECT doc_id FROM s WHERE running <= 20000""")
+@query(f"""WITH r AS (SELECT k.chunk_id, row_number() OVER (ORDER BY score DESC, k.chunk_id) AS rank, trunc(len({SQL_WORDS.format('text')}) / 0.75) AS tokens FROM {bm25_sql(['thing', 'this', 'tion'], 'documents', 'doc_id', 'text', 30)} k JOIN documents ON doc_id = k.chunk_id),
+s AS (SELECT chunk_id, sum(tokens) OVER (ORDER BY rank) AS running FROM r) SELECT chunk_id FROM s WHERE running <= 4000""")
 def token_budget(spark, d):
-    rows = t(spark, d, "documents").orderBy("doc_id").limit(100).select("doc_id", F.col("text").alias("content"), F.lit(0).alias("token_count"))
-    return S.token_budget(S.ranked(rows, "doc_id"), 20000).select("doc_id")
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.lit(0).alias("token_count"))
+    best = S.ranked(S.bm25(docs, "this thing tion", 30), F.desc("score"), "chunk_id")
+    return S.token_budget(best.join(docs, "chunk_id"), 4000).select("chunk_id")
 
 
 @query("WITH RECURSIVE " + RRF_SQL.removeprefix("WITH ") + ", " + BOOST_SQL + """, f AS (SELECT chunk_id, round(0.9::DOUBLE * rrf + 0.1::DOUBLE * boost, 9) AS final FROM r JOIN boost USING (chunk_id)),
@@ -554,7 +555,7 @@ def type_variables(spark, d):
 
 @query()
 def louvain(spark, d):
-    return A.communities(star_nodes(spark, d).where("kind <> 'order'"), star_edges(spark, d).where("kind <> 'ordered_by'"))
+    return A.communities(star_nodes(spark, d), star_edges(spark, d))
 
 
 @query()
