@@ -81,6 +81,8 @@ def compact_windows(g: np.ndarray, starts: np.ndarray, t: int, seed: int) -> tup
     frame = starts[frame_text] + np.arange(len(frame_text)) - np.repeat(offset[:-1], n[usable] - t + 1)
     place = place[frame]
     new = np.r_[True, (place[1:] != place[:-1]) | (frame_text[1:] != frame_text[:-1])]
+    # equal minima with nothing smaller between are one node: a stretch that repeats one shingle has one window
+    new[1:] &= (h[place[1:]] != h[place[:-1]]) | (frame_text[1:] != frame_text[:-1])
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(place)] - 1
     text, c = frame_text[first], place[first]
