@@ -186,7 +186,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
     A tree travels to each block of queries in one row of a few MB, so that the shuffle holds the rows once for each
     block of ``block_rows`` queries.
     """
-    used = integers(rows.withColumns({}), key, vector)
+    used = integers(rows, key, vector)
     asked = integers(rows.where(is_query), key, vector)
     n, n_asked = used.count(), asked.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_asked // block_rows))

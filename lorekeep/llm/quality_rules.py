@@ -33,7 +33,8 @@ MAX_DUP_LINE_SHARE = 0.5
 MIN_MEAN_WORD = 1.5
 MAX_MEAN_WORD = 25.0
 MAX_SHOUT_SHARE = 0.5
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 400
+SAMPLE_CHARS = 50_000
 
 
 def words(text: Column) -> Column:
@@ -128,8 +129,11 @@ BASE_RULES = [
 
 
 def plan_cascade(docs: DataFrame, text: str, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Order rules by rejected share per second on a sample of a few rows, which are kept in memory meanwhile."""
-    sample = docs.limit(rows).select(F.col(text).alias("text"), words(F.col(text)).alias("w")).persist()
+    """Order rules by rejected share per second on a sample: the first few rows of moderate length, which ``take`` reads
+    from as few partitions as it needs, and which are kept in memory meanwhile."""
+    taken = docs.select(F.col(text).alias("text")).where(F.length("text") <= SAMPLE_CHARS).take(rows)
+    sample = docs.sparkSession.createDataFrame([(r[0],) for r in taken], "text string")
+    sample = sample.select("text", words(F.col("text")).alias("w")).persist()
     try:
         total = sample.count()
         if not total:
