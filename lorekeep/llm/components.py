@@ -38,6 +38,8 @@ def components(links: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components did not settle in {MAX_STEPS} steps")
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
