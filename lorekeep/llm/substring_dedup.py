@@ -9,10 +9,12 @@ Its window is the union of these frames: the node's interval as far as it lies w
 further away is in the windows of other nodes.
 
 Windows of equal signature are sorted together, and each is linked with the first of them and with the one before it, so
-that links grow with the windows and not with the square of a group. Links of two documents along one diagonal join into
-an interval pair, kept if enough hash functions agree. Pairs are then verified on the shingles themselves: texts of the
-documents concerned are cut into cells of shingles, each cell is sent to the pairs that need it, and the places of the
-one interval whose shingles the other has make up passages, which need a length of ``t`` and a similarity of 0.8.
+that links grow with the windows and not with the square of a group. Frames of t shingles in windows whose signature
+repeats are linked with the first equal frame too, so that equal passages are linked whatever stands between them. Links
+of two documents along one diagonal join into an interval pair, kept if enough hash functions agree. Pairs are then
+verified on the shingles themselves: texts of the documents concerned are cut into cells of shingles, each cell is sent to
+the pairs that need it, and the places of the one interval whose shingles the other has make up passages, which need a
+length of ``t`` and a similarity of 0.8.
 
 The result has a row for each passage that repeats one of an earlier document (by id): ``doc_id``, ``start`` and ``stop``
 (words, stop excluded), ``n_words``, the same of the source, and ``similarity``.
@@ -122,6 +124,61 @@ def links(found: DataFrame) -> DataFrame:
     return both.select("f", "doc_id", "place", F.col("src.doc_id").alias("src_id"), F.col("src.place").alias("src_place")).where("doc_id <> src_id")
 
 
+def frame_hashes(g: np.ndarray, t: int) -> np.ndarray:
+    """A hash of each t neighbouring shingles, in order."""
+    h, width = g, 1
+    while 2 * width <= t:
+        h = mix(h[:-width] ^ mix(h[width:] + np.uint64(width)))
+        width *= 2
+    return h if width == t else mix(h[: len(h) - (t - width)] ^ mix(h[t - width :] + np.uint64(t)))
+
+
+def equal_links(docs: DataFrame, t: int, functions: int) -> DataFrame:
+    """Rows like those of ``links``: each frame of t shingles with the first equal one, so that what stands between two
+    equal passages does not matter. Only windows whose signature under the first function occurs again can hold such frames; a
+    signature's only two windows are compared at once. Equal frames agree under all functions."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids = b["doc_id"].to_numpy()
+            texts = [(s or "").encode("utf-8", "surrogatepass") for s in b["text"]]
+            for part in batched(list(enumerate(texts))):
+                at = ids[[i for i, _ in part]]
+                g, starts = text_shingles([s for _, s in part])
+                text, left, _, right, sig = compact_windows(g, starts, t, 0)
+                if len(text):
+                    h, begin = frame_hashes(g, t), starts[text]
+                    own = [h[a:e].tobytes() for a, e in zip(begin + left, begin + right - t + 2, strict=True)]
+                    yield pd.DataFrame({"sig": sig.view(np.int64), "doc_id": at[text], "left": left, "frames": own})
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            h = np.frombuffer(b"".join(b["frames"]), dtype=np.int64)
+            n = b["frames"].map(len).to_numpy(dtype=np.int64) // 8
+            start = np.arange(len(h)) + np.repeat(b["left"].to_numpy(dtype=np.int64) - np.cumsum(n) + n, n)
+            yield pd.DataFrame({"frame": h, "doc_id": np.repeat(b["doc_id"].to_numpy(dtype=np.int64), n), "place": (start << 40) | (t - 1)})
+
+    def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                own, src = (np.frombuffer(x, dtype=np.int64) for x in (r.frames, r.src_frames))
+                _, i, j = np.intersect1d(own, src, return_indices=True)
+                rows += [(r.doc_id, ((r.left + x) << 40) | (t - 1), r.src_id, ((r.src_left + y) << 40) | (t - 1)) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            yield pd.DataFrame(rows, columns=["doc_id", "place", "src_id", "src_place"])
+
+    link = "doc_id long, place long, src_id long, src_place long"
+    before = F.lag(F.struct("doc_id", "left", "frames")).over(Window.partitionBy("sig").orderBy("doc_id", "left")).alias("src")
+    found = docs.mapInPandas(run, "sig long, doc_id long, left long, frames binary").select("*", before).withColumn("n", F.count("*").over(Window.partitionBy("sig")))
+    found = cut_and_free(found.where("n > 2 OR n = 2 AND doc_id <> src.doc_id").select("doc_id", "left", "frames", F.when(F.col("n") == 2, F.col("src")).alias("src")))
+    two = found.where("src IS NOT NULL").select("doc_id", "left", "frames", F.col("src.doc_id").alias("src_id"), F.col("src.left").alias("src_left"), F.col("src.frames").alias("src_frames")).mapInPandas(both, link)
+    frames = found.where("src IS NULL").select("doc_id", "left", "frames").mapInPandas(each, "frame long, doc_id long, place long")
+    order = Window.partitionBy("frame").orderBy("doc_id", "place")
+    starred = frames.withColumn("one", F.first(F.struct("doc_id", "place")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    more = starred.select("doc_id", "place", F.col("one.doc_id").alias("src_id"), F.col("one.place").alias("src_place")).where("doc_id <> src_id")
+    return two.unionByName(more).select(F.lit((1 << functions) - 1).alias("f"), "doc_id", "place", "src_id", "src_place")
+
+
 def interval_pairs(linked: DataFrame, t: int, enough: int) -> DataFrame:
     """(pair, doc_id, a, b, src_id, d, sa, sb): intervals of shingles, both ends included, that links along a diagonal join."""
     c, sc = F.shiftright("place", 40), F.shiftright("src_place", 40)
@@ -239,7 +296,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     if not twice.isEmpty():
         some = rows.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
         rows = rows.join(twice, "doc_id", "left_anti").unionByName(some)
-    pairs = cut_and_free(interval_pairs(links(windows(rows, t, functions)), t, enough))
+    linked = links(windows(rows, t, functions)).unionByName(equal_links(rows, t, functions))
+    pairs = cut_and_free(interval_pairs(linked, t, enough))
     span = lambda id_, a, b: pairs.select(F.col(id_).alias("doc_id"), F.explode(F.sequence(F.floor(F.col(a) / CELL).cast("int"), F.floor(F.col(b) / CELL).cast("int"))).alias("cell"))
     wanted = span("doc_id", "a", "b").union(span("src_id", "sa", "sb")).groupBy("doc_id").agg(F.collect_set("cell").alias("cells"))
     out = verified(pairs, cut_and_free(cells(rows, wanted)), t, similarity)

@@ -187,6 +187,18 @@ def test_planted_passages_are_found_and_clean_documents_are_not(spark):
         assert any(r["doc_id"] == i and r["start"] <= where and r["stop"] >= where + 60 for r in found)
 
 
+def test_equal_passages_are_found_among_interleaved_versions(spark):
+    rng = random.Random(7)
+    rows = []
+    for group in range(6):
+        head, tail = passage(rng, 22), passage(rng, 22)
+        versions = [f"{head} {passage(rng, 6)} {tail}" for _ in range(8)]
+        for k, text in enumerate(versions * 2):
+            rows.append((100 * group + k, f"{passage(rng, 60)}\n{text}\n{passage(rng, 60)}"))
+    found = {(r["doc_id"], r["source_id"]) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {(100 * g + k + 8, 100 * g + k) for g in range(6) for k in range(8)} <= found
+
+
 def test_cut_passages_leaves_the_first_and_counts_characters(spark):
     rng = random.Random(4)
     shared = passage(rng, 70)
