@@ -43,7 +43,7 @@ ENOUGH = 2
 SIMILARITY = 0.8
 CELL = 64
 SLACK = 8
-LONGEST_BREAK = 12
+BREAK_SHARE = 0.25  # of a passage: so many words put in leave a similarity of 0.8
 SHIFT = 64
 
 
@@ -193,10 +193,18 @@ def interval_pairs(linked: DataFrame, t: int, enough: int) -> DataFrame:
     lane = Window.partitionBy(*pair, "lane").orderBy("a", "b", "d", "f")
     apart = (F.col("a") > F.max("b").over(lane.rowsBetween(Window.unboundedPreceding, -1)) + 1).cast("int")
     rows = rows.withColumn("run", F.sum(F.coalesce(apart, F.lit(0))).over(lane.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = rows.groupBy(*pair, "lane", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("d").alias("low"), F.max("d").alias("high"), F.bit_count(F.bit_or("f")).alias("n"))
+    joined = rows.groupBy(*pair, "lane", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("d").alias("low"), F.max("d").alias("high"), F.bit_or("f").alias("f"))
+    # runs whose distance and whose shift the words put in or left out of one passage can explain are one interval
+    whole = F.greatest(F.sum(F.col("b") - F.col("a") + 1).over(Window.partitionBy(*pair)) * BREAK_SHARE, F.lit(SLACK))
+    by_place = Window.partitionBy(*pair).orderBy("a", "b", "low")
+    off = F.greatest(F.col("low") - F.lag("high").over(by_place), F.lag("low").over(by_place) - F.col("high"))
+    far = (F.col("a") - F.max("b").over(by_place.rowsBetween(Window.unboundedPreceding, -1)) - 1 > whole) | (off > whole)
+    joined = joined.withColumn("far", F.coalesce(far, F.lit(False)).cast("int"))
+    joined = joined.withColumn("lane", F.sum("far").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = joined.groupBy(*pair, "lane").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_count(F.bit_or("f")).alias("n"))
     a, b = F.greatest(F.col("a") - SLACK, F.lit(0)), F.col("b") + SLACK
     return joined.where(F.col("n") >= enough).select(
-        F.xxhash64("doc_id", "src_id", "lane", "run").alias("pair"), "doc_id", a.alias("a"), b.alias("b"), "src_id",
+        F.xxhash64("doc_id", "src_id", "lane").alias("pair"), "doc_id", a.alias("a"), b.alias("b"), "src_id",
         F.col("low").alias("d"), F.greatest(a - F.col("high"), F.lit(0)).alias("sa"), F.greatest(b - F.col("low"), F.lit(0)).alias("sb"),
     )
 
@@ -239,13 +247,14 @@ def passages(own: np.ndarray, src: np.ndarray, shift: int, t: int, similarity: f
     hit = np.flatnonzero(there >= 0)
     if len(hit) < similarity * t:
         return []
-    out, todo = [], np.split(hit, np.flatnonzero(np.diff(hit) > LONGEST_BREAK) + 1)
+    out, todo = [], [hit]
     while todo:
         run = todo.pop()
-        if run[-1] - run[0] + 1 < t:
+        if not len(run) or run[-1] - run[0] + 1 < t:
             continue
         shift_here = run - there[run]
-        near = run[np.abs(shift_here - np.sort(shift_here)[len(run) // 2]) <= SHIFT]  # holds one at least
+        reach = max(SHIFT, int(BREAK_SHARE * len(run)))
+        near = run[np.abs(shift_here - np.sort(shift_here)[len(run) // 2]) <= reach]  # holds one at least
         a, b = int(near[0]), int(near[-1])
         sa, sb = int(there[near].min()), int(there[near].max())
         mine, theirs = np.unique(own[a : b + 1]), np.unique(src[sa : sb + 1])
@@ -253,13 +262,14 @@ def passages(own: np.ndarray, src: np.ndarray, shift: int, t: int, similarity: f
         alike = both / (len(mine) + len(theirs) - both)
         if b - a + 1 >= t and alike >= similarity:
             out.append((a, b, sa, sb, alike))
+            todo += [run[run < a], run[run > b]]
             continue
         gaps = np.diff(run)
         if len(gaps) and gaps.max() > 1:  # too unlike as a whole; its parts on both sides of the widest gap may not be
             widest = int(gaps.argmax()) + 1
             todo += [run[:widest], run[widest:]]
         elif len(near) < len(run):  # parts without a gap that lie on other diagonals
-            todo += np.split(run, np.flatnonzero(np.abs(np.diff(shift_here)) > SHIFT) + 1) if (np.abs(np.diff(shift_here)) > SHIFT).any() else [near]
+            todo += np.split(run, np.flatnonzero(np.abs(np.diff(shift_here)) > reach) + 1) if (np.abs(np.diff(shift_here)) > reach).any() else [near]
     return sorted(out)
 
 

@@ -199,6 +199,18 @@ def test_equal_passages_are_found_among_interleaved_versions(spark):
     assert {(100 * g + k + 8, 100 * g + k) for g in range(6) for k in range(8)} <= found
 
 
+def test_passages_with_words_put_in_are_found_whole(spark):
+    rng = random.Random(8)
+    short, long = passage(rng, 95).split(), passage(rng, 300).split()
+    rows = []
+    for k, (w, at, more) in enumerate([(short, 48, 8), (long, 260, 40)]):
+        put_in = [*w[:at], *passage(rng, more).split(), *w[at:]]
+        rows += [(10 * k + i, f"{passage(rng, 70)}\n{' '.join(x)}\n{passage(rng, 70)}") for i, x in enumerate((w, put_in))]
+    found = {r["doc_id"]: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i: (r["start"], r["stop"]) for i, r in found.items()} == {1: (70, 173), 11: (70, 410)}
+    assert found[1]["similarity"] == pytest.approx(87 / 103)
+
+
 def test_cut_passages_leaves_the_first_and_counts_characters(spark):
     rng = random.Random(4)
     shared = passage(rng, 70)
