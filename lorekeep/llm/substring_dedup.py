@@ -183,7 +183,10 @@ def interval_pairs(linked: DataFrame, t: int, enough: int) -> DataFrame:
     """(pair, doc_id, a, b, src_id, d, sa, sb): intervals of shingles, both ends included, that links along a diagonal join."""
     c, sc = F.shiftright("place", 40), F.shiftright("src_place", 40)
     reach = lambda col, by: F.shiftright(col, by).bitwiseAND(F.lit((1 << 20) - 1))
-    left, right = F.least(reach("place", 20), reach("src_place", 20)), F.least(reach("place", 0), reach("src_place", 0))
+    # only a stretch that repeats reaches t places beyond its first minimum; it may be longer than the source's and counts whole
+    stretch = reach("place", 0) >= t
+    side = lambda by: F.when(stretch, reach("place", by)).otherwise(F.least(reach("place", by), reach("src_place", by)))
+    left, right = side(20), side(0)
     rows = linked.select("f", "doc_id", "src_id", (c - left).alias("a"), (c + right).alias("b"), (c - sc).alias("d"))
     rows = rows.where(F.col("b") - F.col("a") + 1 >= t - SLACK)
     pair = ["doc_id", "src_id"]
@@ -255,8 +258,9 @@ def passages(own: np.ndarray, src: np.ndarray, shift: int, t: int, similarity: f
         shift_here = run - there[run]
         reach = max(SHIFT, int(BREAK_SHARE * len(run)))
         near = run[np.abs(shift_here - np.sort(shift_here)[len(run) // 2]) <= reach]  # holds one at least
-        a, b = int(near[0]), int(near[-1])
         sa, sb = int(there[near].min()), int(there[near].max())
+        near = run[(there[run] >= sa) & (there[run] <= sb)]  # what repeats in ``own`` lies on other diagonals too
+        a, b = int(near[0]), int(near[-1])
         mine, theirs = np.unique(own[a : b + 1]), np.unique(src[sa : sb + 1])
         both = len(np.intersect1d(mine, theirs, assume_unique=True))
         alike = both / (len(mine) + len(theirs) - both)

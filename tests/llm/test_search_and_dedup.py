@@ -211,6 +211,16 @@ def test_passages_with_words_put_in_are_found_whole(spark):
     assert found[1]["similarity"] == pytest.approx(87 / 103)
 
 
+@pytest.mark.parametrize("times", [(10, 30), (5, 30), (30, 10)])
+def test_longer_stretches_of_a_repeated_line_are_covered(spark, times):
+    rng = random.Random(6)
+    line = passage(rng, 12)
+    rows = [(i, "\n".join([passage(rng, 70), *[line] * n, passage(rng, 70)])) for i, n in enumerate(times)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+    covered = {w for r in found for w in range(r["start"], r["stop"])}
+    assert covered == set(range(70, 70 + 12 * times[1]))
+
+
 def test_cut_passages_leaves_the_first_and_counts_characters(spark):
     rng = random.Random(4)
     shared = passage(rng, 70)
