@@ -103,6 +103,20 @@ def rationale_signals(spark, d):
     return lines.select("line_no", kind.alias("kind"), marker.alias("marker"), detail.alias("detail")).where("marker <> ''")
 
 
+@query(r"""WITH t AS (SELECT 'doc' AS source, doc_id AS id, 0 AS turn, string_split(text, chr(10)) AS ls FROM documents
+  UNION ALL SELECT 'conversation', conv_id, turn, string_split(text, chr(10)) FROM conversations),
+l AS (SELECT source, id, turn, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM t),
+m AS (SELECT *, lower(regexp_extract(line, '(?i)\b(TODO|FIXME|HACK|WHY|NOTE)\b:?\s*(.*)$', 1)) AS marker, trim(regexp_extract(line, '(?i)\b(TODO|FIXME|HACK|WHY|NOTE)\b:?\s*(.*)$', 2)) AS detail FROM l)
+SELECT source, id, turn, line_no, CASE WHEN marker IN ('todo', 'fixme', 'hack') THEN 'todo' ELSE 'rationale' END AS kind, marker, detail FROM m WHERE marker <> ''""")
+def table_rationale_signals(spark, d):
+    """The signals of every line of the documents and conversations; ``rationale_signals`` has fixed lines."""
+    docs = t(spark, d, "documents").select(F.lit("doc").alias("source"), F.col("doc_id").alias("id"), F.lit(0).alias("turn"), "text")
+    said = t(spark, d, "conversations").select(F.lit("conversation").alias("source"), F.col("conv_id").alias("id"), "turn", "text")
+    lines = docs.unionByName(said).select("source", "id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    marker, kind, detail = T.rationale(F.col("line"))
+    return lines.select("source", "id", "turn", "line_no", kind.alias("kind"), marker.alias("marker"), detail.alias("detail")).where("marker <> ''")
+
+
 @query(r"SELECT doc_id, unnest(regexp_extract_all(text, '\*\*([^*\n]+)\*\*', 1)) AS term FROM documents")
 def bold_terms(spark, d):
     return t(spark, d, "documents").select("doc_id", F.explode(T.bold_terms(F.col("text"))).alias("term"))
@@ -168,6 +182,35 @@ def code_refs(spark, d):
     return code_references(spark.createDataFrame([(1, REFERENCE_TEXT)], "doc_id int, text string"), "doc_id", "text")
 
 
+def marked_sql(nth: int, ref_type: str, pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"SELECT id, line, {nth} AS nth, '{ref_type}' AS ref_type, unnest(regexp_extract_all(content, '{quoted}', 1)) AS path FROM l"
+
+
+CODE_REFS_SQL = rf"""WITH t AS (SELECT 'doc:' || doc_id AS id, string_split(text, chr(10)) AS ls FROM documents UNION ALL SELECT 'page:' || page_id, string_split(html, chr(10)) FROM pages),
+l AS (SELECT id, CAST(unnest(range(len(ls))) AS INT) AS line, unnest(ls) AS content FROM t),
+f AS ({marked_sql(0, "file", T.FILE_REFERENCE)} UNION ALL {marked_sql(1, "directory", T.DIRECTORY_REFERENCE)} UNION ALL {marked_sql(2, "pattern", T.GLOB_REFERENCE)}),
+k AS (SELECT *, row_number() OVER (PARTITION BY id, path ORDER BY line, nth) AS place FROM f
+  WHERE NOT contains(path, '://') AND (ref_type <> 'pattern' OR regexp_matches(path, '\*\.|/\*|\*/|\*\*/'))),
+r AS (SELECT id, path, ref_type, line FROM k WHERE place = 1)
+"""
+
+
+@query(CODE_REFS_SQL + "SELECT * FROM r")
+def table_code_refs(spark, d):
+    """The references of every document and page; ``code_refs`` has a fixed text."""
+    docs = t(spark, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), "text")
+    pages = t(spark, d, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("text"))
+    return code_references(docs.unionByName(pages), "id", "text")
+
+
+@query(CODE_REFS_SQL + f""", x(ext, language) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in T.LANGUAGES.items())})
+SELECT path, coalesce(language, 'unknown') AS language FROM (SELECT DISTINCT path FROM r) LEFT JOIN x ON ext = lower(regexp_extract(path, '\\.([^./\\\\]*)$', 1))""")
+def table_languages(spark, d):
+    """The language of every path that a document or page names; ``language_from_ext`` has fixed paths."""
+    return table_code_refs(spark, d).select("path").distinct().select("path", T.language(F.col("path")).alias("language"))
+
+
 def chunk_lines_of(rows: DataFrame, most: int = 512) -> DataFrame:
     """(doc_id, chunk_index, content, token_count): lines gathered until the next would go over ``most`` tokens."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).cast("long").alias("n"))

@@ -203,3 +203,23 @@ def test_implementations_outside_the_tree_do_not_count(spark):
     m = spark.createDataFrame([("a.proto", "go", "gen")], "proto_path string, lang string, prefix string")
     assert {r["from_node"] for r in R.implements_rpc(n, m).collect()} == {"sym:p.SClient.go"}
     assert R.implements_rpc(n).count() == 2
+
+
+def test_signals_and_references_come_from_the_tables(spark, tmp_path):
+    import duckdb
+
+    from lorekeep.plans.queries import ORACLES, QUERIES
+
+    text = "plain\nx = 1  # TODO: fix\nsee internal/a/b.go here"
+    spark.createDataFrame([(1, text), (2, None), (3, "nothing")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 2, "why: rows repeat")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(7, "<p>\nrun cmd/x.rs now</p>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    run = lambda name: {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert run("table_rationale_signals") == {("doc", 1, 0, 1, "todo", "todo", "fix"), ("conversation", 5, 2, 0, "rationale", "why", "rows repeat")}
+    files = {r for r in run("table_code_refs") if r[2] == "file"}
+    assert files == {("doc:1", "internal/a/b.go", "file", 2), ("page:7", "cmd/x.rs", "file", 1)}
+    assert {("internal/a/b.go", "go"), ("cmd/x.rs", "rust")} <= run("table_languages")
+    con = duckdb.connect()
+    for name in ("documents", "conversations", "pages"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert all(run(name) == set(con.sql(ORACLES[name]).fetchall()) for name in ("table_rationale_signals", "table_code_refs", "table_languages"))
