@@ -2,7 +2,8 @@
 
 The standard library's parser streams events. Block tags cut the page into lines; each line has its text, the number of
 tags that it holds, and the elements that it lies in. Lines in elements that are never an article's text (scripts, menus,
-footers, forms and the like, or such by class, id or role) are put aside. The ratios of text to tags of the other lines
+footers, forms and the like, or such by role) are put aside, and those that class or id mark as such unless what they hold
+says otherwise. The ratios of text to tags of the other lines
 are smoothed with a Gaussian, and a threshold at their spread parts them into content and the rest. The content region is
 the article or main element with the most content, or the deepest element that holds nearly all content; a region's short
 lines belong to it like its long ones.
@@ -77,6 +78,7 @@ class LineReader(HTMLParser):
         self.open: list[tuple[int, str, bool, bool]] = [(0, "", False, False)]  # element, tag, aside, heading
         self.lines: list[Line] = []
         self.line: Line | None = None
+        self.suspects: set[int] = set()
 
     def cut(self) -> None:
         self.line = None
@@ -94,12 +96,16 @@ class LineReader(HTMLParser):
         if tag in ("html", "body", "main"):
             return False
         for name, value in attrs:
-            if name in ("class", "id") and value and tag not in HEADING and marks_aside(value):
-                return True
             if name == "role" and (value or "").lower() in ASIDE_ROLES or name == "hidden" or name == "aria-hidden" and (value or "").lower() == "true":
                 return True
         return False
 
+    def is_suspect(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """Class and id words are evidence: ``put_aside`` weighs it against what the element holds."""
+        if tag in ("html", "body", "main") or tag in HEADING:
+            return False
+        return any(name in ("class", "id") and value and marks_aside(value) for name, value in attrs)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         while (ends := ENDS_WITH_SIBLING.get(self.open[-1][1])) and tag in ends:
             self.open.pop()
@@ -115,13 +121,16 @@ class LineReader(HTMLParser):
         top = self.open[-1]
         inside_region = any(t in REGION for _, t, _, _ in self.open) if tag == "header" else False
         aside = top[2] or self.is_aside(tag, attrs, inside_region)
-        if tag in BLOCK or aside and not top[2]:
+        suspect = not aside and self.is_suspect(tag, attrs)
+        if tag in BLOCK or aside and not top[2] or suspect:
             self.parent.append(top[0])
             self.tag_of.append(tag)
             element = len(self.parent) - 1
+            if suspect:
+                self.suspects.add(element)
         else:
             element = top[0]
-        if aside and not top[2]:
+        if aside and not top[2] or suspect:
             self.cut()
         self.open.append((element, tag, aside, top[3] or tag in HEADING))
         if self.line:
@@ -137,7 +146,7 @@ class LineReader(HTMLParser):
             self.cut()
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][1] == tag:
-                if any(a for _, _, a, _ in self.open[i:]):
+                if any(a or e in self.suspects for e, _, a, _ in self.open[i:]):
                     self.cut()
                 del self.open[i:]
                 return
@@ -174,6 +183,40 @@ def region_of(reader: LineReader, lines: list[Line], mass: np.ndarray) -> int:
     return best
 
 
+def put_aside(reader: LineReader, found: list[tuple[Line, str]]) -> np.ndarray:
+    """Elements that their names mark as aside, and what lies in them. A name is overruled if the element is or holds the
+    largest region, most of the page's text in lines of a high ratio, or is a
+    section within a region with a heading and a line of such a ratio."""
+    size = len(reader.parent)
+    aside = np.zeros(size, dtype=bool)
+    if not reader.suspects:
+        return aside
+    ratio = np.array([len(t) / max(1, line.tags) for line, t in found])
+    high = ratio >= ratio.mean()
+    held, best, titled = np.zeros(size), np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+    for (line, text), h in zip(found, high, strict=True):
+        held[line.inside] += len(text) if h else 0
+        best[line.inside] |= h and not line.heading
+        titled[line.inside] |= line.heading
+    for e in range(size - 1, 0, -1):  # children have larger numbers
+        up = reader.parent[e]
+        held[up] += held[e]
+        best[up] |= best[e]
+        titled[up] |= titled[e]
+    e = max((e for e in range(1, size) if reader.tag_of[e] in REGION and held[e] > 0), key=lambda e: (held[e], -e), default=0)
+    around = set()
+    while e > 0:
+        around.add(e)
+        e = reader.parent[e]
+    within = np.zeros(size, dtype=bool)
+    for e in range(1, size):
+        up = reader.parent[e]
+        within[e] = within[up] or reader.tag_of[up] in REGION
+        cleared = e in around or held[e] >= MOST * held[0] > 0 or within[e] and reader.tag_of[e] == "section" and titled[e] and best[e]
+        aside[e] = aside[up] or e in reader.suspects and not cleared
+    return aside
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -181,6 +224,10 @@ def main_text(html: str | None) -> str:
     reader.feed(html)
     reader.close()
     found = [(line, text) for line in reader.lines if not line.aside and (text := SPACE.sub(" ", "".join(line.parts)).strip())]
+    if not found:
+        return ""
+    aside = put_aside(reader, found)
+    found = [(line, text) for line, text in found if not aside[line.inside]]
     if not found:
         return ""
     lines = [line for line, _ in found]

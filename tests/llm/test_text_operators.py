@@ -286,3 +286,15 @@ def test_toxicity_filter_keeps_columns(spark):
     df = spark.createDataFrame([(1, "you dolt you dolt", 5), (2, "a clean text", 6), (3, None, 7)], "doc_id long, text string, __toxic int")
     out = toxicity.toxicity_filter(df, None, toxicity.Model({"dolt": 5.0}))
     assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == {2, 3}
+
+
+def test_names_alone_do_not_empty_a_page():
+    long = "A paragraph of the article that goes on for a good while, and then for some more."
+    body = f"<h1>Title</h1><p>{long}</p><p>{long}</p>"
+    want = f"Title\n{long}\n{long}"
+    for wrapper in ("div class='content has-sidebar'", "article class='post no-comments'", "div id='page-header-fixed'"):
+        assert html_text.main_text(f"<body><{wrapper}>{body}</{wrapper.split()[0]}></body>") == want
+        assert html_text.main_text(f"<body><div class='sidebar'><a href=x>a</a> <a href=y>b</a></div><{wrapper}><main>{body}</main></{wrapper.split()[0]}></body>") == want
+    for name in ("related-work", "search", "notices", "login", "share"):
+        page = f"<article><p>{long}</p><section id='{name}'><h2>Part</h2><p>{long}</p></section><div class='ad'>buy <a href=x>now</a></div><p>{long}</p></article>"
+        assert html_text.main_text(page) == f"{long}\nPart\n{long}\n{long}"
