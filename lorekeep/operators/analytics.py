@@ -135,7 +135,7 @@ def local_louvain(n: int, pairs: list[tuple[int, int, float]]) -> np.ndarray:
 
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, community). A graph of up to ``LOCAL_EDGES`` pairs, whose size is counted first, is worked on whole; a larger
-    one is first contracted by rounds of distributed moves until it is within that size, or no node moves any more.
+    one is first contracted by rounds of distributed moves until it is within that size; if it never is, that is an error.
 
     A community's number is the order of its smallest member among communities of the final level.
     """
@@ -152,7 +152,9 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         weighted = ends.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"))
         weighted, member = settle(weighted), settle(member)
     local = weighted.where("a <> b OR w > 0").limit(LOCAL_EDGES + 1).toPandas()
-    if len(local) <= LOCAL_EDGES and len(local):
+    if len(local) > LOCAL_EDGES:
+        raise RuntimeError(f"communities did not settle: more than {LOCAL_EDGES} pairs are left after {ROUNDS} rounds")
+    if len(local):
         names = sorted(set(local["a"]) | set(local["b"]))
         at = {x: i for i, x in enumerate(names)}
         of = local_louvain(len(names), [(at[a], at[b], w) for a, b, w in zip(local["a"], local["b"], local["w"], strict=True)])

@@ -223,3 +223,16 @@ def test_signals_and_references_come_from_the_tables(spark, tmp_path):
     for name in ("documents", "conversations", "pages"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     assert all(run(name) == set(con.sql(ORACLES[name]).fetchall()) for name in ("table_rationale_signals", "table_code_refs", "table_languages"))
+
+
+def test_communities_that_do_not_settle_are_an_error(spark, monkeypatch):
+    import pytest
+
+    from lorekeep.operators import analytics
+
+    monkeypatch.setattr(analytics, "LOCAL_EDGES", 2)
+    monkeypatch.setattr(analytics, "ROUNDS", 0)
+    nodes = spark.createDataFrame([(x,) for x in "abcd"], "id string")
+    edges = edges_of(spark, [("a", "b", "mentions"), ("b", "c", "mentions"), ("c", "d", "mentions")])
+    with pytest.raises(RuntimeError, match="did not settle"):
+        analytics.communities(nodes, edges)
