@@ -135,7 +135,9 @@ class Grammar:
         self.backward = Composed((TARGET,))
         self.seek = ahocorasick.Automaton()
         for w in [*lexicon, *THREATS]:
-            self.seek.add_word(w.rstrip("*"), (len(w.rstrip("*")), w[-1] == "*"))
+            word = w.rstrip("*")
+            _, stem = self.seek.get(word, (0, False))
+            self.seek.add_word(word, (len(word), stem or w[-1] == "*"))
         self.seek.make_automaton()
         self.stems = sorted({len(w) - 1 for w in lexicon if w[-1] == "*"})
 

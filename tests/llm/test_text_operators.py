@@ -298,3 +298,10 @@ def test_names_alone_do_not_empty_a_page():
     for name in ("related-work", "search", "notices", "login", "share"):
         page = f"<article><p>{long}</p><section id='{name}'><h2>Part</h2><p>{long}</p></section><div class='ad'>buy <a href=x>now</a></div><p>{long}</p></article>"
         assert html_text.main_text(page) == f"{long}\nPart\n{long}\n{long}"
+
+
+def test_a_stem_that_is_a_threat_stays_a_stem():
+    threat = sorted(toxicity.THREATS)[0]
+    grammar = toxicity.Grammar({threat + "*": 2.0})
+    assert grammar.hits(f"such {threat}ers") == [5] and grammar.density(f"such {threat}ers") > 0
+    assert toxicity.Grammar({}).hits(f"such {threat}ers") == []
