@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, split_join
 
-MAX_STEPS = 40
+#: The steps grow with the logarithm of the longest path; a graph that needs more is an error, never a part result.
+MAX_STEPS = 64
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -19,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     node.
 
     Each step reads and writes a number of rows in proportion to the links, however large a component is: a node's
-    smallest neighbour comes from an aggregate that combines before its shuffle, and reaches the node's links by a join,
+    smallest neighbour comes from an aggregate that combines before its shuffle, and reaches the node's links by a join
     whose hot nodes adaptive execution can split.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -29,9 +30,9 @@ def components(links: DataFrame) -> DataFrame:
             break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = split_join(both.where("b > a"), low, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        small = split_join(large, low, ["a"])
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         edges = cut(small)
         now = _mark(edges)
