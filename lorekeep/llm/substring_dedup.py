@@ -9,19 +9,24 @@ Its window is the union of these frames: the node's interval as far as it lies w
 further away is in the windows of other nodes.
 
 Windows of equal signature are sorted together, and each is linked with the first of them and with the one before it, so
-that links grow with the windows and not with the square of a group. Frames of t shingles in windows whose signature
-repeats are linked with the first equal frame too, so that equal passages are linked whatever stands between them. Links
+that links grow with the windows and not with the square of a group. Where a batch of documents has many windows of one
+signature, this is done within the batch, and only the windows of its first document go on: a passage that a third of all
+documents has costs a row for each batch, not one for each document. Frames of t shingles in windows whose signature
+repeats are linked with the first equal frame too, so that equal passages are linked whatever stands between them; those
+of signatures that a sample shows to be frequent are dealt out by the frame itself. Links
 of two documents along one diagonal join into an interval pair, kept if enough hash functions agree. Pairs are then
 verified on the shingles themselves: texts of the documents concerned are cut into cells of shingles, each cell is sent to
 the pairs that need it, and the places of the one interval whose shingles the other has make up passages, which need a
-length of ``t`` and a similarity of 0.8.
+length of ``t`` and a similarity of 0.8. What a task holds for a pair is bounded by its two texts.
 
 The result has a row for each passage that repeats one of an earlier document (by id): ``doc_id``, ``start`` and ``stop``
-(words, stop excluded), ``n_words``, the same of the source, and ``similarity``.
+(words, stop excluded), ``n_words``, the same of the source, and ``similarity``. ``variant`` and ``source_variant`` are 0,
+or the 64-bit hash of the text where its id has several texts.
 
 Defined results: null, empty and short texts have no passages; a text of any length counts whole; rows that repeat an id
-count as one document with the first text in order (by text); rows without an id are left out; repeats within a document are not
-reported; an empty table gives an empty table; only the id and text columns are read.
+and a text are one document; rows that repeat an id with different texts are as many documents, in order of the texts'
+hashes; rows without an id are left out; repeats within a document are not reported; an empty table gives an empty table;
+only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -30,10 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut_and_free, fresh
+from .shared import cut, fresh, in_batches, split_join
 from .textvec import Words, batched, mix, shingles
 
 SHINGLE = 5
@@ -45,6 +51,8 @@ CELL = 64
 SLACK = 8
 BREAK_SHARE = 0.25  # of a passage: so many words put in leave a similarity of 0.8
 SHIFT = 64
+LOCAL_GROUP = 64  # windows of one signature in one batch; more are linked there
+HOT_SAMPLE, HOT_COUNT, HOT_LIST = 20_000, 20, 20_000  # documents looked at, how many of them make a signature frequent, how many such at most
 
 
 def text_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,36 +100,96 @@ def compact_windows(g: np.ndarray, starts: np.ndarray, t: int, seed: int) -> tup
     return text, frame[first] - base, c - base, frame[last] + t - 1 - base, mix(h[c] ^ np.uint64(seed * 2 + 1))
 
 
+#: A document is (doc_id, variant); a window's place is its minimum's and how far it reaches to both sides.
+PLACE = "doc_id long, variant long, c long, lefts long, rights long"
+WINDOW = f"sig long, f int, {PLACE}, src struct<{PLACE}>"
+
+
+def place_arrays(places: dict[str, np.ndarray]) -> list[pa.Array]:
+    return [pa.array(places[k], pa.int64()) for k in ("doc_id", "variant", "c", "lefts", "rights")]
+
+
+def as_rows(sig: np.ndarray, f: np.ndarray, own: dict[str, np.ndarray], src: dict[str, np.ndarray] | None) -> pa.RecordBatch:
+    """Rows of ``WINDOW``; ``src`` is null without one."""
+    names = ["doc_id", "variant", "c", "lefts", "rights"]
+    kind = pa.struct([(n, pa.int64()) for n in names])
+    source = pa.nulls(len(sig), kind) if src is None else pa.StructArray.from_arrays(place_arrays(src), names)
+    columns = [pa.array(sig, pa.int64()), pa.array(f, pa.int32()), *place_arrays(own), source]
+    return pa.RecordBatch.from_arrays(columns, names=["sig", "f", *names, "src"])
+
+
+def parts_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_id, variant, shingle hashes, where each text's begin) of a batch's texts, about a megabyte at a time."""
+    ids, variant = batch.column("doc_id").to_numpy(), batch.column("variant").to_numpy()
+    texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column("text").to_pylist()]
+    for part in batched(list(enumerate(texts))):
+        at = [i for i, _ in part]
+        yield ids[at], variant[at], *text_shingles([x for _, x in part])
+
+
+def local_links(sig: np.ndarray, own: dict[str, np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that go on, rows that are linked, what each is linked with). In groups of ``least`` rows or more of one
+    signature, rows of the first document go on, and the others are linked with the first row and the one before."""
+    order = np.lexsort((own["c"], own["variant"], own["doc_id"], sig))
+    first = np.r_[True, sig[order][1:] != sig[order][:-1]]
+    number = np.cumsum(first) - 1
+    start = np.flatnonzero(first)
+    head = order[start][number]
+    same = (own["doc_id"][order] == own["doc_id"][head]) & (own["variant"][order] == own["variant"][head])
+    goes_on = same | (np.bincount(number)[number] < least)
+    late = np.flatnonzero(~goes_on)
+    before = order[late - 1]  # a late row is never the first of its group
+    row = order[late]
+    other = ((own["doc_id"][row] != own["doc_id"][before]) | (own["variant"][row] != own["variant"][before])) & (before != head[late])
+    return order[goes_on], np.concatenate([row, row[other]]), np.concatenate([head[late], before[other]])
+
+
 def windows(docs: DataFrame, t: int, functions: int) -> DataFrame:
-    """(sig, f, doc_id, place): a row for each compact window. ``f`` has the function's bit; ``place`` has c and how far the window reaches on both
-    sides of it, the reach cut at 2**20, in 20 bits each."""
+    """Rows of ``WINDOW``: one for each compact window (``f`` has the function's bit), and the links (with ``src``) that a
+    batch makes by itself, under a signature that spreads them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b["doc_id"].to_numpy()
-            texts = [(s or "").encode("utf-8", "surrogatepass") for s in b["text"]]
-            for part in batched(list(enumerate(texts))):
-                at = ids[[i for i, _ in part]]
-                g, starts = text_shingles([s for _, s in part])
+            got: list[tuple[np.ndarray, ...]] = []
+            for ids, variant, g, starts in parts_of(b):
                 for f in range(functions):
                     text, left, c, right, sig = compact_windows(g, starts, t, f)
-                    if len(text):
-                        most = (1 << 20) - 1
-                        place = (c << 40) | (np.minimum(c - left, most) << 20) | np.minimum(right - c, most)
-                        yield pd.DataFrame({"sig": sig.view(np.int64), "f": np.int32(1 << f), "doc_id": at[text], "place": place})
+                    got.append((sig.view(np.int64), np.full(len(sig), 1 << f), ids[text], variant[text], c, c - left, right - c))
+            if not got:
+                continue
+            sig, f, *rest = map(np.concatenate, zip(*got))
+            if not len(sig):
+                continue
+            own = dict(zip(("doc_id", "variant", "c", "lefts", "rights"), rest, strict=True))
+            on, row, src = local_links(sig, own, LOCAL_GROUP)
+            take = lambda at: {k: v[at] for k, v in own.items()}
+            yield as_rows(sig[on], f[on], take(on), None)
+            if len(row):
+                spread = mix((own["doc_id"][row] + own["c"][row]).view(np.uint64)).view(np.int64)
+                yield as_rows(spread, f[row], take(row), take(src))
+
+    return in_batches(docs).mapInArrow(run, WINDOW)
+
 
-    return docs.mapInPandas(run, "sig long, f int, doc_id long, place long")
+def document(prefix: str = "") -> tuple[Column, Column]:
+    return F.col(f"{prefix}doc_id"), F.col(f"{prefix}variant")
+
+
+def apart(one: str = "", other: str = "src.") -> Column:
+    """Whether two places are of different documents."""
+    (a, x), (b, y) = document(one), document(other)
+    return (a != b) | (x != y)
 
 
 def links(found: DataFrame) -> DataFrame:
-    """(f, doc_id, place, src_id, src_place): each window with the first of its signature, and with the one before."""
-    order = Window.partitionBy("sig").orderBy("doc_id", "place")
-    grouped = found.select(
-        "f", "doc_id", "place", F.first(F.struct("doc_id", "place")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("one"),
-        F.lag(F.struct("doc_id", "place")).over(order).alias("two"),
-    ).where("two IS NOT NULL")
-    both = grouped.select("f", "doc_id", "place", F.explode(F.when(F.col("one") == F.col("two"), F.array("one")).otherwise(F.array("one", "two"))).alias("src"))
-    return both.select("f", "doc_id", "place", F.col("src.doc_id").alias("src_id"), F.col("src.place").alias("src_place")).where("doc_id <> src_id")
+    """(f, doc_id, variant, c, lefts, rights, src): each window with the first of its signature, and with the one before;
+    links that a batch has made pass."""
+    own = F.struct("doc_id", "variant", "c", "lefts", "rights")
+    order = Window.partitionBy("sig", F.col("src").isNull()).orderBy("doc_id", "variant", "c")
+    one, two = F.first(own).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lag(own).over(order)
+    grouped = found.select("f", "doc_id", "variant", "c", "lefts", "rights", "src", one.alias("one"), two.alias("two")).where("src IS NOT NULL OR two IS NOT NULL")
+    ways = F.when(F.col("src").isNotNull(), F.array("src")).when(F.col("one") == F.col("two"), F.array("one")).otherwise(F.array("one", "two"))
+    return grouped.select("f", "doc_id", "variant", "c", "lefts", "rights", F.explode(ways).alias("src")).where(apart())
 
 
 def frame_hashes(g: np.ndarray, t: int) -> np.ndarray:
@@ -133,105 +201,159 @@ def frame_hashes(g: np.ndarray, t: int) -> np.ndarray:
     return h if width == t else mix(h[: len(h) - (t - width)] ^ mix(h[t - width :] + np.uint64(t)))
 
 
-def equal_links(docs: DataFrame, t: int, functions: int) -> DataFrame:
-    """Rows like those of ``links``: each frame of t shingles with the first equal one, so that what stands between two
-    equal passages does not matter. Only windows whose signature under the first function occurs again can hold such frames; a
-    signature's only two windows are compared at once. Equal frames agree under all functions."""
+def hot_signatures(docs: DataFrame, n: int, t: int, rows: int = HOT_SAMPLE, least: int = HOT_COUNT) -> list[int]:
+    """Signatures under the first function that ``least`` or more of about ``rows`` of the ``n`` documents have. The list
+    only decides how ``equal_links`` deals out its rows, not what it finds, so that a sample does."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b["doc_id"].to_numpy()
-            texts = [(s or "").encode("utf-8", "surrogatepass") for s in b["text"]]
-            for part in batched(list(enumerate(texts))):
-                at = ids[[i for i, _ in part]]
-                g, starts = text_shingles([s for _, s in part])
+            for _, _, g, starts in parts_of(b):
+                text, *_, sig = compact_windows(g, starts, t, 0)
+                if len(sig):
+                    once = np.unique(np.stack([text, sig.view(np.int64)]), axis=1)[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(once, pa.int64())], names=["sig"])
+
+    some = docs.sample(False, min(1.0, rows / max(n, 1)), 7) if n > rows else docs
+    counts = in_batches(some).mapInArrow(run, "sig long").groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return [r["sig"] for r in counts.orderBy(F.desc("n"), "sig").limit(HOT_LIST).collect()]
+
+
+FRAMES = "sig long, doc_id long, variant long, c long, frames binary, src struct<doc_id: long, variant: long, c: long>"
+
+
+def equal_links(docs: DataFrame, t: int, functions: int, hot: list[int]) -> DataFrame:
+    """Rows like those of ``links``: each frame of t shingles with the first equal one, so that what stands between two
+    equal passages does not matter. Only windows whose signature under the first function occurs again can hold such
+    frames; a signature's only two windows are compared at once. Equal frames agree under all functions. Frames of ``hot``
+    signatures stand for themselves, each with its own hash as signature, and those that a batch has twice are linked
+    there. A frame's place is its first shingle's."""
+    often = np.sort(np.array(hot, dtype=np.int64))
+
+    def rows(sig, ids, variant, c, frames, src=None) -> pa.RecordBatch:
+        kind = pa.struct([("doc_id", pa.int64()), ("variant", pa.int64()), ("c", pa.int64())])
+        source = pa.nulls(len(sig), kind) if src is None else pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in src], ["doc_id", "variant", "c"])
+        columns = [pa.array(x, pa.int64()) for x in (sig, ids, variant, c)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(frames, pa.binary()), source], names=["sig", "doc_id", "variant", "c", "frames", "src"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            single: list[tuple[np.ndarray, ...]] = []
+            for ids, variant, g, starts in parts_of(b):
                 text, left, _, right, sig = compact_windows(g, starts, t, 0)
-                if len(text):
-                    h, begin = frame_hashes(g, t), starts[text]
-                    own = [h[a:e].tobytes() for a, e in zip(begin + left, begin + right - t + 2, strict=True)]
-                    yield pd.DataFrame({"sig": sig.view(np.int64), "doc_id": at[text], "left": left, "frames": own})
+                if not len(text):
+                    continue
+                sig, h, begin = sig.view(np.int64), frame_hashes(g, t).view(np.int64), starts[text]
+                n = right - left - t + 2
+                near = np.isin(sig, often)
+                few = np.flatnonzero(~near)
+                own = [h[a : a + k].tobytes() for a, k in zip((begin + left)[few], n[few], strict=True)]
+                yield rows(sig[few], ids[text][few], variant[text][few], left[few], own)
+                many = np.flatnonzero(near)
+                if len(many):
+                    k = n[many]
+                    step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                    place = np.repeat(left[many], k) + step
+                    whose = np.repeat(text[many], k)
+                    single.append((h[starts[whose] + place], ids[whose], variant[whose], place))
+            if single:
+                frame, ids, variant, place = map(np.concatenate, zip(*single))
+                on, row, src = local_links(mix(frame.view(np.uint64)).view(np.int64), {"doc_id": ids, "variant": variant, "c": place}, 2)
+                yield rows(mix(frame[on].view(np.uint64)).view(np.int64), ids[on], variant[on], place[on], [frame[i : i + 1].tobytes() for i in on])
+                if len(row):
+                    spread = mix((ids[row] + place[row]).view(np.uint64)).view(np.int64)
+                    yield rows(spread, ids[row], variant[row], place[row], [b""] * len(row), (ids[src], variant[src], place[src]))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             h = np.frombuffer(b"".join(b["frames"]), dtype=np.int64)
             n = b["frames"].map(len).to_numpy(dtype=np.int64) // 8
-            start = np.arange(len(h)) + np.repeat(b["left"].to_numpy(dtype=np.int64) - np.cumsum(n) + n, n)
-            yield pd.DataFrame({"frame": h, "doc_id": np.repeat(b["doc_id"].to_numpy(dtype=np.int64), n), "place": (start << 40) | (t - 1)})
+            step = np.arange(len(h)) + np.repeat(b["c"].to_numpy(dtype=np.int64) - np.cumsum(n) + n, n)
+            yield pd.DataFrame({"frame": h, "doc_id": np.repeat(b["doc_id"].to_numpy(dtype=np.int64), n), "variant": np.repeat(b["variant"].to_numpy(dtype=np.int64), n), "c": step})
 
     def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            out = []
             for r in b.itertuples(index=False):
                 own, src = (np.frombuffer(x, dtype=np.int64) for x in (r.frames, r.src_frames))
                 _, i, j = np.intersect1d(own, src, return_indices=True)
-                rows += [(r.doc_id, ((r.left + x) << 40) | (t - 1), r.src_id, ((r.src_left + y) << 40) | (t - 1)) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
-            yield pd.DataFrame(rows, columns=["doc_id", "place", "src_id", "src_place"])
+                out += [(r.doc_id, r.variant, r.c + x, r.src_id, r.src_variant, r.src_c + y) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            yield pd.DataFrame(out, columns=["doc_id", "variant", "c", "src_id", "src_variant", "src_c"])
+
+    alone = Window.partitionBy("sig", F.col("src").isNull())
+    before = F.lag(F.struct("doc_id", "variant", "c", "frames")).over(alone.orderBy("doc_id", "variant", "c"))
+    found = in_batches(docs).mapInArrow(run, FRAMES).select("*", before.alias("other"), F.count("*").over(alone).alias("n"))
+    keep = F.col("src").isNotNull() | (F.col("n") > 2) | (F.col("n") == 2) & apart("", "other.")
+    found = cut(found.where(keep).select("doc_id", "variant", "c", "frames", "src", F.when((F.col("n") == 2) & F.col("src").isNull(), F.col("other")).alias("other")))
+    columns = ["doc_id", "variant", "c", F.col("src.doc_id").alias("src_id"), F.col("src.variant").alias("src_variant"), F.col("src.c").alias("src_c")]
+    local = found.where("src IS NOT NULL").select(*columns)
+    two = found.where("other IS NOT NULL").select("doc_id", "variant", "c", "frames", F.col("other.doc_id").alias("src_id"), F.col("other.variant").alias("src_variant"), F.col("other.c").alias("src_c"), F.col("other.frames").alias("src_frames"))
+    two = in_batches(two).mapInPandas(both, "doc_id long, variant long, c long, src_id long, src_variant long, src_c long")
+    frames = found.where("other IS NULL AND src IS NULL").select("doc_id", "variant", "c", "frames").mapInPandas(each, "frame long, doc_id long, variant long, c long")
+    order = Window.partitionBy("frame").orderBy("doc_id", "variant", "c").rowsBetween(Window.unboundedPreceding, 0)
+    more = frames.withColumn("src", F.first(F.struct("doc_id", "variant", "c")).over(order)).where(apart()).select(*columns)
+    reach = lambda at: [F.lit(0).cast("long").alias("lefts"), F.lit(t - 1).cast("long").alias("rights")]
+    src = F.struct(F.col("src_id").alias("doc_id"), F.col("src_variant").alias("variant"), F.col("src_c").alias("c"), *reach("src"))
+    return local.unionByName(two).unionByName(more).select(F.lit((1 << functions) - 1).alias("f"), "doc_id", "variant", "c", *reach(""), src.alias("src"))
+
 
-    link = "doc_id long, place long, src_id long, src_place long"
-    before = F.lag(F.struct("doc_id", "left", "frames")).over(Window.partitionBy("sig").orderBy("doc_id", "left")).alias("src")
-    found = docs.mapInPandas(run, "sig long, doc_id long, left long, frames binary").select("*", before).withColumn("n", F.count("*").over(Window.partitionBy("sig")))
-    found = cut_and_free(found.where("n > 2 OR n = 2 AND doc_id <> src.doc_id").select("doc_id", "left", "frames", F.when(F.col("n") == 2, F.col("src")).alias("src")))
-    two = found.where("src IS NOT NULL").select("doc_id", "left", "frames", F.col("src.doc_id").alias("src_id"), F.col("src.left").alias("src_left"), F.col("src.frames").alias("src_frames")).mapInPandas(both, link)
-    frames = found.where("src IS NULL").select("doc_id", "left", "frames").mapInPandas(each, "frame long, doc_id long, place long")
-    order = Window.partitionBy("frame").orderBy("doc_id", "place")
-    starred = frames.withColumn("one", F.first(F.struct("doc_id", "place")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    more = starred.select("doc_id", "place", F.col("one.doc_id").alias("src_id"), F.col("one.place").alias("src_place")).where("doc_id <> src_id")
-    return two.unionByName(more).select(F.lit((1 << functions) - 1).alias("f"), "doc_id", "place", "src_id", "src_place")
+PAIR = ["doc_id", "variant", "src_id", "src_variant"]
 
 
 def interval_pairs(linked: DataFrame, t: int, enough: int) -> DataFrame:
-    """(pair, doc_id, a, b, src_id, d, sa, sb): intervals of shingles, both ends included, that links along a diagonal join."""
-    c, sc = F.shiftright("place", 40), F.shiftright("src_place", 40)
-    reach = lambda col, by: F.shiftright(col, by).bitwiseAND(F.lit((1 << 20) - 1))
+    """(doc_id, variant, a, b, src_id, src_variant, d, sa, sb): intervals of shingles, both ends included, that links along
+    a diagonal join."""
     # only a stretch that repeats reaches t places beyond its first minimum; it may be longer than the source's and counts whole
-    stretch = reach("place", 0) >= t
-    side = lambda by: F.when(stretch, reach("place", by)).otherwise(F.least(reach("place", by), reach("src_place", by)))
-    left, right = side(20), side(0)
-    rows = linked.select("f", "doc_id", "src_id", (c - left).alias("a"), (c + right).alias("b"), (c - sc).alias("d"))
+    stretch = F.col("rights") >= t
+    side = lambda by: F.when(stretch, F.col(by)).otherwise(F.least(F.col(by), F.col(f"src.{by}")))
+    rows = linked.select("f", "doc_id", "variant", F.col("src.doc_id").alias("src_id"), F.col("src.variant").alias("src_variant"), (F.col("c") - side("lefts")).alias("a"), (F.col("c") + side("rights")).alias("b"), (F.col("c") - F.col("src.c")).alias("d"))
     rows = rows.where(F.col("b") - F.col("a") + 1 >= t - SLACK)
-    pair = ["doc_id", "src_id"]
-    by_diagonal = Window.partitionBy(*pair).orderBy("d", "a", "b", "f")
+    by_diagonal = Window.partitionBy(*PAIR).orderBy("d", "a", "b", "f")
     jump = (F.col("d") - F.lag("d").over(by_diagonal) > SLACK).cast("int")
     rows = rows.withColumn("lane", F.sum(F.coalesce(jump, F.lit(0))).over(by_diagonal.rowsBetween(Window.unboundedPreceding, 0)))
-    lane = Window.partitionBy(*pair, "lane").orderBy("a", "b", "d", "f")
-    apart = (F.col("a") > F.max("b").over(lane.rowsBetween(Window.unboundedPreceding, -1)) + 1).cast("int")
-    rows = rows.withColumn("run", F.sum(F.coalesce(apart, F.lit(0))).over(lane.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = rows.groupBy(*pair, "lane", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("d").alias("low"), F.max("d").alias("high"), F.bit_or("f").alias("f"))
+    lane = Window.partitionBy(*PAIR, "lane").orderBy("a", "b", "d", "f")
+    gap = (F.col("a") > F.max("b").over(lane.rowsBetween(Window.unboundedPreceding, -1)) + 1).cast("int")
+    rows = rows.withColumn("run", F.sum(F.coalesce(gap, F.lit(0))).over(lane.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = rows.groupBy(*PAIR, "lane", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("d").alias("low"), F.max("d").alias("high"), F.bit_or("f").alias("f"))
     # runs whose distance and whose shift the words put in or left out of one passage can explain are one interval
-    whole = F.greatest(F.sum(F.col("b") - F.col("a") + 1).over(Window.partitionBy(*pair)) * BREAK_SHARE, F.lit(SLACK))
-    by_place = Window.partitionBy(*pair).orderBy("a", "b", "low")
+    whole = F.greatest(F.sum(F.col("b") - F.col("a") + 1).over(Window.partitionBy(*PAIR)) * BREAK_SHARE, F.lit(SLACK))
+    by_place = Window.partitionBy(*PAIR).orderBy("a", "b", "low")
     off = F.greatest(F.col("low") - F.lag("high").over(by_place), F.lag("low").over(by_place) - F.col("high"))
     far = (F.col("a") - F.max("b").over(by_place.rowsBetween(Window.unboundedPreceding, -1)) - 1 > whole) | (off > whole)
     joined = joined.withColumn("far", F.coalesce(far, F.lit(False)).cast("int"))
     joined = joined.withColumn("lane", F.sum("far").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = joined.groupBy(*pair, "lane").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_count(F.bit_or("f")).alias("n"))
+    joined = joined.groupBy(*PAIR, "lane").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_count(F.bit_or("f")).alias("n"))
     a, b = F.greatest(F.col("a") - SLACK, F.lit(0)), F.col("b") + SLACK
     return joined.where(F.col("n") >= enough).select(
-        F.xxhash64("doc_id", "src_id", "lane").alias("pair"), "doc_id", a.alias("a"), b.alias("b"), "src_id",
+        "doc_id", "variant", a.alias("a"), b.alias("b"), "src_id", "src_variant",
         F.col("low").alias("d"), F.greatest(a - F.col("high"), F.lit(0)).alias("sa"), F.greatest(b - F.col("low"), F.lit(0)).alias("sb"),
     )
 
 
+def cells_of(a: str, b: str) -> Column:
+    return F.explode(F.sequence(F.floor(F.col(a) / CELL), F.floor(F.col(b) / CELL)))
+
+
 def cells(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, cell, hashes) of the cells that some pair needs; ``wanted`` has (doc_id, cells), a row for each document
-    concerned, whose number of cells its length bounds. Hashes are cut to 32 bits."""
+    """(doc_id, variant, cell, hashes) of the cells that some pair needs; ``wanted`` has (doc_id, variant, cells), a row for
+    each document concerned, whose number of cells its length bounds. Hashes are cut to 32 bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            items = [((i, c), s.encode("utf-8", "surrogatepass")) for i, s, c in zip(b["doc_id"], b["text"], b["cells"], strict=True)]
+            items = [((i, v, c), s.encode("utf-8", "surrogatepass")) for i, v, s, c in zip(b["doc_id"], b["variant"], b["text"], b["cells"], strict=True)]
             for part in batched(items):
                 g, starts = text_shingles([s for _, s in part])
                 g = g.astype(np.uint32).view(np.int32)
                 rows = [
-                    (i, cell, own[CELL * cell : CELL * (cell + 1)].tobytes())
-                    for k, ((i, asked), _) in enumerate(part)
+                    (i, v, cell, own[CELL * cell : CELL * (cell + 1)].tobytes())
+                    for k, ((i, v, asked), _) in enumerate(part)
                     for own in (g[starts[k] : starts[k + 1]],)
                     for cell in asked
                     if CELL * cell < len(own)
                 ]
-                yield pd.DataFrame(rows, columns=["doc_id", "cell", "hashes"])
+                yield pd.DataFrame(rows, columns=["doc_id", "variant", "cell", "hashes"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "cells").mapInPandas(run, "doc_id long, cell int, hashes binary")
+    asked = split_join(docs, wanted, ["doc_id", "variant"]).select("doc_id", "variant", "text", "cells")
+    return in_batches(asked).mapInPandas(run, "doc_id long, variant long, cell long, hashes binary")
 
 
 def passages(own: np.ndarray, src: np.ndarray, shift: int, t: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
@@ -279,9 +401,9 @@ def passages(own: np.ndarray, src: np.ndarray, shift: int, t: int, similarity: f
 
 def verified(pairs: DataFrame, cut_up: DataFrame, t: int, similarity: float) -> DataFrame:
     """A row for each verified passage. A pair gets its own cells only, as many as its intervals are long."""
-    ask = lambda id_, a, b, side: pairs.select("pair", F.col(id_).alias("doc_id"), F.lit(side).alias("side"), F.explode(F.sequence(F.floor(F.col(a) / CELL).cast("int"), F.floor(F.col(b) / CELL).cast("int"))).alias("cell"))
-    asked = ask("doc_id", "a", "b", 0).unionByName(ask("src_id", "sa", "sb", 1))
-    got = asked.join(cut_up, ["doc_id", "cell"]).groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("side", "cell", "hashes"))).alias("got"))
+    ask = lambda id_, v, a, b, side: pairs.select("pair", F.col(id_).alias("doc_id"), F.col(v).alias("variant"), F.lit(side).alias("side"), cells_of(a, b).alias("cell"))
+    asked = ask("doc_id", "variant", "a", "b", 0).unionByName(ask("src_id", "src_variant", "sa", "sb", 1))
+    got = asked.join(cut_up, ["doc_id", "variant", "cell"]).groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("side", "cell", "hashes"))).alias("got"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -295,27 +417,45 @@ def verified(pairs: DataFrame, cut_up: DataFrame, t: int, similarity: float) ->
                 own, src = (np.frombuffer(b"".join(h for _, h in s), dtype=np.int32) for s in side)
                 base, src_base = (CELL * s[0][0] for s in side)
                 for a, e, sa, se, alike in passages(own, src, r.d - base + src_base, t, similarity):
-                    rows.append((r.doc_id, base + a, base + e + SHINGLE, r.src_id, src_base + sa, src_base + se + SHINGLE, alike))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "stop", "source_id", "source_start", "source_stop", "similarity"])
+                    rows.append((r.doc_id, r.variant, base + a, base + e + SHINGLE, r.src_id, r.src_variant, src_base + sa, src_base + se + SHINGLE, alike))
+            yield pd.DataFrame(rows, columns=["doc_id", "variant", "start", "stop", "source_id", "source_variant", "source_start", "source_stop", "similarity"])
 
-    joined = pairs.select("pair", "doc_id", "src_id", "d").join(got, "pair")
-    return joined.mapInPandas(run, "doc_id long, start long, stop long, source_id long, source_start long, source_stop long, similarity double")
+    joined = pairs.select("pair", *PAIR, "d").join(got, "pair")
+    return in_batches(joined).mapInPandas(run, "doc_id long, variant long, start long, stop long, source_id long, source_variant long, source_start long, source_stop long, similarity double")
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", passage_words: int = PASSAGE_WORDS, functions: int = FUNCTIONS, enough: int = ENOUGH, similarity: float = SIMILARITY) -> DataFrame:
-    """Passages of ``passage_words`` words or more that repeat one of a document with a smaller id."""
-    t = passage_words - SHINGLE + 1
+def text_variant(text: str) -> Column:
+    """A text's hash, never 0."""
+    return F.coalesce(F.nullif(F.xxhash64(text), F.lit(0)), F.lit(1)).cast("long")
+
+
+def distinct_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, variant, text): each text of each id once. Ids that occur once, nearly all, are not dealt out for that."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    twice = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if not twice.isEmpty():
-        some = rows.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-        rows = rows.join(twice, "doc_id", "left_anti").unionByName(some)
-    linked = links(windows(rows, t, functions)).unionByName(equal_links(rows, t, functions))
-    pairs = cut_and_free(interval_pairs(linked, t, enough))
-    span = lambda id_, a, b: pairs.select(F.col(id_).alias("doc_id"), F.explode(F.sequence(F.floor(F.col(a) / CELL).cast("int"), F.floor(F.col(b) / CELL).cast("int"))).alias("cell"))
-    wanted = span("doc_id", "a", "b").union(span("src_id", "sa", "sb")).groupBy("doc_id").agg(F.collect_set("cell").alias("cells"))
-    out = verified(pairs, cut_and_free(cells(rows, wanted)), t, similarity)
-    return out.select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), "source_id", "source_start", "source_stop", "similarity").distinct()
+    ids = docs.select(F.col(key).cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
+    twice = cut(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    single = rows.withColumn("variant", F.lit(0).cast("long"))
+    if twice.isEmpty():
+        return single.select("doc_id", "variant", "text")
+    again = split_join(rows, twice, ["doc_id"]).withColumn("variant", text_variant("text"))
+    texts = again.groupBy("doc_id", "variant").agg(F.min("text").alias("text"))
+    several = texts.groupBy("doc_id").agg(F.count("*").alias("n"))
+    texts = split_join(texts, several, ["doc_id"]).select("doc_id", F.when(F.col("n") > 1, F.col("variant")).otherwise(F.lit(0).cast("long")).alias("variant"), "text")
+    return single.join(twice, "doc_id", "left_anti").select("doc_id", "variant", "text").unionByName(cut(texts))
+
+
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", passage_words: int = PASSAGE_WORDS, functions: int = FUNCTIONS, enough: int = ENOUGH, similarity: float = SIMILARITY, hot: list[int] | None = None) -> DataFrame:
+    """Passages of ``passage_words`` words or more that repeat one of a document with a smaller id. ``hot`` is the list of
+    ``hot_signatures``, taken from a sample if it is not given."""
+    t = passage_words - SHINGLE + 1
+    rows = distinct_documents(docs, key, text)
+    hot = hot_signatures(rows, docs.count(), t) if hot is None else hot
+    linked = links(windows(rows, t, functions)).unionByName(equal_links(rows, t, functions, hot))
+    pairs = cut(interval_pairs(linked, t, enough).withColumn("pair", F.monotonically_increasing_id()))
+    span = lambda id_, v, a, b: pairs.select(F.col(id_).alias("doc_id"), F.col(v).alias("variant"), cells_of(a, b).alias("cell"))
+    wanted = span("doc_id", "variant", "a", "b").union(span("src_id", "src_variant", "sa", "sb")).groupBy("doc_id", "variant").agg(F.collect_set("cell").alias("cells"))
+    out = verified(pairs, cut(cells(rows, wanted)), t, similarity)
+    return out.select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), "source_id", "source_start", "source_stop", "similarity", "variant", "source_variant").distinct()
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -337,16 +477,19 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 def cut_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars", **how) -> DataFrame:
     """``docs`` with each repeated passage left in its first document only; documents without one keep their text as it
-    is. ``length`` names a column that counts the text's characters, if there is one. Rows that repeat an id are cut at
-    the same words."""
-    id_, spans = fresh(docs, "__id"), fresh(docs, "__spans")
-    found = repeated_passages(docs, key, text, **how).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set(F.struct("start", "stop")).alias(spans))
+    is. ``length`` names a column that counts the text's characters, if there is one. A row is cut where its own text
+    repeats another: rows that share an id and differ in text are cut each at their own places, rows equal in both alike.
+    Rows without an id or a text stay as they are; an empty table gives an empty table; extra columns pass through,
+    whatever their names."""
+    id_, variant, spans = fresh(docs, "__id"), fresh(docs, "__variant"), fresh(docs, "__spans")
+    found = repeated_passages(docs, key, text, **how).groupBy(F.col("doc_id").alias(id_), F.col("variant").alias(variant)).agg(F.collect_set(F.struct("start", "stop")).alias(spans))
 
     @F.pandas_udf("string")
     def shorter(t: pd.Series, s: pd.Series) -> pd.Series:
         return pd.Series([x if x is None or y is None else without_spans(x, [(p["start"], p["stop"]) for p in y]) for x, y in zip(t, s, strict=True)], dtype=object)
 
-    joined = docs.join(found, docs[key].cast("long") == found[id_], "left")
+    own = (docs[key].cast("long") == found[id_]) & ((found[variant] == 0) | (found[variant] == F.coalesce(F.nullif(F.xxhash64(docs[text]), F.lit(0)), F.lit(1))))
+    joined = in_batches(docs.join(found, own, "left"))
     out = joined.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(shorter(F.col(text), F.col(spans))))
     if length and length in docs.columns:
         out = out.withColumn(length, F.when(F.col(spans).isNull(), F.col(length)).otherwise(F.length(text).cast(docs.schema[length].dataType)))

@@ -35,15 +35,22 @@ BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
 _powers: dict[str, np.ndarray] = {}
 
 
+KEPT_POWERS = 2 * BUFFER_BYTES
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, 0 to n - 1 at least."""
-    if n > len(_powers.get("up", ())):
-        size = max(n, BUFFER_BYTES + 1)
-        for name, base in (("up", BASE), ("down", BASE_INVERSE)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
+    """Powers of the base and of its inverse, 0 to n - 1 at least. Those for a text beyond the usual buffer are not kept."""
+    if n <= len(_powers.get("up", ())):
+        return _powers["up"], _powers["down"]
+    size = max(n, KEPT_POWERS)
+    made = {}
+    for name, base in (("up", BASE), ("down", BASE_INVERSE)):
+        p = np.full(size, base, dtype=np.uint64)
+        p[0] = 1
+        made[name] = np.multiply.accumulate(p)
+    if size <= KEPT_POWERS:
+        _powers.update(made)
+    return made["up"], made["down"]
 
 
 class Words:
