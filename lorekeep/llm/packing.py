@@ -4,39 +4,47 @@ Documents are tokenized once, into a small table of pieces (id, start, length).
 and packed best-fit decreasing in each. Dual-feasible functions give a lower bound for each partition's bins: a
 partition that meets its bound is certified and stays as it is. In one that does not, full bins stay, and the documents
 of the bins with gaps are dealt anew, together with those of other such partitions and over fewer partitions, and packed
-again. Rounds end when nothing is left to exchange or one partition held all that was left.
+again. Rounds end when nothing is left to exchange, when one partition held all that was left, or when a round's exchange
+saved less than one of a thousand bins (``LEAST_SAVING``): then the gaps are too small for what is left.
 
 A document's pieces follow one another only within documents longer than a sequence; no document is cut otherwise.
 
+A worker process loads the tokenizer once, whatever number of tasks it runs, and remembers a number of chunks that is
+bounded in bytes.
+
 Defined results: a null text is packed like an empty one (the end id alone); a text of any length is tokenized whole;
 each row is packed, repeated ones too; ties in size go to the smaller document and piece; an empty table gives an empty
-table; only the id and text columns are read.
+table; only the id and text columns are read, so that extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, in_batches
 
 CAPACITY = 4096
 END_ID = 1
-MEMO_CHUNKS = 700_000
+MEMO_BYTES = 48 << 20
+CHUNK_OVERHEAD = 170  # bytes of a dictionary's slot and the two objects' heads
 MEMO_CHARS = 64
 ROWS_PER_PARTITION = 20_000
 LAST_ROWS = 20_000
-MAX_ROUNDS = 8
+LEAST_SAVING = 0.001
 
 #: Texts that Python's split and lower treat otherwise than the tokenizer: other white space, the context-bound final
-#: sigma, the dotted capital I, and the special tokens' strings.
+#: sigma, the dotted capital I, and the special tokens' strings. So do those that the tokenizer's normal form changes
+#: before or after its lower case; they go to the library whole.
 ODD = re.compile("[\x1c-\x1f\u03a3\u0130]|<\\|(?:start|end)oftext\\|>")
 
 
@@ -57,20 +65,23 @@ class ChunkTokenizer:
         self.mark = {m: self._raw([m])[0] for m in ".,"}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0  # bytes of the memo, about
         vocabulary = self.t.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     def ids(self, text: str) -> bytes:
-        if ODD.search(text):
+        low = text.lower()
+        if ODD.search(text) or not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
             return self._raw([text])[0]
-        chunks = text.lower().split()
+        chunks = low.split()
         new = set(chunks).difference(self.memo)
         if new:
             self._learn(new)
+            self.held += sum(map(len, new)) * 3 + len(new) * CHUNK_OVERHEAD
         out = b"".join(map(self.memo.__getitem__, chunks))
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo, self.older = {}, {c: x for c, x in self.memo.items() if len(c) <= MEMO_CHARS}
+        if self.held > MEMO_BYTES:  # those that recur come back from the older half
+            self.memo, self.older, self.held = {}, {c: x for c, x in self.memo.items() if len(c) <= MEMO_CHARS}, 0
         return out
 
     def _learn(self, new: set[str]) -> None:
@@ -117,14 +128,21 @@ def pieces_of(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
     return [(k, s, min(capacity, n - s), zlib.crc32(whole[4 * s : 4 * min(n, s + capacity)])) for k, s in enumerate(range(0, n, capacity))]
 
 
+@lru_cache(maxsize=1)
+def tokenizer(path: str) -> ChunkTokenizer:
+    """The process's own, kept between tasks."""
+    return ChunkTokenizer(path)
+
+
 def tokenize(docs: DataFrame, path: str, capacity: int, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = ChunkTokenizer(path)
+        coder = tokenizer(path)
         for b in batches:
             rows = [(i, *p) for i, t in zip(b["doc_id"], b["text"], strict=True) for p in pieces_of(coder.ids(t or ""), capacity)]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return in_batches(rows).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
@@ -192,10 +210,11 @@ def pack_partition(frame: pd.DataFrame, capacity: int, last: bool) -> pd.DataFra
     return frame.assign(bin=where, offset=offset, open=gaps & (not certified and not last))
 
 
+#: A sequence's number: the round, the partition (32 bits) and the bin (20 bits; a partition has far fewer rows).
 def _packer(columns: list[str], capacity: int, last: bool, tag: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out = pack_partition(frame.drop(columns="__part"), capacity, last)
-        out["sequence_id"] = tag + (int(frame["__part"].iloc[0]) << 28) + out["bin"]
+        out["sequence_id"] = tag + (int(frame["__part"].iloc[0]) << 20) + out["bin"]
         return out[[*columns, "sequence_id", "offset", "open"]]
 
     return run
@@ -204,24 +223,28 @@ def _packer(columns: list[str], capacity: int, last: bool, tag: int):
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ...) with sequence_id and offset.
 
-    A round's partition is (hash of the piece) mod the number of partitions, which follows the number of rows, so that
-    no key decides how much a task gets. Each round's rows are checkpointed: what is closed is kept, what is open goes on.
+    A round's partition is (hash of the row's place) mod the number of partitions, which follows the number of rows, so
+    that no key decides how much a task gets, and equal rows part too. ``pieces`` must be checkpointed, as each round's
+    rows are: places don't change then. What is closed is kept, what is open goes on.
     """
     columns = [*pieces.columns]
-    left, done, salt = pieces, [], 0
+    left, done, salt, saved = pieces, [], 0, True
+    before = None  # bins that the rows at hand took in the round before
     while True:
         n = left.count()
         parts = max(1, -(-n // rows_per_partition))
-        last = parts == 1 or salt + 1 >= MAX_ROUNDS
+        last = parts == 1 or not saved
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, open boolean"
-        part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(salt)), F.lit(parts)).cast("int")
-        packed = cut(left.withColumn("__part", part).groupBy("__part").applyInPandas(_packer(columns, capacity, last, salt << 58), schema))
+        part = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(salt)), F.lit(parts)).cast("int")
+        packed = cut(left.withColumn("__part", part).groupBy("__part").applyInPandas(_packer(columns, capacity, last, salt << 52), schema))
         done.append(packed.where("NOT open").drop("open"))
         if last:
             break
-        left = packed.where("open").select(*columns)
-        if left.isEmpty():
+        bins = packed.where("offset = 0").agg(F.count("*").alias("all"), F.count(F.when(F.col("open"), 1)).alias("open")).first()
+        if not bins["open"]:
             break
+        saved = before is None or bins["all"] <= (1 - LEAST_SAVING) * before
+        before, left = bins["open"], packed.where("open").select(*columns)
         rows_per_partition = max(rows_per_partition, LAST_ROWS)
         salt += 1
     out = done[0]
