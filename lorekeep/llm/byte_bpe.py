@@ -7,6 +7,9 @@ become valid again where the same token boundary recurs.
 
 A piece that is itself in the vocabulary is that token, as the merge rule has it for rank files.
 
+A worker process makes the vocabulary's table once, whatever number of tasks it runs, and remembers pieces up to a
+number of bytes.
+
 Defined results over documents: null and empty texts have no tokens; a text of any length is encoded whole (time grows
 with its length, not with its square); equal texts give equal rows; an empty table gives an empty table; only the id and
 text columns are read.
@@ -17,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -25,7 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_PIECES = 600_000
+from .shared import in_batches
+
+MEMO_BYTES = 96 << 20
+PIECE_OVERHEAD = 200  # bytes of a dictionary's slot, a string's head and a tuple's
 MEMO_CHARS = 64
 MEMO_PAIRS = 500_000
 
@@ -188,28 +195,37 @@ class TextEncoder:
 
     def __init__(self, path: str, pattern: str):
         self.v, self.find = Vocabulary(load_ranks(path)), regex.compile(pattern).findall
-        self.memo, self.older = {}, {}
+        self.memo, self.older, self.held = {}, {}, 0
         self.decimal = {i: str(i) for i in self.v.bytes_of}
+        self.number = {i: i for i in self.v.bytes_of}  # one object for each id, however many pieces have it
 
     def encode(self, text: str) -> list[int]:
         pieces = self.find(text)
-        memo, older = self.memo, self.older
-        for p in set(pieces).difference(memo):
-            memo[p] = older[p] if p in older else encode_piece(self.v, p.encode("utf-8"))
+        memo, older, same = self.memo, self.older, self.number.__getitem__
+        new = set(pieces).difference(memo)
+        for p in new:
+            memo[p] = older[p] if p in older else tuple(map(same, encode_piece(self.v, p.encode("utf-8"))))
         out = list(chain.from_iterable(map(memo.__getitem__, pieces)))
-        if len(memo) > MEMO_PIECES:  # those that recur come back from the older half
-            self.memo, self.older = {}, {p: x for p, x in memo.items() if len(p) <= MEMO_CHARS}
+        self.held += sum(map(len, new)) * 4 + len(new) * PIECE_OVERHEAD
+        if self.held > MEMO_BYTES:  # those that recur come back from the older half
+            self.memo, self.older, self.held = {}, {p: x for p, x in memo.items() if len(p) <= MEMO_CHARS}, 0
         return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.v.bytes_of.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def text_encoder(path: str, pattern: str) -> TextEncoder:
+    """The process's own, kept between tasks: the vocabulary's table is made once for each worker."""
+    return TextEncoder(path, pattern)
+
+
 def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode each text, decode the ids, and give the digests of both."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = TextEncoder(path, pattern)
+        coder = text_encoder(path, pattern)
         for b in batches:
             rows = []
             for t in b["text"]:
@@ -221,7 +237,7 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
             yield out
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_batches(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
@@ -230,8 +246,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = TextEncoder(path, pattern)
+        coder = text_encoder(path, pattern)
         for b in batches:
             yield pd.Series([coder.encode(t or "") for t in b], dtype=object)
 
-    return docs.withColumn(out, ids(docs[text]))
+    return in_batches(docs).withColumn(out, ids(docs[text]))
