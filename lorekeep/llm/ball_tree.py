@@ -1,10 +1,12 @@
 """Exact top-k inner-product search with a ball tree for each shard.
 
 Vectors become integers (floor of 256 times each component), so that scores are exact. Rows are dealt into shards of
-bounded size, each with its own ball tree; queries are dealt into blocks of bounded size. A block meets every shard once.
-In a shard, nodes wait in order of the largest inner product that their balls allow; a query leaves a node whose bound is
-below its current k-th score, and a leaf is scored for all its queries at once. Before that, each block searches one
-shard, and the k-th scores found there start the search of all others.
+bounded size, each with its own ball tree; queries are dealt into blocks of bounded size. A few trees and a few blocks
+meet in one task, so that no key has more rows than that: blocks travel to all trees, and a tree only to as many tasks as
+there are groups of blocks. A task takes its trees in the order of the largest inner product that their root balls allow,
+and in a tree its nodes likewise; a query leaves what is bounded below its current k-th score, which goes along from tree
+to tree, and a leaf is scored for all its queries at once. Trees are searched in rounds of growing size: the k-th scores
+of one round are the floors of the next.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, neither as queries nor as
 candidates; a query is compared with vectors of its own length only; rows equal in id and vector count once, and of
@@ -16,19 +18,20 @@ from __future__ import annotations
 
 import heapq
 import io
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, in_batches
 
 SCALE = 256
 LEAF = 256
 SHARD_ROWS = 8192
 BLOCK_ROWS = 1024
+TREES_AT_ONCE, BLOCKS_AT_ONCE = 4, 16
+GROWTH = 4  # of the number of tree groups from round to round
 NONE = np.iinfo(np.int64).min
 EXACT_IN_DOUBLE = 2**53
 
@@ -75,11 +78,17 @@ def build(ids: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def search(tree: dict[str, np.ndarray], qids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each query's k best (scores, ids), NONE where there are fewer. Scores below ``floor`` may be left out: the k-th
-    score is known to be no lower."""
+def root_bound(tree: dict[str, np.ndarray], q: np.ndarray) -> float:
+    """The largest inner product that any of the queries can have with any vector of the tree."""
+    q = q.astype(np.float64)
+    return float((q @ tree["centre"][0] + np.sqrt((q**2).sum(axis=1)) * tree["radius"][0]).max(initial=-np.inf))
+
+
+def search(tree: dict[str, np.ndarray], qids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray, so_far: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each query's k best (scores, ids), NONE where there are fewer, of this tree and of ``so_far``, what was found before.
+    Scores below ``floor`` may be left out: the k-th score is known to be no lower."""
     n = len(qids)
-    best, best_ids = np.full((n, k), NONE), np.full((n, k), np.iinfo(np.int64).max)
+    best, best_ids = so_far or (np.full((n, k), NONE), np.full((n, k), np.iinfo(np.int64).max))
     x, ids = tree["x"], tree["ids"]
     reach = max(1, int(np.abs(q).max(initial=0))) * max(1, int(np.abs(x).max(initial=0))) * max(1, q.shape[1])
     kind = np.float64 if reach < EXACT_IN_DOUBLE else np.int64
@@ -148,7 +157,8 @@ def _shard(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _block(frame: pd.DataFrame) -> pd.DataFrame:
     ids, q = _matrix(frame)
-    return pd.DataFrame({"dim": frame["dim"].iloc[:1], "block": frame["block"].iloc[:1], "queries": [dumped(ids=ids, q=narrow(q))]})
+    floor = frame.groupby("id")["floor"].first().reindex(ids).to_numpy(dtype=np.int64)
+    return pd.DataFrame({"dim": frame["dim"].iloc[:1], "block": frame["block"].iloc[:1], "queries": [dumped(ids=ids, q=narrow(q), floor=floor)]})
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -156,48 +166,57 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.int64)
 
 
-def _seeder(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                asked = loaded(r.queries)
-                n = len(asked["ids"])
-                best, _ = search(loaded(r.tree), asked["ids"], asked["q"].astype(np.int64), k, np.full(n, NONE))
-                yield pd.DataFrame({"dim": [r.dim], "block": [r.block], "queries": [dumped(**asked, floor=best[:, k - 1])]})
-
-    return run
-
-
 def _searcher(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                asked = loaded(r.queries)
-                best, ids = search(loaded(r.tree), asked["ids"], asked["q"].astype(np.int64), k, asked["floor"])
+    def run(lots: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)]
+        opened = [loaded(t) for t in trees["tree"]]
+        for raw in lots["queries"]:
+            asked = loaded(raw)
+            q, so_far = asked["q"].astype(np.int64), None
+            for tree in sorted(opened, key=lambda t: -root_bound(t, q)):
+                so_far = search(tree, asked["ids"], q, k, asked["floor"], so_far)
+            if so_far:
+                best, ids = so_far
                 found = best > NONE
-                yield pd.DataFrame({"query_id": np.repeat(asked["ids"], found.sum(axis=1)), "vec_id": ids[found], "score": best[found]})
+                out.append(pd.DataFrame({"query_id": np.repeat(asked["ids"], found.sum(axis=1)), "vec_id": ids[found], "score": best[found]}))
+        return pd.concat(out, ignore_index=True)
 
     return run
 
 
+def rounds(groups: int) -> list[tuple[int, int]]:
+    """(first, last) tree group of each round; each has ``GROWTH`` times as many as all before."""
+    out, at = [], 0
+    while at < groups:
+        end = min(groups, max(1, (GROWTH + 1) * at))
+        out.append((at, end - 1))
+        at = end
+    return out
+
+
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k best candidates.
 
-    A tree travels to each block of queries in one row of a few MB, so that the shuffle holds the rows once for each
-    block of ``block_rows`` queries.
+    A task holds ``TREES_AT_ONCE`` trees and ``BLOCKS_AT_ONCE`` blocks. Between rounds go k rows for each query.
     """
     used = integers(rows, key, vector)
-    asked = integers(rows.where(is_query), key, vector)
-    n, n_asked = used.count(), asked.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_asked // block_rows))
     dealt = lambda of, name: F.pmod(F.xxhash64("id"), F.lit(of)).cast("int").alias(name)
-    trees = cut(used.select("*", dealt(shards, "shard")).groupBy("dim", "shard").applyInPandas(_shard, "dim int, shard int, tree binary"))
-    lots = asked.select("*", dealt(blocks, "block")).groupBy("dim", "block").applyInPandas(_block, "dim int, block int, queries binary")
-    # each block starts at one shard of its vectors' length; some shard of that length has rows, its own at least
-    some = trees.groupBy("dim").agg(F.sort_array(F.collect_set("shard")).alias("there"))  # at most ``shards`` numbers a length
-    at = lots.join(some, "dim").withColumn("shard", F.element_at("there", (F.pmod("block", F.size("there")) + 1).cast("int"))).drop("there")
-    floors = cut(at.join(trees, ["dim", "shard"]).mapInPandas(_seeder(k), "dim int, block int, queries binary"))
-    pairs = floors.join(trees, "dim").repartition(min(shards * blocks, 4096), "shard", "block")
-    found = pairs.select("queries", "tree").mapInPandas(_searcher(k), "query_id long, vec_id long, score long")
+    group = lambda column, size: F.floor(F.col(column) / size).cast("int")
+    shards = max(1, -(-used.count() // shard_rows))
+    trees = cut(in_batches(used).select("*", dealt(shards, "shard")).groupBy("dim", "shard").applyInPandas(_shard, "dim int, shard int, tree binary"))
+    asked = integers(rows.where(is_query), key, vector)
+    blocks = max(1, -(-asked.count() // block_rows))
+    asked = asked.select("*", dealt(blocks, "block"))
+    trees = trees.withColumn("trees", group("shard", TREES_AT_ONCE)).withColumn("blocks", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // BLOCKS_AT_ONCE))))
+    at, best, floors = ["dim", "trees", "blocks"], None, None
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    for first, last in rounds(-(-shards // TREES_AT_ONCE)):
+        known = asked.withColumn("floor", F.lit(NONE)) if floors is None else asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(NONE)))
+        lots = known.groupBy("dim", "block").applyInPandas(_block, "dim int, block int, queries binary")
+        lots = lots.withColumn("trees", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("blocks", group("block", BLOCKS_AT_ONCE))
+        met = trees.where(F.col("trees").between(first, last))
+        found = lots.groupBy(*at).cogroup(met.groupBy(*at)).applyInPandas(_searcher(k), "query_id long, vec_id long, score long")
+        found = found if best is None else found.unionByName(best.drop("rank"))
+        best = cut(found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k))
+        floors = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    return best
