@@ -1,12 +1,16 @@
 """Quality rules as a short-circuit cascade of native expressions.
 
-Every rule is a boolean column over whole texts. ``plan_cascade`` measures, on a sample, what each rule costs and what
-share of documents it rejects, and orders the rules by rejection per cost; ``cascade`` then nests them in one CASE, so
-that a document is tested until the first rule that rejects it and costly rules see few documents. The order changes
-cost only: which documents are rejected does not depend on it.
+Every rule is a boolean column over whole texts. ``plan_cascade`` measures, on a sample of whole texts from all parts of
+the table, what each rule costs and what share of documents it rejects, and orders the rules by rejection per cost;
+``cascade`` then nests them in one CASE, so that a document is tested until the first rule that rejects it and costly
+rules see few documents. The order changes cost only: which documents are rejected does not depend on it. Drawing the
+sample reads the table once more; that is its whole cost, since only the sample's rows go further.
+
+The report needs every document's measures, so that its cascade has them for nothing, and spares only what is left.
 
 Defined results: a null text has no words and fails the base rules like an empty one; a text of any length is read
-whole; repeated rows are judged alike; an empty table gives an empty table; extra columns pass through.
+whole; repeated rows are judged alike; an empty table gives an empty table; the filter passes extra columns through,
+whatever their names; the report has its own columns only.
 """
 
 from __future__ import annotations
@@ -34,7 +38,6 @@ MIN_MEAN_WORD = 1.5
 MAX_MEAN_WORD = 25.0
 MAX_SHOUT_SHARE = 0.5
 SAMPLE_ROWS = 400
-SAMPLE_CHARS = 50_000
 
 
 def words(text: Column) -> Column:
@@ -68,16 +71,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def n_repeat_words(g: Column) -> Column:
-    """Words in windows that occur twice or more, counted once each; ``g`` is the array of window hashes.
+def n_repeat_words(g: Column, w: Column) -> Column:
+    """Words in windows that occur twice or more, counted once each; ``g`` is the array of window hashes, ``w`` the words.
 
-    Sorted by hash, equal windows are neighbours. Their positions, sorted again, each cover three words less what the
-    next one covers.
+    Sorted by hash and then by their words, equal windows are neighbours. Their positions, sorted again, each cover three
+    words less what the next one covers.
     """
 
     def repeated(s: Column) -> Column:
-        at = lambda j: F.get(s, j)["g"]
-        hits = F.filter(s, lambda e, j: (at(j + 1) == e["g"]) | (at(j - 1) == e["g"]))
+        same = lambda e, j: F.get(s, j)["k"] == e["k"]
+        hits = F.filter(s, lambda e, j: same(e, j + 1) | same(e, j - 1))
         # get() is null outside the array, and null | true is true, null | false is not kept
         return F.sort_array(F.transform(hits, lambda e: e["i"]))
 
@@ -85,74 +88,104 @@ def n_repeat_words(g: Column) -> Column:
         steps = F.transform(p, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(p, j + 1) - x, F.lit(WINDOW))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    pairs = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+    key = lambda x, i: F.struct(x.alias("g"), *(F.get(w, i + k).alias(f"w{k}") for k in range(WINDOW)))
+    pairs = F.sort_array(F.transform(g, lambda x, i: F.struct(key(x, i).alias("k"), i.alias("i"))))
     found = let(pairs, lambda s: let(repeated(s), covered))
     return F.when(F.size(F.array_distinct(g)) < F.size(g), found).otherwise(F.lit(0).cast("long"))
 
 
+def n_dup_lines(lines: Column) -> Column:
+    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+
+
+class Facts:
+    """What a rule may ask of a text. ``known`` has what is computed already; all else is computed where it is asked."""
+
+    def __init__(self, text: Column, words: Column, known: dict[str, Column] | None = None):
+        self.text, self.words, self.known = text, words, known or {}
+
+    def __getitem__(self, name: str) -> Column:
+        return self.known[name] if name in self.known else MEASURES[name](self.text, self.words)
+
+
+def line_counts(text: Column) -> Column:
+    return let(worded_lines(text), lambda x: F.struct(n_dup_lines(x).alias("n_dup"), F.size(x).cast("long").alias("n")))
+
+
+MEASURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda text, w: F.size(w).cast("long"),
+    "word_chars": lambda text, w: F.length(F.array_join(w, "")).cast("long"),
+    "n_symbols": lambda text, w: n_symbols(text),
+    "lines": lambda text, w: line_counts(text),
+    "n_repeat_words": lambda text, w: let(grams(w), lambda g: n_repeat_words(g, w)),
+}
+
+
+def measure_of(name: str, text: Column) -> Callable[[Column], Column]:
+    return lambda w: MEASURES[name](text, w)
+
+
 @dataclass
 class Rule:
-    """``rejects`` takes the text and its array of words."""
+    """``rejects`` takes the facts of a text."""
 
     name: str
-    rejects: Callable[[Column, Column], Column]
+    rejects: Callable[[Facts], Column]
 
 
-def per_word(x: Column, w: Column) -> Column:
-    return x / F.greatest(F.size(w), F.lit(1))
-
-
-def mean_length(w: Column) -> Column:
-    return per_word(F.length(F.array_join(w, "")), w)
+def per_word(x: Column, n_words: Column) -> Column:
+    return x / F.greatest(n_words, F.lit(1))
 
 
 def shout_share(w: Column) -> Column:
     """Share of words with two or more A-Z letters and no a-z letter."""
-    return per_word(F.size(F.filter(w, lambda x: x.rlike("^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$"))), w)
+    return per_word(F.size(F.filter(w, lambda x: x.rlike("^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$"))), F.size(w))
 
 
-def n_dup_lines(lines: Column) -> Column:
-    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+def odd_length(mean: Column) -> Column:
+    return (mean < MIN_MEAN_WORD) | (mean > MAX_MEAN_WORD)
 
 
 #: The method's rules beside the base ones. None divides by zero; none rejects for language alone.
 OWN_RULES = [
-    Rule("symbols", lambda text, w: per_word(n_symbols(text), w) > MAX_SYMBOLS_PER_WORD),
-    Rule("word_length", lambda text, w: let(mean_length(w), lambda m: (m < MIN_MEAN_WORD) | (m > MAX_MEAN_WORD))),
-    Rule("shouting", lambda text, w: shout_share(w) > MAX_SHOUT_SHARE),
-    Rule("dup_lines", lambda text, w: let(worded_lines(text), lambda x: n_dup_lines(x) > MAX_DUP_LINE_SHARE * F.size(x))),
+    Rule("symbols", lambda f: per_word(f["n_symbols"], f["n_words"]) > MAX_SYMBOLS_PER_WORD),
+    Rule("word_length", lambda f: let(per_word(f["word_chars"], f["n_words"]), odd_length)),
+    Rule("shouting", lambda f: shout_share(f.words) > MAX_SHOUT_SHARE),
+    Rule("dup_lines", lambda f: let(f["lines"], lambda x: x["n_dup"] > MAX_DUP_LINE_SHARE * x["n"])),
 ]
 BASE_RULES = [
-    Rule("few_words", lambda text, w: F.size(w) < MIN_WORDS),
-    Rule("repeats", lambda text, w: 100 * let(grams(w), n_repeat_words) > MAX_REPEAT_PERCENT * F.size(w)),
+    Rule("few_words", lambda f: f["n_words"] < MIN_WORDS),
+    Rule("repeats", lambda f: 100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * f["n_words"]),
 ]
 
 
-def plan_cascade(docs: DataFrame, text: str, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Order rules by rejected share per second on a sample: the first few rows of moderate length, which ``take`` reads
-    from as few partitions as it needs, and which are kept in memory meanwhile."""
-    taken = docs.select(F.col(text).alias("text")).where(F.length("text") <= SAMPLE_CHARS).take(rows)
-    sample = docs.sparkSession.createDataFrame([(r[0],) for r in taken], "text string")
-    sample = sample.select("text", words(F.col("text")).alias("w")).persist()
+def plan_cascade(docs: DataFrame, text: str, rules: list[Rule], rows: int = SAMPLE_ROWS, known: tuple[str, ...] = ()) -> list[Rule]:
+    """Order rules by rejected share per second on about ``rows`` whole texts, drawn alike from all parts of the table.
+    The measures in ``known`` are there already when the cascade runs, and cost nothing."""
+    n = docs.count()
+    sample = docs.select(F.col(text).alias("text"))
+    sample = sample.sample(False, rows / n, 7) if n > rows else sample
+    w = words(F.col("text"))
+    sample = sample.repartition(4).select("text", w.alias("w"), *(let(w, measure_of(m, F.col("text"))).alias(m) for m in known)).persist()
     try:
         total = sample.count()
         if not total:
             return list(rules)
-        gain = {}
+        facts, gain = Facts(F.col("text"), F.col("w"), {m: F.col(m) for m in known}), {}
         for rule in rules:
             began = time.perf_counter()
-            hit = sample.agg(F.sum(rule.rejects(F.col("text"), F.col("w")).cast("int"))).first()[0] or 0
+            hit = sample.agg(F.sum(rule.rejects(facts).cast("int"))).first()[0] or 0
             gain[rule.name] = (hit / total) / max(time.perf_counter() - began, 1e-4)
     finally:
         sample.unpersist()
     return sorted(rules, key=lambda r: -gain[r.name])
 
 
-def cascade(rules: list[Rule], text: Column, w: Column) -> Column:
+def cascade(rules: list[Rule], text: Column, w: Column, known: dict[str, Column] | None = None) -> Column:
     """The name of the first rule that rejects, null if none does; later rules are not evaluated."""
-    out = F.lit(None).cast("string")
+    out, facts = F.lit(None).cast("string"), Facts(text, w, known)
     for rule in reversed(rules):
-        out = F.when(F.coalesce(rule.rejects(text, w), F.lit(False)), F.lit(rule.name)).otherwise(out)
+        out = F.when(F.coalesce(rule.rejects(facts), F.lit(False)), F.lit(rule.name)).otherwise(out)
     return out
 
 
@@ -171,17 +204,16 @@ def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
 def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The measures and the verdict of every document."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    ordered = plan_cascade(rows, "text", OWN_RULES)
+    names = tuple(MEASURES)
+    ordered = plan_cascade(rows, "text", OWN_RULES, known=names)
     t = F.col("text")
 
-    def measure(w: Column) -> Column:
-        return F.struct(
-            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            n_symbols(t).alias("n_symbols"), let(worded_lines(t), n_dup_lines).alias("n_dup_lines"),
-            let(grams(w), n_repeat_words).alias("n_repeat_words"), cascade(ordered, t, w).isNull().alias("passed"),
-        )
+    def verdict(w: Column) -> Column:
+        measured = F.struct(*(MEASURES[m](t, w).alias(m) for m in names))
+        return let(measured, lambda m: F.struct(m.alias("m"), cascade(ordered, t, w, {name: m[name] for name in names}).isNull().alias("passed")))
 
-    m = rows.select("doc_id", let(words(t), measure).alias("m")).select("doc_id", "m.*")
+    m = rows.select("doc_id", let(words(t), verdict).alias("v"))
+    m = m.select("doc_id", *(F.col(f"v.m.{name}").alias(name) for name in names if name != "lines"), F.col("v.m.lines.n_dup").alias("n_dup_lines"), F.col("v.passed").alias("passed"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return m.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
