@@ -3,7 +3,8 @@
 Features are shares of n-grams in a text: words, pairs of words, and the same of word shapes (runs of capitals, small
 letters, digits and equal marks), each hashed to one of 2**18 numbers. A pair of equal words is one feature whatever the
 word. Weights are learned with follow-the-regularised-leader updates, document by document, on a bounded sample of labelled rows,
-and a document's score is the logistic function of a sparse dot product.
+and a document's score is the logistic function of a sparse dot product. One task learns, as updates follow each other:
+it reads the sample's features as a sorted stream, each epoch's behind the one before, and holds the weights and a batch.
 
 Defined results: a null text scores like an empty one, whose only feature is the bias; texts count whole; equal texts get
 equal scores; without labelled rows every score is 0.5; an empty table gives an empty table; only the id and text columns
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder, training_rows
+from .shared import in_batches
 from .textvec import Words, batched, mix, shingles
 
 FOLDS, HELD_OUT = 3, 1
@@ -90,7 +92,8 @@ def logistic(x):
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> np.ndarray:
-    """Weights (float32, 2**18 + 1 of them) from about ``per_class`` labelled documents of each class at most."""
+    """Weights (float32, 2**18 + 1 of them) from about ``per_class`` labelled documents of each class at most. The driver
+    gets the weights only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -98,16 +101,22 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
             for part in batched(list(enumerate(texts))):
                 found = sparse([t for _, t in part])
                 at = [i for i, _ in part]
-                yield pd.DataFrame({"id": b["id"].to_numpy()[at], "y": b["y"].to_numpy()[at], "idx": [f[0].tobytes() for f in found], "val": [f[1].tobytes() for f in found]})
+                ids = b["id"].to_numpy(dtype=np.int64)[at]
+                place = (mix(ids.view(np.uint64) + np.uint64(1)) ^ np.uint64(1 << 63)).view(np.int64)  # in order as unsigned
+                yield pd.DataFrame({"place": place, "id": ids, "y": b["y"].to_numpy()[at], "idx": [f[0].tobytes() for f in found], "val": [f[1].tobytes() for f in found]})
 
-    rows = training_rows(docs, labels, "quality", FOLDS, HELD_OUT, per_class).mapInPandas(run, "id long, y int, idx binary, val binary").toPandas()
-    model = Follower()
-    rows["order"] = mix(rows["id"].to_numpy(dtype=np.int64).view(np.uint64) + np.uint64(1)) if len(rows) else []
-    rows = rows.sort_values(["order", "id", "idx", "val"], ignore_index=True)
-    for _ in range(EPOCHS):
-        for r in rows.itertuples():
-            model.learn(np.frombuffer(r.idx, dtype=np.int32), np.frombuffer(r.val, dtype=np.float32), r.y)
-    return model.weights().astype(np.float32)
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Follower()
+        for b in batches:
+            for r in b.itertuples():
+                model.learn(np.frombuffer(r.idx, dtype=np.int32), np.frombuffer(r.val, dtype=np.float32), r.y)
+        yield pd.DataFrame({"weights": [model.weights().astype(np.float32).tobytes()]})
+
+    rows = in_batches(training_rows(docs, labels, "quality", FOLDS, HELD_OUT, per_class))
+    rows = rows.mapInPandas(run, "place long, id long, y int, idx binary, val binary")
+    stream = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS)))).repartition(1).sortWithinPartitions("epoch", "place", "id", "idx", "val")
+    made = stream.select("y", "idx", "val").mapInPandas(learn, "weights binary").first()
+    return np.frombuffer(made["weights"], dtype=np.float32) if made else Follower().weights().astype(np.float32)
 
 
 def score_texts(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
@@ -126,7 +135,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             done = [score_texts([t for _, t in part], w) for part in batched(list(enumerate(texts)))]
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": np.concatenate(done) if done else np.zeros(0)})
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double")
+    scored = in_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInPandas(run, "doc_id long, score double")
     return scored.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -1,7 +1,7 @@
 """URL filter over a sorted digest array.
 
 Rules (host and path prefix, allow or block) are kept as a file: their 64-bit xxhash keys in ascending order, and beside
-them the full rule strings. Each executor gets the file through Spark's file distribution and maps it into memory, so
+them the full rule strings. The driver makes the file, and holds the list it is given while it does. Each executor gets the file through Spark's file distribution and maps it into memory, so
 that a list of any length costs one copy of pages for each machine. A URL's probes are its host and every parent domain,
 each with every path prefix whose length some rule has; all probes of a batch go through one vectorised binary search,
 and a key that is found counts only if the stored string is the probe's.
@@ -13,7 +13,9 @@ empty table; equal URLs get equal verdicts; only page_id and url of the input ar
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import struct
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -25,6 +27,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_batches
+
 HEAD = struct.Struct("<8sQQ")
 MAGIC = b"LKURL001"
 
@@ -130,6 +134,7 @@ def judge_urls(urls: Iterable[str | None], rules: RuleFile, default: str) -> lis
 def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """Judge every URL; the rule file reaches executors through SparkContext.addFile, late ones too."""
     folder = tempfile.mkdtemp(prefix="lorekeep-url-")
+    atexit.register(shutil.rmtree, folder, True)  # the driver serves the file from there as long as it lives
     name = f"{os.path.basename(folder)}.rules"
     write_rules(rules, f"{folder}/{name}")
     pages.sparkSession.sparkContext.addFile(f"{folder}/{name}")
@@ -142,4 +147,4 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], key: str = "
             yield judged
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(F.col(key).alias("page_id"), F.col(url).alias("url")).mapInPandas(run, f"page_id {kind}, host string, path string, rule string, verdict string")
+    return in_batches(pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"))).mapInPandas(run, f"page_id {kind}, host string, path string, rule string, verdict string")
