@@ -1,17 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A learned lexicon of insults (words, and stems that many words share) is weighted by how much more documents marked toxic
-use them. Clauses with a lexicon entry are read as symbols (insult, threat, target, negation, report, quote, other) by
-transducers that each carry symbols on with marks: negated, reported, targeted. Composed, they are one deterministic
-machine, whose product states are made when first met; a clause's score is the weight of its marked symbols. A document's
-score is a logistic function of its clauses' sum over the root of its length, with two coefficients fitted on the
-training rows.
+Five transducers read a clause, one behind the other. Insult reads words letter by letter along a tree of learned entries
+(words, and stems that many words share), whose arcs carry the entries' weights; threat marks verbs of violence, and those
+that follow a word of intent; target marks what a person addressed or spoken of stands near, before or behind; negation and
+reported speech mark what they reach. Each hands its symbols with their marks to the next, and the last one's arcs weigh
+what is left: an entry's weight times the factors of its marks. A target that comes later is guessed, and a guess that
+does not come true is a path that ends; of the paths through a clause exactly one is left. Composed, the transducers are
+one machine whose product states and arcs are made when first met; a clause's score is the weight of its path. A document's
+score is a logistic function of its clauses' sum over the root of its length. Entries, factors and the two coefficients
+are learned from the training rows; without evidence a factor keeps its default.
 
 Isolated words do not count as such: an entry counts as much as its clause lets it.
 
-Defined results: a null text scores like an empty one, with no clause at all; texts count whole; equal texts get equal
-scores; without labelled rows the lexicon has the fixed threats only and coefficients keep their defaults; an empty table
-gives an empty table; only the id and text columns are read, and labels only of rows that are not held out.
+Defined results: a null text scores like an empty one, with no clause at all; texts count whole, and words of any length;
+equal texts get equal scores; without labelled rows the lexicon has the fixed threats only and coefficients keep their
+defaults; an empty table gives an empty table; only the id and text columns are read, so that extra columns don't matter,
+and labels only of rows that are not held out.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,16 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder, training_rows
-from .shared import fresh
+from .shared import fresh, in_batches
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE_PER_CLASS = 2500
 STEM_LENGTHS = range(3, 9)
-LONGEST_WORD = 40
-LEXICON_SIZE = 4000
+LEAST_DOCUMENTS = 3
 LEAST_EVIDENCE = 20.0
 LEAST_ODDS = 2.0
 MOST_WEIGHT = 6.0
+TERMS_AT_ONCE = 200_000
 SPAN = 4
 PRIOR_WORDS = 20
 DENSITY_SCALE = 10.0
@@ -47,103 +52,177 @@ CLAUSE_END = re.compile(r"[.!?;:\n]")
 
 #: Closed-class words of the grammar in English, German, French and Spanish.
 THREATS = "kill hurt destroy murder stab shoot strangle beat töten umbringen verprügeln tuer frapper égorger matar golpear degollar".split()
+INTENTS = "will shall gonna going must werde werden wird vais va vont voy vamos van".split()
 TARGETS = "you your yours yourself he she they them him her du dich dir dein deine ihr euch sie er tu te toi vous votre il elle ils elles usted tú tus ustedes ellos ellas él ella".split()
 NEGATIONS = "not never no none nobody neither nor cannot isn wasn aren don doesn didn won nicht nie niemals kein keine keinen keiner ne pas jamais aucun aucune non nunca jamás ningún ninguna tampoco".split()
 REPORTS = "said says say claimed claims reported reports quoted quotes alleged told sagte sagt behauptete berichtete zitierte dit disait déclare affirma rapporte dijo dice afirmó declaró informó citó".split()
 QUOTES = frozenset("\"“”„«»")
-THREAT_WEIGHT = 3.0
 
-#: Multipliers of an entry's weight by its marks.
-FACTORS = {"targeted": 1.5, "negated": 0.2, "reported": 0.4}
-UNTARGETED_THREAT = 0.0
+#: What an entry's weight is multiplied by for its marks; ``threat`` is the weight of a verb of violence with a target
+#: (without one it is nothing). Training moves them as far as the labels say.
+FACTORS = {"targeted": 1.5, "negated": 0.2, "reported": 0.4, "meant": 1.5, "threat": 3.0}
+HELD = 4.0  # how strongly training holds them: the precision of their logarithms
+
+Symbol = tuple[str, frozenset]
+ABUSE = ("insult", "threat")
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic transducer. ``step`` takes a state and a symbol with marks, and gives the next state and marks."""
+    """``step`` takes a state and a symbol (kind, marks), and gives the arcs: (next state, symbol) for each way on.
+    ``accepts`` says whether a clause may end in a state."""
 
     start: object
-    step: Callable[[object, str, frozenset], tuple[object, frozenset]]
+    step: Callable[[object, Symbol], list[tuple[object, Symbol]]]
+    accepts: Callable[[object], bool] = lambda state: True
+
 
+def _threat(left: int, symbol: Symbol) -> list[tuple[int, Symbol]]:
+    """A verb of violence behind a word of intent is meant."""
+    kind, marks = symbol
+    if kind == "intent":
+        return [(SPAN, symbol)]
+    return [(max(0, left - 1), (kind, marks | {"meant"}) if left and kind == "threat" else symbol)]
 
-def _negate(left: int, kind: str, marks: frozenset) -> tuple[int, frozenset]:
+
+def _target(state: tuple[int, int, int], symbol: Symbol) -> list[tuple[tuple[int, int, int], Symbol]]:
+    """Abuse with a target among the words before it is targeted. Without one, two paths go on: the next words have a
+    target (it must come while ``awaited`` lasts), or they have none (none may come while ``barred`` does)."""
+    left, awaited, barred = state
+    kind, marks = symbol
+    if kind == "target":
+        return [] if barred else [((SPAN, 0, 0), symbol)]
+    if awaited == 1:
+        return []
+    after = (max(0, left - 1), max(0, awaited - 1), max(0, barred - 1))
+    if kind not in ABUSE:
+        return [(after, symbol)]
+    aimed = (kind, marks | {"targeted"})
+    if left:
+        return [(after, aimed)]
+    return [((0, after[1] or SPAN, after[2]), aimed), ((0, after[1], SPAN), symbol)]
+
+
+def _negate(left: int, symbol: Symbol) -> list[tuple[int, Symbol]]:
     """After a negation the next words are negated."""
+    kind, marks = symbol
     if kind == "negation":
-        return SPAN, marks
-    return max(0, left - 1), marks | {"negated"} if left and kind in ("insult", "threat") else marks
+        return [(SPAN, symbol)]
+    return [(max(0, left - 1), (kind, marks | {"negated"}) if left and kind in ABUSE else symbol)]
 
 
-def _report(state: tuple[bool, bool], kind: str, marks: frozenset) -> tuple[tuple[bool, bool], frozenset]:
+def _report(state: tuple[bool, bool], symbol: Symbol) -> list[tuple[tuple[bool, bool], Symbol]]:
     """After a verb of reporting, or between quotation marks, what a clause has is reported."""
     told, quoted = state
-    if kind == "report":
-        told = True
-    if kind == "quote":
-        quoted = not quoted
-    return (told, quoted), marks | {"reported"} if (told or quoted) and kind in ("insult", "threat") else marks
+    kind, marks = symbol
+    told, quoted = told or kind == "report", quoted != (kind == "quote")
+    return [((told, quoted), (kind, marks | {"reported"}) if (told or quoted) and kind in ABUSE else symbol)]
 
 
-def _target(left: int, kind: str, marks: frozenset) -> tuple[int, frozenset]:
-    """An entry near a person addressed or spoken of is targeted."""
-    if kind == "target":
-        return SPAN, marks
-    return max(0, left - 1), marks | {"targeted"} if left and kind in ("insult", "threat") else marks
+THREAT = Transducer(0, _threat)
+TARGET = Transducer((0, 0, 0), _target, lambda state: not state[1])
+NEGATE, REPORT = Transducer(0, _negate), Transducer((False, False), _report)
+
+
+class Insult:
+    """The tree of entries as a weighted acceptor of letters. An arc carries what its letter adds to the heaviest stem so
+    far; a word's end adds what the whole word has beyond that. The path's sum is the heaviest entry's weight."""
 
+    def __init__(self, lexicon: dict[str, float]):
+        self.arcs: list[dict[str, tuple[int, float]]] = [{}]
+        stem, whole = [0.0], [0.0]
+        for entry, weight in lexicon.items():
+            at = 0
+            for c in entry.rstrip("*"):
+                if c not in self.arcs[at]:
+                    self.arcs[at][c] = (len(self.arcs), 0.0)
+                    self.arcs.append({})
+                    stem.append(0.0)
+                    whole.append(0.0)
+                at = self.arcs[at][c][0]
+            held = stem if entry[-1] == "*" else whole
+            held[at] = max(held[at], weight)
+        self.ends = [0.0] * len(self.arcs)
+        todo = [(0, 0.0)]
+        while todo:
+            at, best = todo.pop()
+            self.ends[at] = max(0.0, whole[at] - best)
+            for c, (to, _) in self.arcs[at].items():
+                gain = max(0.0, stem[to] - best)
+                self.arcs[at][c] = (to, gain)
+                todo.append((to, best + gain))
 
-NEGATE, REPORT, TARGET = Transducer(0, _negate), Transducer((False, False), _report), Transducer(0, _target)
+    def weight(self, word: str) -> float:
+        at, total = 0, 0.0
+        for c in word:
+            arc = self.arcs[at].get(c)
+            if arc is None:
+                return total
+            at, total = arc[0], total + arc[1]
+        return total + self.ends[at]
 
 
 @dataclass
 class Composed:
-    """The cascade of transducers as one machine; its product states and arcs are kept as they are met."""
+    """The cascade as one machine over kinds of words. Its states are tuples of the parts' states; states and arcs are kept
+    as they are met. An arc has the symbol that comes out of the last part."""
 
     parts: tuple[Transducer, ...]
-    states: dict = field(default_factory=dict)
     arcs: dict = field(default_factory=dict)
-    tuples: list = field(default_factory=list)
-
-    def state(self, t: tuple) -> int:
-        if t not in self.states:
-            self.states[t] = len(self.tuples)
-            self.tuples.append(t)
-        return self.states[t]
-
-    def run(self, kinds: list[str]) -> list[frozenset]:
-        at, out = self.state(tuple(p.start for p in self.parts)), []
-        for kind in kinds:
-            arc = self.arcs.get((at, kind))
-            if arc is None:
-                marks, following = frozenset(), []
-                for p, s in zip(self.parts, self.tuples[at], strict=True):
-                    s, marks = p.step(s, kind, marks)
-                    following.append(s)
-                arc = self.arcs[at, kind] = (self.state(tuple(following)), marks)
-            at = arc[0]
-            out.append(arc[1])
-        return out
+
+    @property
+    def start(self) -> tuple:
+        return tuple(p.start for p in self.parts)
+
+    def step(self, state: tuple, kind: str) -> list[tuple[tuple, Symbol]]:
+        found = self.arcs.get((state, kind))
+        if found is None:
+            found = [((), (kind, frozenset()))]
+            for p, s in zip(self.parts, state, strict=True):
+                found = [((*done, to), out) for done, symbol in found for to, out in p.step(s, symbol)]
+            self.arcs[state, kind] = found
+        return found
+
+    def accepts(self, state: tuple) -> bool:
+        return all(p.accepts(s) for p, s in zip(self.parts, state, strict=True))
+
+    def run(self, kinds: list[str], weigh: Callable[[int, Symbol], float]) -> float:
+        """The weight of the best accepting path; ``weigh`` gives that of the last part's arc at a place."""
+        live = {self.start: 0.0}
+        for i, kind in enumerate(kinds):
+            ahead: dict[tuple, float] = {}
+            for state, total in live.items():
+                for to, symbol in self.step(state, kind):
+                    w = total + (weigh(i, symbol) if symbol[0] in ABUSE else 0.0)
+                    if w > ahead.get(to, -math.inf):
+                        ahead[to] = w
+            live = ahead
+        return max((w for state, w in live.items() if self.accepts(state)), default=0.0)
+
+
+CASCADE = (THREAT, TARGET, NEGATE, REPORT)
 
 
 class Grammar:
     """``lexicon`` maps entries to weights; an entry that ends with * is a stem."""
 
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[str, float], factors: dict[str, float] | None = None):
         import ahocorasick
 
-        self.lexicon = lexicon
-        self.kinds = {w: k for k, ws in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS), ("threat", THREATS)) for w in ws}
-        self.machine = Composed((NEGATE, REPORT, TARGET))
-        self.backward = Composed((TARGET,))
+        self.insult, self.factors = Insult(lexicon), factors or FACTORS
+        lists = (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS), ("intent", INTENTS), ("threat", THREATS))
+        self.kinds = {w: k for k, ws in lists for w in ws} | {q: "quote" for q in QUOTES}
+        self.machine = Composed(CASCADE)
         self.seek = ahocorasick.Automaton()
         for w in [*lexicon, *THREATS]:
             word = w.rstrip("*")
             _, stem = self.seek.get(word, (0, False))
             self.seek.add_word(word, (len(word), stem or w[-1] == "*"))
         self.seek.make_automaton()
-        self.stems = sorted({len(w) - 1 for w in lexicon if w[-1] == "*"})
 
     def weight(self, word: str) -> float:
         """Of an insult: the entry that is the word, or the heaviest of its stems."""
-        return max([self.lexicon.get(word, 0.0), *(self.lexicon.get(word[:n] + "*", 0.0) for n in self.stems if n <= len(word))])
+        return self.insult.weight(word)
 
     def hits(self, text: str) -> list[int]:
         """Where entries stand at a word's start."""
@@ -166,18 +245,22 @@ class Grammar:
             yield text[max(begin, done) : stop]
             done = stop
 
-    def clause_score(self, clause: str) -> float:
+    def read(self, clause: str) -> tuple[list[str], list[float]]:
+        """Each word's kind, and the insult's weight."""
         tokens = TOKEN.findall(clause)
         weights = [self.weight(t) for t in tokens]
-        kinds = ["quote" if t in QUOTES else "insult" if w else self.kinds.get(t, "other") for t, w in zip(tokens, weights, strict=True)]
-        ahead = self.backward.run(kinds[::-1])[::-1]  # a target may follow
-        total = 0.0
-        for kind, w, marks, after in zip(kinds, weights, self.machine.run(kinds), ahead, strict=True):
-            if kind in ("insult", "threat"):
-                marks = marks | after
-                w = w or THREAT_WEIGHT * (1.0 if "targeted" in marks else UNTARGETED_THREAT)
-                total += w * math.prod(FACTORS[m] for m in marks)
-        return total
+        return ["insult" if w else self.kinds.get(t, "other") for t, w in zip(tokens, weights, strict=True)], weights
+
+    def arc_weight(self, weight: float, symbol: Symbol) -> float:
+        kind, marks = symbol
+        if kind == "threat":
+            weight = self.factors["threat"] if "targeted" in marks else 0.0
+            marks = marks - {"targeted"}
+        return weight * math.prod(self.factors[m] for m in marks)
+
+    def clause_score(self, clause: str) -> float:
+        kinds, weights = self.read(clause)
+        return self.machine.run(kinds, lambda i, symbol: self.arc_weight(weights[i], symbol))
 
     def density(self, text: str | None) -> float:
         """The clauses' sum by the square root of the text's words: chance entries are more frequent in longer texts."""
@@ -185,111 +268,171 @@ class Grammar:
         total = sum(map(self.clause_score, self.clauses(text.lower())))
         return total / math.sqrt(len(text.split()) + PRIOR_WORDS) if total else 0.0
 
+    def profile(self, text: str | None) -> np.ndarray:
+        """What ``density`` is the sum of, by combination of marks: its product with ``mark_factors`` is the density."""
+        text, out = text or "", np.zeros(len(COMBINATIONS))
+        for clause in self.clauses(text.lower()):
+            kinds, weights = self.read(clause)
+            for i, symbol in self.path(kinds):
+                kind, marks = symbol
+                if kind == "insult" or "targeted" in marks:
+                    out[COMBINATIONS.index(symbol)] += weights[i] if kind == "insult" else 1.0
+        return out / math.sqrt(len(text.split()) + PRIOR_WORDS)
 
-def evidence(pos, neg, n_pos: int, n_neg: int):
-    """Log-odds and the likelihood ratio statistic of a term that ``pos`` and ``neg`` documents of the classes have."""
-    pos, neg = np.asarray(pos, dtype=float), np.asarray(neg, dtype=float)
-    odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
-    share = (pos + neg) / (n_pos + n_neg)
+    def path(self, kinds: list[str]) -> list[tuple[int, Symbol]]:
+        """The abuse along the accepting path: place and symbol."""
+        live: dict[tuple, list] = {self.machine.start: []}
+        for i, kind in enumerate(kinds):
+            live = {to: held + [(i, symbol)] if symbol[0] in ABUSE else held for state, held in live.items() for to, symbol in self.machine.step(state, kind)}
+        return next((held for state, held in live.items() if self.machine.accepts(state)), [])
 
-    def part(k, n, p):
-        q = k / n
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(k > 0, k * np.log(q / p), 0) + np.where(k < n, (n - k) * np.log((1 - q) / (1 - p)), 0)
 
-    return odds, 2 * (part(pos, n_pos, share) + part(neg, n_neg, share))
+def _combinations() -> list[Symbol]:
+    subsets = lambda names: [frozenset(n for k, n in enumerate(names) if bits >> k & 1) for bits in range(1 << len(names))]
+    insults = [("insult", s) for s in subsets(["targeted", "negated", "reported"])]
+    return insults + [("threat", s | {"targeted"}) for s in subsets(["negated", "reported", "meant"])]
+
+
+COMBINATIONS = _combinations()
+
+
+def mark_factors(factors: dict[str, float]) -> np.ndarray:
+    whole = lambda kind, marks: (factors["threat"] if kind == "threat" else 1.0) * math.prod(factors[m] for m in marks if kind == "insult" or m != "targeted")
+    return np.array([whole(kind, marks) for kind, marks in COMBINATIONS])
 
 
 def learn_lexicon(rows: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
     """Entries by document counts of the sample's words and stems. Of entries of which one begins the other, the one with
-    more evidence stays (the longer at a tie)."""
+    more evidence stays (the longer at a tie). What is collected has the evidence, and so comes from ``LEAST_DOCUMENTS``
+    or more documents of the sample: the sample bounds it."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[int]] = {}
+        done = lambda: pd.DataFrame([(t, p, n) for t, (n, p) in held.items()], columns=["term", "pos", "neg"])
         for b in batches:
             for t, y in zip(b["text"], b["y"], strict=True):
-                words = {w for w in WORD.findall((t or "").lower()) if len(w) <= LONGEST_WORD}
+                words = set(WORD.findall((t or "").lower()))
                 for term in words | {w[:n] + "*" for w in words for n in STEM_LENGTHS if n < len(w)}:
                     held.setdefault(term, [0, 0])[y] += 1
-        yield pd.DataFrame([(t, p, n) for t, (n, p) in held.items()], columns=["term", "pos", "neg"])
-
-    counts = rows.select("text", "y").mapInPandas(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    common = counts.where((F.col("pos") >= 3) & (F.col("pos") * max(n_neg, 1) > 4 * F.col("neg") * max(n_pos, 1)))
-    best = common.orderBy(F.desc("pos"), "neg", "term").limit(5 * LEXICON_SIZE).toPandas()
-    if not len(best):
-        return {}
-    odds, stat = evidence(best["pos"], best["neg"], n_pos, n_neg)
-    keep = (odds >= LEAST_ODDS) & (stat >= LEAST_EVIDENCE)
-    ranked = sorted(zip(-stat[keep], [-len(t) - (t[-1] != "*") for t in best["term"][keep]], best["term"][keep], odds[keep], strict=True))
+                if len(held) > TERMS_AT_ONCE:
+                    yield done()
+                    held = {}
+        yield done()
+
+    counts = in_batches(rows.select("text", "y")).mapInPandas(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    odds, stat = evidence(F.col("pos").cast("double"), F.col("neg").cast("double"), n_pos, n_neg)
+    found = counts.where(F.col("pos") >= LEAST_DOCUMENTS).select("term", odds.alias("odds"), stat.alias("stat"))
+    best = found.where((F.col("odds") >= LEAST_ODDS) & (F.col("stat") >= LEAST_EVIDENCE)).collect()
+    ranked = sorted(best, key=lambda r: (-r["stat"], -len(r["term"]) - (r["term"][-1] != "*"), r["term"]))
     taken: dict[str, float] = {}
     begun: set[str] = set()
-    for _, _, term, odd in ranked:
+    for r in ranked:
+        term = r["term"]
         bare = term.rstrip("*")
-        if len(taken) >= LEXICON_SIZE:
-            break
         if any(bare[:n] + "*" in taken for n in range(1, len(bare) + 1)) or term[-1] == "*" and bare in begun:
             continue
-        taken[term] = float(min(odd, MOST_WEIGHT))
+        taken[term] = min(r["odds"], MOST_WEIGHT)
         begun.update(bare[:n] for n in range(1, len(bare) + 1))
     return taken
 
 
+def evidence(pos, neg, n_pos: int, n_neg: int):
+    """Log-odds and the likelihood ratio statistic of a term that ``pos`` and ``neg`` documents of the classes have, as
+    columns."""
+    odds = F.log((pos + 0.5) / (n_pos + 1)) - F.log((neg + 0.5) / (n_neg + 1))
+    share = (pos + neg) / (n_pos + n_neg)
+
+    def part(k, n):
+        q = k / n
+        return F.when(k > 0, k * F.log(q / share)).otherwise(0.0) + F.when(k < n, (n - k) * F.log((1 - q) / (1 - share))).otherwise(0.0)
+
+    return odds, 2 * (part(pos, n_pos) + part(neg, n_neg))
+
+
 @dataclass
 class Model:
     lexicon: dict[str, float]
     slope: float = 3.0
     offset: float = -5.0
+    factors: dict[str, float] = field(default_factory=lambda: dict(FACTORS))
 
     def scores(self, density: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-(self.slope * np.log1p(DENSITY_SCALE * density) + self.offset)))
 
-
-def fit(density: np.ndarray, y: np.ndarray, model: Model) -> Model:
-    """Logistic regression on the logarithm of the density by Newton steps, with a pull to the defaults; the slope stays
-    positive, and a text without entries scores below one half."""
-    x = np.c_[np.log1p(DENSITY_SCALE * density), np.ones(len(density))]
-    prior = np.array([model.slope, model.offset])
-    w = prior.copy()
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        grad = x.T @ (p - y) + 0.5 * (w - prior)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(hess, grad), -1, 1)
-    return Model(model.lexicon, max(0.1, float(w[0])), float(min(w[1], -0.1)))
-
-
-def densities(docs: DataFrame, lexicon: dict[str, float], keep: str) -> DataFrame:
-    """(kept, density). The lexicon goes along with the tasks: it has ``LEXICON_SIZE`` entries at most."""
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grammar = Grammar(held.value)
-        for b in batches:
-            yield pd.DataFrame({"kept": b["kept"], "density": [grammar.density(t) for t in b["text"]]})
-
-    kind = docs.schema[keep].dataType.simpleString()
-    return docs.select(F.col(keep).alias("kept"), "text").mapInPandas(run, f"kept {kind}, density double")
+    def grammar(self) -> Grammar:
+        return grammar_of(tuple(sorted(self.lexicon.items())), tuple(sorted(self.factors.items())))
+
+
+@lru_cache(maxsize=2)
+def grammar_of(lexicon: tuple, factors: tuple) -> Grammar:
+    """The process's own, kept between tasks."""
+    return Grammar(dict(lexicon), dict(factors))
+
+
+def fit(profiles: np.ndarray, y: np.ndarray, model: Model) -> Model:
+    """Slope, offset and the marks' factors (their logarithms) by Newton steps with backtracking on the logistic loss, with
+    a pull to the defaults; the slope stays positive, and a text without entries scores below one half."""
+    names = list(model.factors)
+    prior = np.array([model.slope, model.offset, *(math.log(model.factors[n]) for n in names)])
+    pull = np.array([0.5, 0.5, *([HELD] * len(names))])
+
+    def loss(p: np.ndarray) -> float:
+        density = profiles @ mark_factors({n: math.exp(v) for n, v in zip(names, p[2:], strict=True)})
+        z = p[0] * np.log1p(DENSITY_SCALE * density) + p[1]
+        return float(np.logaddexp(0, z).sum() - (z * y).sum() + 0.5 * (pull * (p - prior) ** 2).sum())
+
+    p, eye, h = prior.copy(), np.eye(len(prior)), 1e-4
+    for _ in range(40):
+        at = loss(p)
+        step = [loss(p + h * e) for e in eye]
+        back = [loss(p - h * e) for e in eye]
+        grad = np.array([(a - b) / (2 * h) for a, b in zip(step, back, strict=True)])
+        hess = np.array([[(loss(p + h * (e + f)) - step[i] - step[j] + at) / h**2 for j, f in enumerate(eye)] for i, e in enumerate(eye)])
+        value, vector = np.linalg.eigh((hess + hess.T) / 2)
+        move = np.clip(-(vector / np.maximum(np.abs(value), 0.1)) @ (vector.T @ grad), -1, 1)
+        while np.abs(move).max() > 1e-7 and loss(p + move) >= at:
+            move /= 2
+        if np.abs(move).max() <= 1e-7:
+            break
+        p = p + move
+    return Model(model.lexicon, max(0.1, float(p[0])), float(min(p[1], -0.1)), {n: math.exp(v) for n, v in zip(names, p[2:], strict=True)})
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Lexicon and coefficients from about ``per_class`` labelled documents of each class at most."""
+    """Lexicon, factors and coefficients from about ``per_class`` labelled documents of each class at most. The driver gets
+    the entries, and a row of ``COMBINATIONS`` numbers for each document of the sample."""
     rows = training_rows(docs, labels, "toxic", FOLDS, HELD_OUT, per_class).persist()
     try:
         n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
         if not n.get(0) or not n.get(1):
             return Model({})
         model = Model(learn_lexicon(rows, n[1], n[0]))
-        found = densities(rows, model.lexicon, "y").toPandas()
-        return fit(found["density"].to_numpy(), found["kept"].to_numpy(), model)
+        held = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            grammar = held.value.grammar()
+            for b in batches:
+                yield pd.DataFrame({"y": b["y"], "profile": [grammar.profile(t) for t in b["text"]]})
+
+        found = in_batches(rows.select("y", "text")).mapInPandas(run, "y int, profile array<double>").toPandas()
+        order = np.argsort([p.tobytes() for p in map(np.asarray, found["profile"])], kind="stable")  # sums don't depend on where rows lay
+        return fit(np.stack(found["profile"].to_numpy()[order]), found["y"].to_numpy()[order], model)
     finally:
         rows.unpersist()
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document."""
-    found = densities(docs.select(F.col("doc_id").cast("long"), "text"), model.lexicon, "doc_id")
-    value = 1 / (1 + F.exp(-(F.lit(model.slope) * F.log1p(DENSITY_SCALE * F.col("density")) + F.lit(model.offset))))
-    return found.select(F.col("kept").alias("doc_id"), (remainder(F.col("kept"), FOLDS) == HELD_OUT).alias("held_out"), value.alias("score"), (value >= 0.5).cast("int").alias("predicted"))
+    """(doc_id, held_out, score, predicted) of every document. The model that goes along with the tasks has the sample's
+    entries."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grammar = held.value.grammar()
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "score": held.value.scores(np.array([grammar.density(t) for t in b["text"]], dtype=float))})
+
+    found = in_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInPandas(run, "doc_id long, score double")
+    return found.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -304,8 +447,8 @@ def toxicity_filter(docs: DataFrame, labels: DataFrame, model: Model | None = No
 
     @F.pandas_udf("double")
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        grammar = Grammar(held.value.lexicon)
+        grammar = held.value.grammar()
         for b in batches:
             yield pd.Series(held.value.scores(np.array([grammar.density(t) for t in b], dtype=float)))
 
-    return docs.withColumn(name, toxic(docs["text"])).where(F.col(name) < 0.5).drop(name)
+    return in_batches(docs).withColumn(name, toxic(docs["text"])).where(F.col(name) < 0.5).drop(name)
