@@ -1,12 +1,18 @@
 """Main text of web pages: parser events, text-to-tag ratios, smoothing and threshold clustering.
 
 The standard library's parser streams events. Block tags cut the page into lines; each line has its text, the number of
-tags that it holds, and the elements that it lies in. Lines in elements that are never an article's text (scripts, menus,
-footers, forms and the like, or such by role) are put aside, and those that class or id mark as such unless what they hold
-says otherwise. The ratios of text to tags of the other lines
-are smoothed with a Gaussian, and a threshold at their spread parts them into content and the rest. The content region is
-the article or main element with the most content, or the deepest element that holds nearly all content; a region's short
-lines belong to it like its long ones.
+tags that it holds, how much of its text is links, and the elements that it lies in. Lines in elements that are never an
+article's text (scripts, menus, footers, forms and the like, or such by role) are put aside. The ratios of text to tags of
+the other lines are smoothed with a Gaussian along the page, and a threshold parts them into two clusters, content and the
+rest: the one that a share of the ratios' spread gives, or the widest gap between the clusters' means (two means), whichever
+is lower.
+
+Clusters decide, tags and names only weigh. The content region is the named region (article, main) that holds the most
+content, as long as no other element holds far more; else the deepest element that holds nearly all content. An element
+that its class or id marks as no article's text stays out, unless the content lies in it. In the region, a run of lines
+that the clusters call no content goes if its text is mostly links: a menu. Other short lines belong to the article like
+its long ones. Without a named region the article reaches from the first content line, or the heading before it, to the
+last.
 
 Defined results: a null or empty page has an empty text; a page of any length is read whole, in linear time; a page that
 ends in the middle of an element, tag or reference is read up to there; equal pages give equal texts; an empty table gives
@@ -25,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_batches
+
 #: HTML's elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -55,6 +63,8 @@ SPACE = re.compile(r"\s+")
 SIGMA = 1.5
 THRESHOLD = 0.5
 MOST = 0.8
+FAR_MORE = 4.0  # content outside of the named region, for it not to be the region
+LINKED = 0.5  # share of a line's text in links
 
 
 @lru_cache(maxsize=4096)
@@ -63,10 +73,10 @@ def marks_aside(names: str) -> bool:
 
 
 class Line:
-    __slots__ = ("inside", "aside", "heading", "parts", "tags")
+    __slots__ = ("inside", "aside", "heading", "parts", "tags", "linked")
 
     def __init__(self, inside: int, aside: bool, heading: bool):
-        self.inside, self.aside, self.heading, self.parts, self.tags = inside, aside, heading, [], 0
+        self.inside, self.aside, self.heading, self.parts, self.tags, self.linked = inside, aside, heading, [], 0, 0
 
 
 class LineReader(HTMLParser):
@@ -79,6 +89,7 @@ class LineReader(HTMLParser):
         self.lines: list[Line] = []
         self.line: Line | None = None
         self.suspects: set[int] = set()
+        self.anchors = 0  # links that are open
 
     def cut(self) -> None:
         self.line = None
@@ -133,6 +144,7 @@ class LineReader(HTMLParser):
         if aside and not top[2] or suspect:
             self.cut()
         self.open.append((element, tag, aside, top[3] or tag in HEADING))
+        self.anchors += tag == "a"
         if self.line:
             self.line.tags += 1
 
@@ -148,6 +160,7 @@ class LineReader(HTMLParser):
             if self.open[i][1] == tag:
                 if any(a or e in self.suspects for e, _, a, _ in self.open[i:]):
                     self.cut()
+                self.anchors -= sum(t == "a" for _, t, _, _ in self.open[i:])
                 del self.open[i:]
                 return
             if self.open[i][1] in BLOCK and tag not in BLOCK:
@@ -155,7 +168,9 @@ class LineReader(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.line is not None or data.strip():
-            self.current().parts.append(data)
+            line = self.current()
+            line.parts.append(data)
+            line.linked += len(data.strip()) if self.anchors else 0
 
 
 def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -166,16 +181,38 @@ def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(padded, kernel, mode="valid") / np.convolve(weight, kernel, mode="valid")
 
 
-def region_of(reader: LineReader, lines: list[Line], mass: np.ndarray) -> int:
-    """The element that the article lies in: 0 is the whole page."""
+def threshold(ratio: np.ndarray) -> float:
+    """Where smoothed ratios part into content and the rest: a share of their spread, or halfway between the means of two
+    clusters if that is lower (a page of long and short lines alike has a wide spread). Equal ratios are all content."""
+    low, high = float(ratio.min()), float(ratio.max())
+    for _ in range(50):
+        middle = (low + high) / 2
+        below, above = ratio[ratio < middle], ratio[ratio >= middle]
+        if not len(below):
+            return 0.0
+        now = float(below.mean()), float(above.mean())
+        if now == (low, high):
+            break
+        low, high = now
+    return min(THRESHOLD * float(ratio.std()), (low + high) / 2)
+
+
+def sums(reader: LineReader, lines: list[Line], values: np.ndarray) -> np.ndarray:
+    """What lies in each element, with all that is inside of it."""
     held = np.zeros(len(reader.parent))
-    for line, m in zip(lines, mass, strict=True):
-        held[line.inside] += m
+    np.add.at(held, [line.inside for line in lines], values)
     for e in range(len(reader.parent) - 1, 0, -1):  # children have larger numbers
         held[reader.parent[e]] += held[e]
-    named = [e for e in range(1, len(reader.parent)) if reader.tag_of[e] in REGION and held[e] > 0]
-    if named:
-        return max(named, key=lambda e: (held[e], e))
+    return held
+
+
+def region_of(reader: LineReader, held: np.ndarray, free: np.ndarray) -> int:
+    """The element that the article lies in, by the content that elements hold: 0 is the whole page. ``free`` are those
+    that no name marks, or that content clears."""
+    named = [e for e in range(1, len(reader.parent)) if reader.tag_of[e] in REGION and held[e] > 0 and free[e]]
+    best = max(named, key=lambda e: (held[e], -e), default=0)
+    if best and held[0] - held[best] <= FAR_MORE * held[best]:
+        return best
     best = 0
     for e in range(1, len(reader.parent)):
         if reader.parent[e] == best and held[e] >= MOST * held[0] > 0 and reader.tag_of[e] not in ("p", *HEADING, "li", "td"):
@@ -183,26 +220,18 @@ def region_of(reader: LineReader, lines: list[Line], mass: np.ndarray) -> int:
     return best
 
 
-def put_aside(reader: LineReader, found: list[tuple[Line, str]]) -> np.ndarray:
+def put_aside(reader: LineReader, lines: list[Line], content: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Elements that their names mark as aside, and what lies in them. A name is overruled if the element is or holds the
-    largest region, most of the page's text in lines of a high ratio, or is a
-    section within a region with a heading and a line of such a ratio."""
+    named region with the most content, or most of the page's content, or is a section within a region with a heading and
+    a content line."""
     size = len(reader.parent)
     aside = np.zeros(size, dtype=bool)
     if not reader.suspects:
         return aside
-    ratio = np.array([len(t) / max(1, line.tags) for line, t in found])
-    high = ratio >= ratio.mean()
-    held, best, titled = np.zeros(size), np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
-    for (line, text), h in zip(found, high, strict=True):
-        held[line.inside] += len(text) if h else 0
-        best[line.inside] |= h and not line.heading
-        titled[line.inside] |= line.heading
-    for e in range(size - 1, 0, -1):  # children have larger numbers
-        up = reader.parent[e]
-        held[up] += held[e]
-        best[up] |= best[e]
-        titled[up] |= titled[e]
+    text = np.array([not line.heading for line in lines])
+    held = sums(reader, lines, np.where(content, lengths, 0.0))
+    best = sums(reader, lines, (content & text).astype(float)) > 0
+    titled = sums(reader, lines, (~text).astype(float)) > 0
     e = max((e for e in range(1, size) if reader.tag_of[e] in REGION and held[e] > 0), key=lambda e: (held[e], -e), default=0)
     around = set()
     while e > 0:
@@ -217,7 +246,14 @@ def put_aside(reader: LineReader, found: list[tuple[Line, str]]) -> np.ndarray:
     return aside
 
 
-def main_text(html: str | None) -> str:
+def clustered(lines: list[Line], lengths: np.ndarray, sigma: float) -> np.ndarray:
+    """Which lines are content, by the smoothed ratios of text to tags."""
+    ratio = smoothed(lengths / np.maximum(1, [line.tags for line in lines]), sigma)
+    return ratio >= threshold(ratio)
+
+
+def main_text(html: str | None, sigma: float = SIGMA) -> str:
+    """The article's text. ``sigma`` is the width of the smoothing, in lines."""
     if not html:
         return ""
     reader = LineReader()
@@ -226,19 +262,20 @@ def main_text(html: str | None) -> str:
     found = [(line, text) for line in reader.lines if not line.aside and (text := SPACE.sub(" ", "".join(line.parts)).strip())]
     if not found:
         return ""
-    aside = put_aside(reader, found)
-    found = [(line, text) for line, text in found if not aside[line.inside]]
-    if not found:
+    lengths = np.array([len(t) for _, t in found], dtype=float)
+    content = clustered([line for line, _ in found], lengths, sigma)
+    aside = put_aside(reader, [line for line, _ in found], content, lengths)
+    keep = [i for i, (line, _) in enumerate(found) if not aside[line.inside]]
+    if not keep:
         return ""
+    found, lengths = [found[i] for i in keep], lengths[keep]
     lines = [line for line, _ in found]
-    ratio = smoothed(np.array([len(t) / max(1, line.tags) for line, t in found], dtype=float), SIGMA)
-    content = ratio >= THRESHOLD * ratio.std()
-    lengths = np.array([len(t) for _, t in found], dtype=float)
-    region = region_of(reader, lines, np.where(content, lengths, 0.0))
+    content = clustered(lines, lengths, sigma)
+    region = region_of(reader, sums(reader, lines, np.where(content, lengths, 0.0)), ~aside)
     inside = np.zeros(len(reader.parent), dtype=bool)
     for e in range(len(reader.parent)):
         inside[e] = e == region or e > 0 and inside[reader.parent[e]]
-    member = np.array([inside[line.inside] for line in lines])
+    member = inside[[line.inside for line in lines]]
     if reader.tag_of[region] not in REGION:
         # nothing says where the article ends: its lines are those from the first content line, or the heading before it, to the last
         on = np.flatnonzero(content & member)
@@ -247,6 +284,7 @@ def main_text(html: str | None) -> str:
             first -= 1
         member[:first] = False
         member[last + 1 :] = False
+    member &= content | (np.array([line.linked for line in lines]) < LINKED * lengths)
     return "\n".join(t for (_, t), keep in zip(found, member, strict=True) if keep)
 
 
@@ -259,4 +297,5 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
+    return in_batches(rows).mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
