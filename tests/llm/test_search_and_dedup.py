@@ -121,6 +121,26 @@ def test_one_of_each_keeps_columns_and_one_row(spark):
     assert simhash.one_of_each(empty).count() == 0 and simhash.report(empty).count() == 0
 
 
+def test_one_of_each_judges_rows_that_share_an_id(spark):
+    """Against a plain reimplementation: of each component the row with the smallest id and text hash, once."""
+    a, b, c = (f"{x} long text of its own, unlike any of the others here {x} {x}" for x in ("alpha", "beta", "gamma"))
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (5, b, 3), (7, c, 4), (7, b, 5), (6, c, 6), (None, c, 7), (8, None, 8), (9, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumns({"root": F.lit("r"), "fp": F.lit(0)})
+    assert {(r["doc_id"], r["text"]) for r in simhash.one_of_each(df).collect()} == {(1, a), (5, b), (6, c), (None, c), (8, None)}
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns and kept.count() == 5
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.report(df).collect()}
+    assert got[(5, f"{fingerprint(a):016x}")] == 1 and got[(5, f"{fingerprint(b):016x}")] == 5 and got[(7, f"{fingerprint(c):016x}")] == 6
+
+
+def test_a_very_long_text_has_the_fingerprint_of_all_its_words(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(300_002))
+    got = simhash.report(spark.createDataFrame([(1, text), (2, text + " end"), (3, "short one")], DOCS)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}
+    period = fingerprint(" ".join(text.split()[:5002]))  # the words recur, and so the hashes' shares are those of one period
+    assert {r["fingerprint"] for r in got if r["doc_id"] == 1} == {f"{period:016x}"}
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}
@@ -233,6 +253,61 @@ def test_cut_passages_leaves_the_first_and_counts_characters(spark):
     assert got[2]["text"] == f"{b}\nEnd here" and got[2]["n_chars"] == len(got[2]["text"])
 
 
+def test_rows_that_share_an_id_are_cut_each_at_its_own_places(spark):
+    rng = random.Random(14)
+    shared, other, tail = passage(rng, 70), passage(rng, 80), passage(rng, 10)
+    first = (1, f"{passage(rng, 60)}\n{shared}")
+    repeats, clean = f"{tail}\n{shared}", f"zz {other}"
+    for texts in ([repeats, clean], [clean, repeats], [clean, repeats, repeats]):
+        rows = [first, *((2, t) for t in texts), (3, None)]
+        got = sorted((r["doc_id"], r["text"] or "") for r in substring_dedup.cut_passages(spark.createDataFrame(rows, DOCS)).collect())
+        assert got == sorted([first, *((2, f"{tail}\n" if t == repeats else t) for t in texts), (3, "")])
+
+
+@pytest.mark.parametrize("local,hot", [(64, "all"), (2, "none"), (2, "all")])
+def test_how_rows_are_dealt_out_changes_nothing(spark, monkeypatch, local, hot):
+    """Links that a batch makes by itself, and frames dealt out one by one, cover what the plain way covers."""
+    rng = random.Random(15)
+    line, shared = passage(rng, 14), [passage(rng, 70) for _ in range(3)]
+    rows = []
+    for i in range(60):
+        middle = shared[i % 5] if i % 5 < 3 else passage(rng, 30)
+        rows.append((i, f"{passage(rng, 60)}\n{line}\n{middle}\n{passage(rng, 60)}"))
+    df = spark.createDataFrame(rows, DOCS).coalesce(2)
+    want = {5 * k + j for k in range(1, 12) for j in range(3)}
+    t = substring_dedup.PASSAGE_WORDS - substring_dedup.SHINGLE + 1
+    documents = substring_dedup.distinct_documents(df, "doc_id", "text")
+    often = substring_dedup.hot_signatures(documents, 60, t, least=1 if hot == "all" else 1000)
+    assert bool(often) == (hot == "all")
+    monkeypatch.setattr(substring_dedup, "LOCAL_GROUP", local)
+    found = substring_dedup.repeated_passages(df, hot=often).collect()
+    assert {r["doc_id"] for r in found} == want
+    for i in want:  # a row's source may have a part of the passage only; one at least has all of it
+        where = rows[i][1].split().index(shared[i % 5].split()[0])
+        assert any(r["doc_id"] == i and r["start"] <= where and r["stop"] >= where + 70 for r in found)
+
+
+def test_recall_of_near_passages_against_all_pairs(spark):
+    """Versions of one passage, each with words of its own, in documents that interleave: of the documents that all pairs
+    show to repeat an earlier passage at a similarity of 0.8, at least 0.9 are found."""
+    rng = random.Random(16)
+    versions = []
+    for group in range(6):
+        base = passage(rng, 150).split()
+        for _ in range(10):
+            own = list(base)
+            for at in rng.sample(range(150), rng.choice([1, 1, 2])):
+                own[at] = passage(rng, 1)
+            versions.append((group, own))
+    rng.shuffle(versions)
+    rows = [(i, f"{passage(rng, 50)}\n{' '.join(v)}\n{passage(rng, 50)}") for i, (_, v) in enumerate(versions)]
+    grams = [{tuple(v[k : k + 5]) for k in range(146)} for _, v in versions]
+    alike = lambda i, j: len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.8
+    want = {i for i in range(len(rows)) if any(versions[j][0] == versions[i][0] and alike(i, j) for j in range(i))}
+    found = {r["doc_id"] for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)).collect() if r["n_words"] >= 100}
+    assert len(want) >= 45 and found <= set(range(len(rows))) and len(found & want) >= 0.9 * len(want)
+
+
 def test_no_passages_in_nothing(spark):
     assert substring_dedup.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
