@@ -52,7 +52,7 @@ SLACK = 8
 BREAK_SHARE = 0.25  # of a passage: so many words put in leave a similarity of 0.8
 SHIFT = 64
 LOCAL_GROUP = 64  # windows of one signature in one batch; more are linked there
-HOT_SAMPLE, HOT_COUNT, HOT_LIST = 20_000, 20, 20_000  # documents looked at, how many of them make a signature frequent, how many such at most
+HOT_SAMPLE, HOT_COUNT, HOT_LIST = 10_000, 20, 20_000  # documents looked at, how many of them make a signature frequent, how many such at most
 
 
 def text_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,22 +218,44 @@ def hot_signatures(docs: DataFrame, n: int, t: int, rows: int = HOT_SAMPLE, leas
     return [r["sig"] for r in counts.orderBy(F.desc("n"), "sig").limit(HOT_LIST).collect()]
 
 
-FRAMES = "sig long, doc_id long, variant long, c long, frames binary, src struct<doc_id: long, variant: long, c: long>"
+SOURCE = "src struct<doc_id: long, variant: long, c: long>"
+FRAMES = f"sig long, doc_id long, variant long, c long, more long, frames binary, {SOURCE}"
+NAMES = ["doc_id", "variant", "c"]
+
+
+def frame_rows(key: str, keys: np.ndarray, own: list[np.ndarray], more: np.ndarray, frames: list[bytes] | None, src: list[np.ndarray] | None) -> pa.RecordBatch:
+    kind = pa.struct([(n, pa.int64()) for n in NAMES])
+    source = pa.nulls(len(keys), kind) if src is None else pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in src], NAMES)
+    columns = [pa.array(x, pa.int64()) for x in (keys, *own, more)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(frames or [None] * len(keys), pa.binary()), source], names=[key, *NAMES, "more", "frames", "src"])
+
+
+def joined_runs(own: list[np.ndarray], src: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Links of frames that follow each other in both documents, as one link each and how many more frames it has."""
+    order = np.lexsort((own[2], own[2] - src[2], src[1], src[0], own[1], own[0]))
+    own, src = [x[order] for x in own], [x[order] for x in src]
+    key = [own[0], own[1], src[0], src[1], own[2] - src[2]]
+    new = np.r_[True, np.any([x[1:] != x[:-1] for x in key], axis=0) | (own[2][1:] > own[2][:-1] + 1)]
+    start = np.flatnonzero(new)
+    last = np.r_[start[1:], len(new)] - 1
+    return [x[start] for x in own], own[2][last] - own[2][start], [x[start] for x in src]
+
+
+def link_rows(own: list[np.ndarray], src: list[np.ndarray], key: str) -> Iterator[pa.RecordBatch]:
+    if len(own[0]):
+        own, more, src = joined_runs(own, src)
+        yield frame_rows(key, mix((own[0] + own[2]).view(np.uint64)).view(np.int64), own, more, None, src)
 
 
 def equal_links(docs: DataFrame, t: int, functions: int, hot: list[int]) -> DataFrame:
     """Rows like those of ``links``: each frame of t shingles with the first equal one, so that what stands between two
     equal passages does not matter. Only windows whose signature under the first function occurs again can hold such
-    frames; a signature's only two windows are compared at once. Equal frames agree under all functions. Frames of ``hot``
-    signatures stand for themselves, each with its own hash as signature, and those that a batch has twice are linked
-    there. A frame's place is its first shingle's."""
-    often = np.sort(np.array(hot, dtype=np.int64))
+    frames. Equal frames agree under all functions, and frames that follow each other are one link.
 
-    def rows(sig, ids, variant, c, frames, src=None) -> pa.RecordBatch:
-        kind = pa.struct([("doc_id", pa.int64()), ("variant", pa.int64()), ("c", pa.int64())])
-        source = pa.nulls(len(sig), kind) if src is None else pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in src], ["doc_id", "variant", "c"])
-        columns = [pa.array(x, pa.int64()) for x in (sig, ids, variant, c)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(frames, pa.binary()), source], names=["sig", "doc_id", "variant", "c", "frames", "src"])
+    Windows of a signature follow each other in a task, and come to Python in batches. Equal frames in a batch are linked
+    there; only a signature that the batch's ends may cut goes on, frame by frame. Frames of ``hot`` signatures stand for
+    themselves from the start, each with its own hash as signature."""
+    often = np.sort(np.array(hot, dtype=np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,53 +269,54 @@ def equal_links(docs: DataFrame, t: int, functions: int, hot: list[int]) -> Data
                 near = np.isin(sig, often)
                 few = np.flatnonzero(~near)
                 own = [h[a : a + k].tobytes() for a, k in zip((begin + left)[few], n[few], strict=True)]
-                yield rows(sig[few], ids[text][few], variant[text][few], left[few], own)
+                yield frame_rows("sig", sig[few], [ids[text][few], variant[text][few], left[few]], np.zeros(len(few)), own, None)
                 many = np.flatnonzero(near)
                 if len(many):
                     k = n[many]
-                    step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                    place = np.repeat(left[many], k) + step
+                    place = np.repeat(left[many], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                     whose = np.repeat(text[many], k)
                     single.append((h[starts[whose] + place], ids[whose], variant[whose], place))
             if single:
-                frame, ids, variant, place = map(np.concatenate, zip(*single))
-                on, row, src = local_links(mix(frame.view(np.uint64)).view(np.int64), {"doc_id": ids, "variant": variant, "c": place}, 2)
-                yield rows(mix(frame[on].view(np.uint64)).view(np.int64), ids[on], variant[on], place[on], [frame[i : i + 1].tobytes() for i in on])
-                if len(row):
-                    spread = mix((ids[row] + place[row]).view(np.uint64)).view(np.int64)
-                    yield rows(spread, ids[row], variant[row], place[row], [b""] * len(row), (ids[src], variant[src], place[src]))
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            h = np.frombuffer(b"".join(b["frames"]), dtype=np.int64)
-            n = b["frames"].map(len).to_numpy(dtype=np.int64) // 8
-            step = np.arange(len(h)) + np.repeat(b["c"].to_numpy(dtype=np.int64) - np.cumsum(n) + n, n)
-            yield pd.DataFrame({"frame": h, "doc_id": np.repeat(b["doc_id"].to_numpy(dtype=np.int64), n), "variant": np.repeat(b["variant"].to_numpy(dtype=np.int64), n), "c": step})
+                frame, *own = map(np.concatenate, zip(*single))
+                key = mix(frame.view(np.uint64)).view(np.int64)
+                on, row, src = local_links(key, dict(zip(NAMES, own, strict=True)), 2)
+                yield frame_rows("sig", key[on], [x[on] for x in own], np.zeros(len(on)), [frame[i : i + 1].tobytes() for i in on], None)
+                yield from link_rows([x[row] for x in own], [x[src] for x in own], "sig")
 
-    def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                own, src = (np.frombuffer(x, dtype=np.int64) for x in (r.frames, r.src_frames))
-                _, i, j = np.intersect1d(own, src, return_indices=True)
-                out += [(r.doc_id, r.variant, r.c + x, r.src_id, r.src_variant, r.src_c + y) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
-            yield pd.DataFrame(out, columns=["doc_id", "variant", "c", "src_id", "src_variant", "src_c"])
-
-    alone = Window.partitionBy("sig", F.col("src").isNull())
-    before = F.lag(F.struct("doc_id", "variant", "c", "frames")).over(alone.orderBy("doc_id", "variant", "c"))
-    found = in_batches(docs).mapInArrow(run, FRAMES).select("*", before.alias("other"), F.count("*").over(alone).alias("n"))
-    keep = F.col("src").isNotNull() | (F.col("n") > 2) | (F.col("n") == 2) & apart("", "other.")
-    found = cut(found.where(keep).select("doc_id", "variant", "c", "frames", "src", F.when((F.col("n") == 2) & F.col("src").isNull(), F.col("other")).alias("other")))
-    columns = ["doc_id", "variant", "c", F.col("src.doc_id").alias("src_id"), F.col("src.variant").alias("src_variant"), F.col("src.c").alias("src_c")]
-    local = found.where("src IS NOT NULL").select(*columns)
-    two = found.where("other IS NOT NULL").select("doc_id", "variant", "c", "frames", F.col("other.doc_id").alias("src_id"), F.col("other.variant").alias("src_variant"), F.col("other.c").alias("src_c"), F.col("other.frames").alias("src_frames"))
-    two = in_batches(two).mapInPandas(both, "doc_id long, variant long, c long, src_id long, src_variant long, src_c long")
-    frames = found.where("other IS NULL AND src IS NULL").select("doc_id", "variant", "c", "frames").mapInPandas(each, "frame long, doc_id long, variant long, c long")
-    order = Window.partitionBy("frame").orderBy("doc_id", "variant", "c").rowsBetween(Window.unboundedPreceding, 0)
-    more = frames.withColumn("src", F.first(F.struct("doc_id", "variant", "c")).over(order)).where(apart()).select(*columns)
-    reach = lambda at: [F.lit(0).cast("long").alias("lefts"), F.lit(t - 1).cast("long").alias("rights")]
-    src = F.struct(F.col("src_id").alias("doc_id"), F.col("src_variant").alias("variant"), F.col("src_c").alias("c"), *reach("src"))
-    return local.unionByName(two).unionByName(more).select(F.lit((1 << functions) - 1).alias("f"), "doc_id", "variant", "c", *reach(""), src.alias("src"))
+            made = b.column("src").is_valid().to_numpy(zero_copy_only=False)
+            done = b.filter(pa.array(made))
+            if len(done):
+                yield pa.RecordBatch.from_arrays([done.column(x) for x in ("sig", *NAMES, "more", "frames", "src")], names=["frame", *NAMES, "more", "frames", "src"])
+            rest = b.filter(pa.array(~made))
+            if not len(rest):
+                continue
+            sig, ids, variant, left = (rest.column(x).to_numpy() for x in ("sig", *NAMES))
+            raw = rest.column("frames").to_pylist()
+            h = np.frombuffer(b"".join(raw), dtype=np.int64)
+            n = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 8
+            row = np.repeat(np.arange(len(raw)), n)
+            own = [ids[row], variant[row], left[row] + np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)]
+            order = np.argsort(h, kind="stable")  # rows come in the order of documents
+            first = np.r_[True, h[order][1:] != h[order][:-1]]
+            head = order[np.flatnonzero(first)][np.cumsum(first) - 1]
+            late = (own[0][order] != own[0][head]) | (own[1][order] != own[1][head])
+            yield from link_rows([x[order[late]] for x in own], [x[head[late]] for x in own], "frame")
+            edge = order[~late & ((sig == sig[0]) | (sig == sig[-1]))[row[order]]]
+            if len(edge):
+                yield frame_rows("frame", h[edge], [x[edge] for x in own], np.zeros(len(edge)), None, None)
+
+    alone = Window.partitionBy("sig", F.col("src").isNull()).orderBy(*NAMES)
+    found = in_batches(docs).mapInArrow(run, FRAMES)
+    found = found.select("*", F.lag("doc_id").over(alone).alias("before"), F.lead("doc_id").over(alone).alias("after"))
+    found = found.where("src IS NOT NULL OR before IS NOT NULL OR after IS NOT NULL").drop("before", "after")
+    found = in_batches(found).mapInArrow(each, FRAMES.replace("sig long", "frame long"))
+    star = Window.partitionBy("frame", F.col("src").isNull()).orderBy(*NAMES).rowsBetween(Window.unboundedPreceding, 0)
+    found = found.select(*NAMES, "more", F.coalesce("src", F.first(F.struct(*NAMES)).over(star)).alias("src")).where(apart())
+    reach = lambda: [F.lit(0).cast("long").alias("lefts"), (F.col("more") + (t - 1)).alias("rights")]
+    src = F.struct(*(F.col(f"src.{n}").alias(n) for n in NAMES), *reach())
+    return found.select(F.lit((1 << functions) - 1).alias("f"), *NAMES, *reach(), src.alias("src"))
 
 
 PAIR = ["doc_id", "variant", "src_id", "src_variant"]
@@ -302,7 +325,7 @@ PAIR = ["doc_id", "variant", "src_id", "src_variant"]
 def interval_pairs(linked: DataFrame, t: int, enough: int) -> DataFrame:
     """(doc_id, variant, a, b, src_id, src_variant, d, sa, sb): intervals of shingles, both ends included, that links along
     a diagonal join."""
-    # only a stretch that repeats reaches t places beyond its first minimum; it may be longer than the source's and counts whole
+    # only a stretch that repeats, or frames that are equal, reach t places beyond; a stretch may be longer than the source's and counts whole
     stretch = F.col("rights") >= t
     side = lambda by: F.when(stretch, F.col(by)).otherwise(F.least(F.col(by), F.col(f"src.{by}")))
     rows = linked.select("f", "doc_id", "variant", F.col("src.doc_id").alias("src_id"), F.col("src.variant").alias("src_variant"), (F.col("c") - side("lefts")).alias("a"), (F.col("c") + side("rights")).alias("b"), (F.col("c") - F.col("src.c")).alias("d"))

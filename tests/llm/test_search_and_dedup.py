@@ -320,3 +320,18 @@ def test_words_hash_alike_wherever_they_stand():
     h = w.hashes()
     assert h[0] == h[4] and h[1] == h[5] and h[2] == h[6] and len(set(h.tolist())) == 5
     assert shingles(h, 3)[0] == shingles(h, 3)[4]
+
+
+def test_signatures_that_batches_cut_are_linked(spark):
+    """Batches of a few rows: equal frames that lie in several of them are found by the frame itself."""
+    rng = random.Random(17)
+    shared = passage(rng, 60)
+    rows = [(i, f"{passage(rng, 20)}\n{shared}\n{passage(rng, 20)}") for i in range(40)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = substring_dedup.repeated_passages(spark.createDataFrame(rows, DOCS).coalesce(1), hot=[]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {i for i in range(1, 40) if any(r["doc_id"] == i and r["start"] <= 20 and r["stop"] >= 80 for r in found)} == set(range(1, 40))
+    own, more, src = substring_dedup.joined_runs([np.array([1, 1, 1, 1]), np.zeros(4, int), np.array([7, 5, 6, 9])], [np.zeros(4, int), np.zeros(4, int), np.array([3, 1, 2, 5])])
+    assert own[2].tolist() == [5, 9] and more.tolist() == [2, 0] and src[2].tolist() == [1, 5]
