@@ -71,26 +71,41 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def covered(p: Column) -> Column:
+    """Words that windows at the sorted positions ``p`` cover: three each less what the next one covers."""
+    steps = F.transform(p, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(p, j + 1) - x, F.lit(WINDOW))))
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def repeated(s: Column, key: str) -> Column:
+    """Positions (``i``) of the sorted array's elements whose key a neighbour has too, in order."""
+    at = lambda j: F.get(s, j)[key]
+    # get() is null outside the array, and null | true is true, null | false is not kept
+    return F.sort_array(F.transform(F.filter(s, lambda e, j: (at(j + 1) == e[key]) | (at(j - 1) == e[key])), lambda e: e["i"]))
+
+
 def n_repeat_words(g: Column, w: Column) -> Column:
     """Words in windows that occur twice or more, counted once each; ``g`` is the array of window hashes, ``w`` the words.
 
-    Sorted by hash and then by their words, equal windows are neighbours. Their positions, sorted again, each cover three
-    words less what the next one covers.
+    Sorted by hash, equal windows are neighbours. Where neighbours of equal hash differ in a word, hashes have collided,
+    and the text's windows are sorted by their words.
     """
+    word = lambda i, k: F.get(w, i + k)
+
+    def collided(s: Column) -> Column:
+        def differs(e: Column, j: Column) -> Column:
+            other = F.get(s, j + 1)
+            words = [word(e["i"], k) != word(other["i"], k) for k in range(WINDOW)]
+            return (other["g"] == e["g"]) & (words[0] | words[1] | words[2])
 
-    def repeated(s: Column) -> Column:
-        same = lambda e, j: F.get(s, j)["k"] == e["k"]
-        hits = F.filter(s, lambda e, j: same(e, j + 1) | same(e, j - 1))
-        # get() is null outside the array, and null | true is true, null | false is not kept
-        return F.sort_array(F.transform(hits, lambda e: e["i"]))
+        return F.size(F.filter(s, differs)) > 0
 
-    def covered(p: Column) -> Column:
-        steps = F.transform(p, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(p, j + 1) - x, F.lit(WINDOW))))
-        return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
+    def by_words() -> Column:
+        rows = F.transform(g, lambda x, i: F.struct(F.struct(*(word(i, k).alias(f"w{k}") for k in range(WINDOW))).alias("k"), i.alias("i")))
+        return let(F.sort_array(rows), lambda s: let(repeated(s, "k"), covered))
 
-    key = lambda x, i: F.struct(x.alias("g"), *(F.get(w, i + k).alias(f"w{k}") for k in range(WINDOW)))
-    pairs = F.sort_array(F.transform(g, lambda x, i: F.struct(key(x, i).alias("k"), i.alias("i"))))
-    found = let(pairs, lambda s: let(repeated(s), covered))
+    pairs = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+    found = let(pairs, lambda s: F.when(collided(s), by_words()).otherwise(let(repeated(s, "g"), covered)))
     return F.when(F.size(F.array_distinct(g)) < F.size(g), found).otherwise(F.lit(0).cast("long"))
 
 
