@@ -370,7 +370,7 @@ def grammar_of(lexicon: tuple, factors: tuple) -> Grammar:
 
 
 def fit(profiles: np.ndarray, y: np.ndarray, model: Model) -> Model:
-    """Slope, offset and the marks' factors (their logarithms) by Newton steps with backtracking on the logistic loss, with
+    """Slope, offset and the marks' factors (their logarithms) by damped Newton steps on the logistic loss, with
     a pull to the defaults; the slope stays positive, and a text without entries scores below one half."""
     names = list(model.factors)
     prior = np.array([model.slope, model.offset, *(math.log(model.factors[n]) for n in names)])
@@ -381,27 +381,41 @@ def fit(profiles: np.ndarray, y: np.ndarray, model: Model) -> Model:
         z = p[0] * np.log1p(DENSITY_SCALE * density) + p[1]
         return float(np.logaddexp(0, z).sum() - (z * y).sum() + 0.5 * (pull * (p - prior) ** 2).sum())
 
-    p, eye, h = prior.copy(), np.eye(len(prior)), 1e-4
-    for _ in range(40):
+    p, eye, h, damp = prior.copy(), np.eye(len(prior)), 1e-4, 1e-3
+    for _ in range(200):
         at = loss(p)
-        step = [loss(p + h * e) for e in eye]
-        back = [loss(p - h * e) for e in eye]
-        grad = np.array([(a - b) / (2 * h) for a, b in zip(step, back, strict=True)])
-        hess = np.array([[(loss(p + h * (e + f)) - step[i] - step[j] + at) / h**2 for j, f in enumerate(eye)] for i, e in enumerate(eye)])
+        ahead, back = [loss(p + h * e) for e in eye], [loss(p - h * e) for e in eye]
+        grad = (np.array(ahead) - np.array(back)) / (2 * h)
+        hess = np.array([[(loss(p + h * (e + f)) - ahead[i] - ahead[j] + at) / h**2 for j, f in enumerate(eye)] for i, e in enumerate(eye)])
         value, vector = np.linalg.eigh((hess + hess.T) / 2)
-        move = np.clip(-(vector / np.maximum(np.abs(value), 0.1)) @ (vector.T @ grad), -1, 1)
-        while np.abs(move).max() > 1e-7 and loss(p + move) >= at:
-            move /= 2
-        if np.abs(move).max() <= 1e-7:
+        move = np.zeros(len(p))
+        while damp < 1e12:
+            move = -(vector / (np.abs(value) + damp)) @ (vector.T @ grad)
+            if loss(p + move) < at:
+                damp = max(damp / 4, 1e-6)
+                break
+            damp *= 4
+        if np.abs(move).max() <= 1e-6 or damp >= 1e12:
             break
         p = p + move
     return Model(model.lexicon, max(0.1, float(p[0])), float(min(p[1], -0.1)), {n: math.exp(v) for n, v in zip(names, p[2:], strict=True)})
 
 
+def one_of_copies(rows: DataFrame) -> DataFrame:
+    """Of the sample's near copies that are marked alike, the one with the smallest id: else words that only a group of
+    copies has would pass for evidence. Near copies mostly share the smallest hash of their runs of five words; a toxic
+    text and its clean copy both stay."""
+    w = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: F.xxhash64(F.slice("w", i + 1, 5)))
+    marked = rows.withColumn("w", w).withColumn("mark", F.array_min(runs)).drop("w")
+    kept = marked.groupBy("mark", "y").agg(F.min(F.struct("id", "text")).alias("r"))
+    return kept.select("r.id", "r.text", "y")
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Lexicon, factors and coefficients from about ``per_class`` labelled documents of each class at most. The driver gets
     the entries, and a row of ``COMBINATIONS`` numbers for each document of the sample."""
-    rows = training_rows(docs, labels, "toxic", FOLDS, HELD_OUT, per_class).persist()
+    rows = one_of_copies(training_rows(docs, labels, "toxic", FOLDS, HELD_OUT, per_class)).persist()
     try:
         n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
         if not n.get(0) or not n.get(1):
