@@ -6,6 +6,8 @@ that checks it. White space is what Unicode calls so where the reference splits
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,7 +73,7 @@ LANGUAGES = {
 }
 
 #: Extensions of files that texts refer to, and what surrounds a path in a text.
-REFERENCED = "go|tsx|ts|jsx|js|json|java|py|rs|rb|cpp|cs|c|hpp|h|swift|kt|scala|sh|bash|zsh|yaml|yml|toml"
+REFERENCED = "go|ts|tsx|js|jsx|py|rs|java|rb|c|cpp|h|hpp|cs|swift|kt|scala|sh|bash|zsh|yaml|yml|toml|json"
 BEFORE, AFTER = r"""(?:^|[\s`"'(])""", r"""(?:$|[\s`"')\]:,])"""
 FILE_REFERENCE = BEFORE + r"([a-zA-Z0-9_/.-]+\.(?:" + REFERENCED + r"))" + AFTER
 DIRECTORY_REFERENCE = BEFORE + r"([a-zA-Z0-9_][a-zA-Z0-9_/.-]*/)" + AFTER
@@ -117,6 +119,12 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def matches_patterns(path: Column, patterns: list[str]) -> Column:
+    """Whether the path ends like one of the patterns, by what comes with the last dot."""
+    ends = lambda p: F.regexp_extract(p, r"(\.[^./]*)$", 1)
+    return ends(path).isin(*{m[0] if (m := re.search(r"\.[^./]*$", p)) else "" for p in patterns})
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]*)$", 1))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -158,7 +158,8 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         names = sorted(set(local["a"]) | set(local["b"]))
         at = {x: i for i, x in enumerate(names)}
         of = local_louvain(len(names), [(at[a], at[b], w) for a, b, w in zip(local["a"], local["b"], local["w"], strict=True)])
-        top = spark.createDataFrame(pd.DataFrame({"group": names, "to": [names[int(np.flatnonzero(of == c)[0])] for c in of]}))
+        _, first, of = np.unique(of, return_index=True, return_inverse=True)
+        top = spark.createDataFrame(pd.DataFrame({"group": names, "to": [names[i] for i in first[of].tolist()]}))
         member = member.join(top, "group", "left").select("id", F.coalesce("to", "group").alias("group"))
     least = member.groupBy("group").agg(F.min("id").alias("least"))
     return member.join(least, "group").select("id", F.col("least").alias("community"))
@@ -175,28 +176,60 @@ def _moves(weighted: DataFrame) -> DataFrame:
     return degree.select(F.col("a").alias("id")).join(taken, "id", "left").select("id", F.coalesce("to", "id").alias("to"))
 
 
-def greedy_clusters(items: DataFrame, threshold: float = 0.85, key: str = "id", vector: str = "embedding") -> DataFrame:
+class Anchors:
+    """Unit vectors of one length, in the order in which they came."""
+
+    def __init__(self, length: int):
+        self.ids, self.rows = [], np.zeros((64, length))
+
+    def first(self, block: np.ndarray, threshold: float) -> np.ndarray:
+        """For each row of ``block`` the number of the first anchor that is near enough, -1 without one."""
+        if not self.ids:
+            return np.full(len(block), -1)
+        near = block @ self.rows[: len(self.ids)].T >= threshold
+        return np.where(near.any(axis=1), near.argmax(axis=1), -1)
+
+    def add(self, id_, row: np.ndarray) -> None:
+        if len(self.ids) == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[len(self.ids)] = row
+        self.ids.append(id_)
+
+
+def greedy_clusters(items: DataFrame, threshold: float = 0.85, key: str = "id", vector: str = "embedding", block: int = 512) -> DataFrame:
     """(id, anchor): in order of key, an item joins the first anchor that is near enough, or becomes an anchor.
 
-    Whether an item is an anchor depends on all before it; the pass keeps anchors only, in blocks as they come from
-    Spark, and multiplies each block by them. Similarity is cosine; zero vectors and other lengths are alike to nothing.
+    Whether an item is an anchor depends on all before it, so that the pass is one stream in the order of keys. It holds
+    the anchors; blocks of items are multiplied by those that were there before, and then by the block's own. Similarity is
+    cosine; zero vectors and other lengths are alike to nothing.
     """
     spark = items.sparkSession
-    anchors: dict[int, tuple[list, list]] = {}
-    out = []
-    for row in items.select(key, vector).orderBy(key).toLocalIterator(prefetchPartitions=True):
-        v = np.array(row[1] or [], dtype=float)
-        norm = float(np.sqrt((v * v).sum()))
-        ids, rows = anchors.setdefault(len(v), ([], []))
-        found = None
-        if norm and rows:
-            near = np.flatnonzero(np.array(rows) @ (v / norm) >= threshold)
-            found = ids[int(near[0])] if len(near) else None
-        if found is None:
-            found = row[0]
-            if norm:
-                ids.append(row[0])
-                rows.append(v / norm)
-        out.append((row[0], found))
     kind = items.schema[key].dataType.simpleString()
-    return spark.createDataFrame(out, f"{key} {kind}, anchor {kind}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        anchors: dict[int, Anchors] = {}
+        for b in batches:
+            for at in range(0, len(b), block):
+                part = b.iloc[at : at + block]
+                ids, found = part["id"].tolist(), [None] * len(part)
+                vectors = [np.array(v if v is not None else [], dtype=float) for v in part["v"]]
+                for length in sorted({len(v) for v in vectors}):
+                    where = [i for i, v in enumerate(vectors) if len(v) == length and v.any()]
+                    if not where:
+                        continue
+                    held = anchors.setdefault(length, Anchors(length))
+                    unit = np.stack([vectors[i] / np.sqrt((vectors[i] ** 2).sum()) for i in where])
+                    known, old = held.first(unit, threshold), len(held.ids)
+                    for i, row, n in zip(where, unit, known.tolist(), strict=True):
+                        if n < 0 and len(held.ids) > old:  # anchors of this block
+                            near = np.flatnonzero(held.rows[old : len(held.ids)] @ row >= threshold)
+                            n = old + int(near[0]) if len(near) else -1
+                        if n < 0:
+                            held.add(ids[i], row)
+                            n = len(held.ids) - 1
+                        found[i] = held.ids[n]
+                yield pd.DataFrame({"id": ids, "anchor": [i if f is None else f for i, f in zip(ids, found)]})
+
+    rows = items.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    out = rows.repartition(1).sortWithinPartitions("id").mapInPandas(run, f"id {kind}, anchor {kind}")
+    return out.withColumnRenamed("id", key)

@@ -23,6 +23,12 @@ def get_node(nodes: DataFrame, node_id: str) -> DataFrame:
     return nodes.where(F.col("id") == node_id)
 
 
+def of_kind(rows: DataFrame, kind: str, metadata: str | None = None) -> DataFrame:
+    """Nodes or edges of a kind; with ``metadata``, those whose metadata has that text, small and capital letters alike."""
+    out = rows.where(F.col("kind") == kind)
+    return out if metadata is None else out.where(F.lower("metadata").contains(metadata.lower()))
+
+
 def find_nodes(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """The node of that id, then those whose label or path has the text, by label."""
     q = query.lower()
@@ -56,11 +62,21 @@ def neighbors(edges: DataFrame, node_id: str, direction: str = "both", kinds: li
     return rows.orderBy("from_node", "to_node", "kind")
 
 
-def explain(edges: DataFrame, node_id: str) -> DataFrame:
-    """(kind, others): the other ends by kind."""
+def incident(edges: DataFrame, node_id: str) -> DataFrame:
+    """(kind, other): a row for each edge of the node, whatever their number."""
     other = F.when(F.col("from_node") == node_id, F.col("to_node")).otherwise(F.col("from_node"))
-    near = edges.where((F.col("from_node") == node_id) | (F.col("to_node") == node_id))
-    return near.groupBy("kind").agg(F.sort_array(F.collect_list(other)).alias("others"), F.count("*").alias("n"))
+    return edges.where((F.col("from_node") == node_id) | (F.col("to_node") == node_id)).select("kind", other.alias("other"))
+
+
+def explain(edges: DataFrame, node_id: str, most: int | None = None) -> DataFrame:
+    """(kind, others, n): the other ends by kind, as a list for a reader. ``most`` bounds the list of a hub, of which
+    ``incident`` has all; ``n`` counts all."""
+    near = incident(edges, node_id)
+    if most is not None:
+        near = near.withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy("other")))
+        listed = near.where(F.col("nth") <= most).groupBy("kind").agg(F.sort_array(F.collect_list("other")).alias("others"))
+        return listed.join(near.groupBy("kind").agg(F.count("*").alias("n")), "kind")
+    return near.groupBy("kind").agg(F.sort_array(F.collect_list("other")).alias("others"), F.count("*").alias("n"))
 
 
 def k_hop(edges: DataFrame, start: list[str], hops: int, kinds: list[str] | None = None, backward: bool = False) -> DataFrame:
@@ -72,7 +88,7 @@ def k_hop(edges: DataFrame, start: list[str], hops: int, kinds: list[str] | None
     seen = edges.sparkSession.createDataFrame([(s, 0) for s in start], "id string, depth int")
     front = seen
     for d in range(1, hops + 1):
-        front = front.join(steps, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(d).alias("depth"))
+        front = settle(front.join(steps, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(d).alias("depth")))
         seen = seen.unionByName(front)
     return seen
 

@@ -1,7 +1,7 @@
 """Store semantics on plain tables: keyed merges, cascades, hash gates, and snapshots.
 
-A store is a folder with one Parquet table for each name in each snapshot. Writers make a new snapshot and then move the
-pointer, so that readers see the old one or the new one.
+A store is a folder with one Parquet table for each name in each snapshot. Writers make a new snapshot and then add a
+pointer with the next number; readers take the highest, so that they see the old snapshot or the new one.
 """
 
 from __future__ import annotations
@@ -18,10 +18,13 @@ from lorekeep.functions.text import content_hash
 
 def settle(df: DataFrame) -> DataFrame:
     """``df`` computed once and checkpointed: later plans begin there. The folder is the one that the cluster names in
-    spark.checkpoint.dir; one of our own only if it names none."""
+    spark.checkpoint.dir; one of our own only where driver and executors are one process."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-ckpt-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and (sc.master or "").split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lorekeep-ckpt-"))
     return df.checkpoint()
 
 
@@ -89,34 +92,60 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self):
+    def _path(self, name: str):
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/current.json")
-        return path.getFileSystem(conf), path, jvm
-
-    def tables(self) -> dict[str, str]:
-        """Path by table name, as the pointer has it."""
-        fs, path, jvm = self._fs()
-        if not fs.exists(path):
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(conf), path
+
+    def version(self) -> int:
+        """The number of the last snapshot, 0 without one."""
+        fs, folder = self._path("pointers")
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+
+    def tables(self, version: int | None = None) -> dict[str, str]:
+        """Path by table name, as the last pointer has it, or an earlier one."""
+        version = self.version() if version is None else version
+        if not version:
             return {}
-        text = self.spark.read.text(path.toString()).agg(F.first("value")).first()[0]
-        return json.loads(text)
+        fs, path = self._path(f"pointers/{version:012d}.json")
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
     def read(self, name: str) -> DataFrame | None:
         path = self.tables().get(name)
         return self.spark.read.parquet(path) if path else None
 
-    def write(self, **frames: DataFrame) -> None:
-        """All frames become current at once; other tables stay."""
-        tables = self.tables()
+    def write(self, **frames: DataFrame | None) -> None:
+        """All frames become current at once; other tables stay, and one given as None goes. Each write adds a pointer with
+        the next number, complete before it has its name; none is deleted, so that readers always find one. Of two
+        writers that began at the same snapshot the later one fails."""
+        before = self.version()
+        tables = self.tables(before)
         snapshot = uuid.uuid4().hex
         for name, df in frames.items():
+            if df is None:
+                tables.pop(name, None)
+                continue
             df.write.parquet(f"{self.root}/{snapshot}/{name}")
             tables[name] = f"{self.root}/{snapshot}/{name}"
-        fs, path, jvm = self._fs()
-        new = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{snapshot}.json")
-        out = fs.create(new, True)
+        fs, made = self._path(f"{snapshot}.json")
+        out = fs.create(made, True)
         out.write(bytearray(json.dumps(tables).encode()))
         out.close()
-        fs.delete(path, False)
-        fs.rename(new, path)
+        _, pointer = self._path(f"pointers/{before + 1:012d}.json")
+        fs.mkdirs(pointer.getParent())
+        if self.version() != before or not fs.rename(made, pointer):
+            fs.delete(made, False)
+            raise RuntimeError("another writer has made a snapshot meanwhile")
+
+    def clear_vectors(self) -> None:
+        """Drop chunks, their vectors and word index, and the model's record; documents and code files stay, without
+        content hashes, so that the next index makes their chunks anew."""
+        docs = self.read("documents")
+        gone = {name: None for name in ("chunks", "postings", "lengths", "meta", "parsed_docs") if name in self.tables()}
+        keep = {} if docs is None else {"documents": docs.withColumn("content_hash", F.lit(""))}
+        self.write(**gone, **keep)

@@ -37,8 +37,9 @@ def document_chunks(parsed: DataFrame, embedder: Embedder | None = None) -> Data
 
 def code_files(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(code_files, refs): the files, folders and patterns that documents mention."""
-    chunks = document_chunks(parsed).select("doc_id", F.col("content").alias("text"))
-    found = code_references(chunks.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("text")), "doc_id", "text")
+    chunks = document_chunks(parsed).select("doc_id", "chunk_index", F.col("content").alias("text"))
+    whole = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("c"))
+    found = code_references(whole.select("doc_id", F.array_join(F.col("c.text"), "\n").alias("text")), "doc_id", "text")
     files = found.groupBy("path").agg(F.first("ref_type").alias("ref_type")).select(F.sha2("path", 256).alias("id"), F.col("path").alias("file_path"), language(F.col("path")).alias("language"), "ref_type")
     return files, found.select("doc_id", F.sha2("path", 256).alias("code_file_id"), F.col("path").alias("file_path")).distinct()
 

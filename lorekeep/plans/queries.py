@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
@@ -90,26 +90,13 @@ def content_hash(spark, d):
     return t(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
 
 
-NOTES = ["x = 1  # TODO: fix the join", "// fixme later", "-- WHY: rows repeat", "no marker here", "# NOTE keep order", "/* hack: shim */", "methodology todoist"]
-
-
-@query("""WITH l(line_no, line) AS (SELECT * FROM (VALUES (0, 'x = 1  # TODO: fix the join'), (1, '// fixme later'), (2, '-- WHY: rows repeat'), (3, 'no marker here'), (4, '# NOTE keep order'), (5, '/* hack: shim */'), (6, 'methodology todoist')) AS v(a, b)
-  UNION ALL SELECT doc_id * 100000 + i + 1000, unnest(string_split(text, chr(10))) FROM (SELECT doc_id, text, 0 AS i FROM documents) WHERE false),
-m AS (SELECT line_no, lower(regexp_extract(line, '(?i)\\b(TODO|FIXME|HACK|WHY|NOTE)\\b:?\\s*(.*)$', 1)) AS marker, trim(regexp_extract(line, '(?i)\\b(TODO|FIXME|HACK|WHY|NOTE)\\b:?\\s*(.*)$', 2)) AS detail FROM l)
-SELECT line_no, CASE WHEN marker IN ('todo', 'fixme', 'hack') THEN 'todo' ELSE 'rationale' END AS kind, marker, detail FROM m WHERE marker <> ''""")
-def rationale_signals(spark, d):
-    lines = spark.createDataFrame(list(enumerate(NOTES)), "line_no int, line string")
-    marker, kind, detail = T.rationale(F.col("line"))
-    return lines.select("line_no", kind.alias("kind"), marker.alias("marker"), detail.alias("detail")).where("marker <> ''")
-
-
 @query(r"""WITH t AS (SELECT 'doc' AS source, doc_id AS id, 0 AS turn, string_split(text, chr(10)) AS ls FROM documents
   UNION ALL SELECT 'conversation', conv_id, turn, string_split(text, chr(10)) FROM conversations),
 l AS (SELECT source, id, turn, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM t),
 m AS (SELECT *, lower(regexp_extract(line, '(?i)\b(TODO|FIXME|HACK|WHY|NOTE)\b:?\s*(.*)$', 1)) AS marker, trim(regexp_extract(line, '(?i)\b(TODO|FIXME|HACK|WHY|NOTE)\b:?\s*(.*)$', 2)) AS detail FROM l)
 SELECT source, id, turn, line_no, CASE WHEN marker IN ('todo', 'fixme', 'hack') THEN 'todo' ELSE 'rationale' END AS kind, marker, detail FROM m WHERE marker <> ''""")
 def table_rationale_signals(spark, d):
-    """The signals of every line of the documents and conversations; ``rationale_signals`` has fixed lines."""
+    """The signals of every line of the documents and conversations."""
     docs = t(spark, d, "documents").select(F.lit("doc").alias("source"), F.col("doc_id").alias("id"), F.lit(0).alias("turn"), "text")
     said = t(spark, d, "conversations").select(F.lit("conversation").alias("source"), F.col("conv_id").alias("id"), "turn", "text")
     lines = docs.unionByName(said).select("source", "id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -122,9 +109,9 @@ def bold_terms(spark, d):
     return t(spark, d, "documents").select("doc_id", F.explode(T.bold_terms(F.col("text"))).alias("term"))
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE role = 'user' AND (regexp_matches(lower(trim(text)), '^(how|what|why|where|when) ') OR contains(text, '?'))")
+@query("SELECT conv_id, turn, regexp_matches(lower(trim(text)), '^(how|what|why|where|when) ') OR contains(text, '?') AS asks FROM conversations WHERE role = 'user'")
 def question_shaped(spark, d):
-    return t(spark, d, "conversations").where((F.col("role") == "user") & T.question_shaped(F.col("text"))).select("conv_id", "turn")
+    return t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.question_shaped(F.col("text")).alias("asks"))
 
 
 @query("SELECT p_partkey, regexp_replace(substr(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS slug FROM part")
@@ -152,53 +139,45 @@ def html_links(spark, d):
     return t(spark, d, "pages").select("page_id", F.explode(T.tag_texts(F.col("html"), '<a href="([^"]*)"')).alias("link"))
 
 
-PATHS = ["internal/a/b.go", "x.TSX", "lib/Foo.java", "noext", "a.b/c", "run.sh", "m.rs"]
-
-
-@query("""SELECT path, CASE lower(regexp_extract(path, '\\.([^./\\\\]*)$', 1)) WHEN 'go' THEN 'go' WHEN 'tsx' THEN 'typescript' WHEN 'java' THEN 'java' WHEN 'sh' THEN 'shell' WHEN 'rs' THEN 'rust' ELSE 'unknown' END AS language
-  FROM (VALUES ('internal/a/b.go'), ('x.TSX'), ('lib/Foo.java'), ('noext'), ('a.b/c'), ('run.sh'), ('m.rs')) AS v(path)""")
-def language_from_ext(spark, d):
-    return spark.createDataFrame([(p,) for p in PATHS], "path string").select("path", T.language(F.col("path")).alias("language"))
-
-
-def code_references(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, path, ref_type, line): first mention of each path in a text."""
+def code_references(rows: DataFrame, key: str, text: str, patterns: list[str] | None = None) -> DataFrame:
+    """(key, path, ref_type, line): first mention of each path in a text. ``patterns`` are the files that count, by what
+    comes with their last dot; without them all of ``T.REFERENCED`` do. A folder that the line has as part of an address,
+    or whose only part is shorter than three letters, is none, nor is a glob that is emphasis."""
     lines = rows.select(key, F.posexplode(F.split(text, "\n")).alias("line", "content"))
+
     def marked(nth: int, ref_type: str, pattern: str):
         return F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(nth).alias("nth"), F.lit(ref_type).alias("ref_type"), x.alias("path")))
 
     kinds = [("file", T.FILE_REFERENCE), ("directory", T.DIRECTORY_REFERENCE), ("pattern", T.GLOB_REFERENCE)]
     found = F.flatten(F.array(*(marked(n, k, p) for n, (k, p) in enumerate(kinds))))
-    flat = lines.select(key, "line", F.explode(found).alias("r")).select(key, "line", "r.*")
-    flat = flat.where(~F.col("path").contains("://") & ~((F.col("ref_type") == "pattern") & ~F.col("path").rlike(r"\*\.|/\*|\*/|\*\*/")))
-    return flat.groupBy(key, "path").agg(F.min(F.struct("line", "nth", "ref_type")).alias("m")).select(key, "path", F.col("m.ref_type").alias("ref_type"), F.col("m.line").alias("line"))
-
-
-REFERENCE_TEXT = "see internal/auth/auth.go and cmd/ here\n`internal/store/` or *.md **bold**\nagain internal/auth/auth.go, then internal/x/*.go"
-
-
-@query("""SELECT * FROM (VALUES (1, 'internal/auth/auth.go', 'file', 0), (1, 'cmd/', 'directory', 0), (1, 'internal/store/', 'directory', 1), (1, '*.md', 'pattern', 1), (1, 'internal/x/*.go', 'pattern', 2)) AS v(doc_id, path, ref_type, line)""")
-def code_refs(spark, d):
-    return code_references(spark.createDataFrame([(1, REFERENCE_TEXT)], "doc_id int, text string"), "doc_id", "text")
+    flat = lines.select(key, "line", "content", F.explode(found).alias("r")).select(key, "line", "content", "r.*")
+    path, bare = F.col("path"), F.regexp_replace("path", "/$", "")
+    listed = T.matches_patterns(path, patterns) if patterns is not None else path.rlike(rf"\.(?:{T.REFERENCED})$")
+    address = F.col("content").contains(F.concat(F.lit("http://"), path)) | F.col("content").contains(F.concat(F.lit("https://"), path))
+    emphasis = path.rlike(r"^\*\*(?:$|[^/])") | path.rlike(r"^\*[A-Za-z]")
+    kept = F.when(F.col("ref_type") == "file", listed if patterns is not None else F.lit(True)).when(F.col("ref_type") == "directory", ~address & (bare.contains("/") | (F.length(bare) >= 3))).otherwise(~emphasis & (path.contains("/") | listed))
+    return flat.where(kept).groupBy(key, "path").agg(F.min(F.struct("line", "nth", "ref_type")).alias("m")).select(key, "path", F.col("m.ref_type").alias("ref_type"), F.col("m.line").alias("line"))
 
 
 def marked_sql(nth: int, ref_type: str, pattern: str) -> str:
     quoted = pattern.replace("'", "''")
-    return f"SELECT id, line, {nth} AS nth, '{ref_type}' AS ref_type, unnest(regexp_extract_all(content, '{quoted}', 1)) AS path FROM l"
+    return f"SELECT id, line, content, {nth} AS nth, '{ref_type}' AS ref_type, unnest(regexp_extract_all(content, '{quoted}', 1)) AS path FROM l"
 
 
 CODE_REFS_SQL = rf"""WITH t AS (SELECT 'doc:' || doc_id AS id, string_split(text, chr(10)) AS ls FROM documents UNION ALL SELECT 'page:' || page_id, string_split(html, chr(10)) FROM pages),
 l AS (SELECT id, CAST(unnest(range(len(ls))) AS INT) AS line, unnest(ls) AS content FROM t),
 f AS ({marked_sql(0, "file", T.FILE_REFERENCE)} UNION ALL {marked_sql(1, "directory", T.DIRECTORY_REFERENCE)} UNION ALL {marked_sql(2, "pattern", T.GLOB_REFERENCE)}),
 k AS (SELECT *, row_number() OVER (PARTITION BY id, path ORDER BY line, nth) AS place FROM f
-  WHERE NOT contains(path, '://') AND (ref_type <> 'pattern' OR regexp_matches(path, '\*\.|/\*|\*/|\*\*/'))),
+  WHERE CASE ref_type WHEN 'file' THEN true
+    WHEN 'directory' THEN NOT contains(content, 'http://' || path) AND NOT contains(content, 'https://' || path) AND (contains(path[:-2], '/') OR length(path) > 3)
+    ELSE NOT regexp_matches(path, '^\*\*($|[^/])') AND NOT regexp_matches(path, '^\*[A-Za-z]') AND (contains(path, '/') OR regexp_matches(path, '\.({T.REFERENCED})$')) END),
 r AS (SELECT id, path, ref_type, line FROM k WHERE place = 1)
 """
 
 
 @query(CODE_REFS_SQL + "SELECT * FROM r")
 def table_code_refs(spark, d):
-    """The references of every document and page; ``code_refs`` has a fixed text."""
+    """The references of every document and page."""
     docs = t(spark, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), "text")
     pages = t(spark, d, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("text"))
     return code_references(docs.unionByName(pages), "id", "text")
@@ -207,10 +186,16 @@ def table_code_refs(spark, d):
 @query(CODE_REFS_SQL + f""", x(ext, language) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in T.LANGUAGES.items())})
 SELECT path, coalesce(language, 'unknown') AS language FROM (SELECT DISTINCT path FROM r) LEFT JOIN x ON ext = lower(regexp_extract(path, '\\.([^./\\\\]*)$', 1))""")
 def table_languages(spark, d):
-    """The language of every path that a document or page names; ``language_from_ext`` has fixed paths."""
+    """The language of every path that a document or page names."""
     return table_code_refs(spark, d).select("path").distinct().select("path", T.language(F.col("path")).alias("language"))
 
 
+@query("""SELECT p_partkey, p_partkey % 4 IN (0, 2) AS matches FROM part""")
+def match_patterns(spark, d):
+    path = F.concat(F.lit("a.b/x"), F.col("p_partkey").cast("string"), F.element_at(F.array(*map(F.lit, (".go", ".md", ".py", ""))), (F.col("p_partkey") % 4 + 1).cast("int")))
+    return t(spark, d, "part").select("p_partkey", T.matches_patterns(path, ["*.go", "docs/*.py"]).alias("matches"))
+
+
 def chunk_lines_of(rows: DataFrame, most: int = 512) -> DataFrame:
     """(doc_id, chunk_index, content, token_count): lines gathered until the next would go over ``most`` tokens."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).cast("long").alias("n"))
@@ -256,17 +241,26 @@ def first_vector(spark, d) -> list[float]:
     return list(t(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0])
 
 
-L2 = "round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
+L2 = "list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+
+
+def nearest_sql(distance: str) -> str:
+    return f"SELECT chunk_id, round(distance, 6) AS distance FROM (SELECT e.vec_id AS chunk_id, {distance} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, chunk_id LIMIT 15)"
+
+
+def shown(rows: DataFrame, column: str, digits: int = 6) -> DataFrame:
+    """Ranked by exact values, shown with few digits."""
+    return rows.withColumn(column, F.round(column, digits))
 
 
-@query(f"SELECT e.vec_id AS chunk_id, {L2} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, chunk_id LIMIT 15")
+@query(nearest_sql(L2))
 def knn_l2(spark, d):
-    return S.knn(t(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id"), first_vector(spark, d), 15)
+    return shown(S.knn(t(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id"), first_vector(spark, d), 15), "distance")
 
 
-@query("SELECT e.vec_id AS chunk_id, round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, chunk_id LIMIT 15")
+@query(nearest_sql("1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"))
 def knn_cosine(spark, d):
-    return S.knn(t(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id"), first_vector(spark, d), 15, "cosine")
+    return shown(S.knn(t(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id"), first_vector(spark, d), 15, "cosine"), "distance")
 
 
 def bm25_sql(words: list[str], table: str, key: str, text: str, k: int) -> str:
@@ -274,36 +268,43 @@ def bm25_sql(words: list[str], table: str, key: str, text: str, k: int) -> str:
     df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(words)))
     parts = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * (tf{i} * 2.2) / (tf{i} + 1.2 * (0.25 + 0.75 * length / mean))" for i in range(len(words)))
     some = " OR ".join(f"tf{i} > 0" for i in range(len(words)))
-    return f"""(WITH w AS (SELECT {key} AS chunk_id, list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM {table}),
+    return rf"""(WITH w AS (SELECT {key} AS chunk_id, list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {table}),
     c AS (SELECT chunk_id, len(w) AS length, {tf} FROM w), f AS (SELECT count(*) AS n, avg(length) AS mean, {df} FROM c)
-    SELECT chunk_id, round({parts}, 6) AS score FROM c, f WHERE {some} ORDER BY score DESC, chunk_id LIMIT {k})"""
+    SELECT chunk_id, {parts} AS score FROM c, f WHERE {some} ORDER BY score DESC, chunk_id LIMIT {k})"""
 
 
-@query(f"SELECT * FROM {bm25_sql(['thing', 'this', 'tion'], 'documents', 'doc_id', 'text', 30)}")
+@query(f"SELECT chunk_id, round(score, 6) AS score FROM {bm25_sql(['thing', 'this', 'tion'], 'documents', 'doc_id', 'text', 30)}")
 def bm25_topk(spark, d):
-    return S.bm25(t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "this thing tion", 30)
+    return shown(S.bm25(t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "this thing tion", 30), "score")
+
+
+@query(f"SELECT chunk_id, round(score, 6) AS score FROM {bm25_sql(['thing', 'this', 'tion'], 'documents', 'doc_id', 'text', 30)}")
+def bm25_indexed(spark, d):
+    """The same from the word index, as a store keeps it."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return shown(S.bm25_indexed(*S.word_index(docs), "this thing tion", 30), "score")
 
 
 RRF_SQL = f"""WITH v AS (SELECT chunk_id, row_number() OVER (ORDER BY distance, chunk_id) AS rank FROM (SELECT e.vec_id AS chunk_id, {L2} AS distance FROM embeddings e JOIN documents ON doc_id = vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, chunk_id LIMIT 15)),
 b AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM {bm25_sql(['thing', 'this', 'tion'], '(SELECT doc_id, text FROM documents JOIN embeddings ON doc_id = vec_id)', 'doc_id', 'text', 15)}),
-r AS (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM (SELECT * FROM v UNION ALL SELECT * FROM b) GROUP BY chunk_id)"""
+r AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT * FROM v UNION ALL SELECT * FROM b) GROUP BY chunk_id)"""
 BOOST_SQL = """x AS (SELECT doc_id AS chunk_id, list_transform(regexp_extract_all(text, '\\*\\*([^*\\n]+)\\*\\*', 1), lambda s: lower(trim(regexp_replace(s, ':\\s*$', '')))) AS terms FROM documents),
 y AS (SELECT chunk_id, list_distinct(list_filter(list_transform(terms, lambda s: CASE WHEN s IN ('warn', 'warning', 'caution') THEN 'warning' WHEN s IN ('note', 'info', 'tip') THEN 'note' WHEN s IN ('decision', 'important', 'input', 'output', 'example', 'todo', 'fixme', 'default', 'prerequisite', 'requirement') THEN s END), lambda s: s IS NOT NULL)) AS labels,
   list_distinct(list_filter(list_transform(terms, lambda s: CASE WHEN s IN ('deprecated', 'unsafe', 'experimental') THEN s WHEN s IN ('breaking', 'breaking change') THEN 'breaking-change' WHEN s = 'unstable' THEN 'experimental' WHEN s IN ('do not run', 'do-not-run') THEN 'do-not-run' END), lambda s: s IS NOT NULL)) AS risks FROM x),
 boost AS (SELECT chunk_id, least(100, 30 * len(list_filter(labels, lambda s: s IN ('warning', 'decision', 'important'))) + 10 * len(list_filter(labels, lambda s: s NOT IN ('warning', 'decision', 'important'))) + 20 * len(risks)) / 100.0 AS boost FROM y)"""
 
 
-@query(RRF_SQL + " SELECT * FROM r")
+@query(RRF_SQL + " SELECT chunk_id, round(rrf, 9) AS rrf FROM r")
 def rrf_merge(spark, d):
     c, q = chunks(spark, d), first_vector(spark, d)
-    return S.reciprocal_rank_fusion([S.ranked(S.knn(c, q, 15), "distance", "chunk_id"), S.ranked(S.bm25(c, "this thing tion", 15), F.desc("score"), "chunk_id")])
+    return shown(S.reciprocal_rank_fusion([S.ranked(S.knn(c, q, 15), "distance", "chunk_id"), S.ranked(S.bm25(c, "this thing tion", 15), F.desc("score"), "chunk_id")]), "rrf", 9)
 
 
-@query("WITH " + BOOST_SQL + " SELECT chunk_id, boost FROM boost WHERE boost > 0")
+@query("WITH " + BOOST_SQL + " SELECT chunk_id, CAST(boost AS DOUBLE) AS boost FROM boost")
 def signal_boost(spark, d):
     lists = T.signal_lists(F.col("text"))
     rows = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), T.metadata_boost(F.to_json(F.struct(lists["inline_labels"].alias("inline_labels"), lists["risk_markers"].alias("risk_markers")))).alias("boost"))
-    return rows.where("boost > 0")
+    return rows
 
 
 @query("WITH " + BOOST_SQL + f""" SELECT k.chunk_id, round(0.9::DOUBLE * (1 - distance) + 0.1::DOUBLE * boost, 6) AS final FROM (SELECT e.vec_id AS chunk_id, {L2} AS distance FROM embeddings e JOIN documents ON doc_id = vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, chunk_id LIMIT 15) k JOIN boost USING (chunk_id)""")
@@ -313,14 +314,12 @@ def signal_rerank(spark, d):
     return S.signal_rank(near.join(c.drop("embedding"), "chunk_id"), 1 - F.col("distance")).select("chunk_id", F.round("final", 6).alias("final"))
 
 
-@query("""WITH r AS (SELECT doc_id, text, source || '/' || doc_id AS path, row_number() OVER (ORDER BY doc_id) AS rank FROM documents),
-h AS (SELECT sha256(text) AS h, min(rank) AS rank, list(path ORDER BY rank) AS paths FROM r GROUP BY 1)
-SELECT doc_id, array_to_string(paths[2:], ',') AS duplicates FROM h JOIN r USING (rank) WHERE len(paths) > 1""")
+@query("SELECT doc_id, kept_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS kept_id FROM documents) WHERE doc_id <> kept_id")
 def dedup_by_hash(spark, d):
-    """Over all documents: one aggregate by content, no window, no list beyond a group of equal texts' paths."""
-    rows = t(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("h"), F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
-    groups = rows.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("doc_id", "path"))).alias("m")).where(F.size("m") > 1)
-    return groups.select(F.get("m", F.lit(0))["doc_id"].alias("doc_id"), F.array_join(F.transform(F.slice("m", 2, F.size("m")), lambda x: x["path"]), ",").alias("duplicates"))
+    """Every document whose text an earlier one has, with that one: a minimum by content, and a row for each copy."""
+    rows = t(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("h"))
+    kept = rows.groupBy("h").agg(F.min("doc_id").alias("kept_id"), F.count("*").alias("n")).where("n > 1").select("h", "kept_id")
+    return rows.join(kept, "h").where("doc_id <> kept_id").select("doc_id", "kept_id")
 
 
 @query(f"""WITH r AS (SELECT k.chunk_id, row_number() OVER (ORDER BY score DESC, k.chunk_id) AS rank, trunc(len({SQL_WORDS.format('text')}) / 0.75) AS tokens FROM {bm25_sql(['thing', 'this', 'tion'], 'documents', 'doc_id', 'text', 30)} k JOIN documents ON doc_id = k.chunk_id),
@@ -331,7 +330,7 @@ def token_budget(spark, d):
     return S.token_budget(best.join(docs, "chunk_id"), 4000).select("chunk_id")
 
 
-@query("WITH RECURSIVE " + RRF_SQL.removeprefix("WITH ") + ", " + BOOST_SQL + """, f AS (SELECT chunk_id, round(0.9::DOUBLE * rrf + 0.1::DOUBLE * boost, 9) AS final FROM r JOIN boost USING (chunk_id)),
+@query("WITH RECURSIVE " + RRF_SQL.removeprefix("WITH ") + ", " + BOOST_SQL + """, f AS (SELECT chunk_id, 0.9::DOUBLE * rrf + 0.1::DOUBLE * boost AS final FROM r JOIN boost USING (chunk_id)),
 k AS (SELECT f.chunk_id, final, row_number() OVER (ORDER BY final DESC, f.chunk_id) AS rank, sha256(text) AS h FROM f JOIN documents ON doc_id = f.chunk_id),
 u AS (SELECT min(rank) AS rank FROM k WHERE rank <= 20 GROUP BY h)
 SELECT chunk_id, round(final, 6) AS final FROM k JOIN u USING (rank) ORDER BY rank LIMIT 5""")
@@ -340,7 +339,7 @@ def hybrid_search(spark, d):
 
 
 @query("WITH " + BOOST_SQL + f""", k AS (SELECT e.vec_id AS chunk_id, {L2} AS distance FROM embeddings e JOIN documents ON doc_id = vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, chunk_id LIMIT 15),
-s AS (SELECT k.chunk_id, round(0.9::DOUBLE * (1 - distance) + 0.1::DOUBLE * boost, 9) AS final, sha256(text) AS h FROM k JOIN boost USING (chunk_id) JOIN documents ON doc_id = k.chunk_id),
+s AS (SELECT k.chunk_id, 0.9::DOUBLE * (1 - distance) + 0.1::DOUBLE * boost AS final, sha256(text) AS h FROM k JOIN boost USING (chunk_id) JOIN documents ON doc_id = k.chunk_id),
 o AS (SELECT *, row_number() OVER (ORDER BY final DESC, chunk_id) AS rank FROM s), u AS (SELECT min(rank) AS rank FROM o GROUP BY h)
 SELECT chunk_id, round(final, 6) AS final FROM o JOIN u USING (rank) ORDER BY rank LIMIT 5""")
 def search_chunks(spark, d):
@@ -545,52 +544,128 @@ def community_labels(spark, d):
     return A.community_labels(member, supply_edges(spark, d), member.select("id", F.col("id").alias("label")))
 
 
-# --- resolvers, on the fixtures' literal inputs ---
+# --- resolvers: symbols, files and imports whose names the tables' keys make up ---
 
 
-def rows_of(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
+def text_of(*parts: str | Column) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-@query("SELECT 'sym:auth.AuthServiceServer.Login' AS from_node, 'sym:auth.AuthService.Login' AS to_node, 'implements_rpc' AS kind")
-def implements_rpc(spark, d):
-    nodes = rows_of(spark, [("sym:auth.AuthService.Login", "symbol", "auth.proto", '{"input_type":"R"}'), ("sym:auth.AuthServiceServer.Login", "symbol", "gen/go/auth.go", "{}"), ("sym:auth.Other.Login", "symbol", "x.go", "{}")], "id string, kind string, source_path string, metadata string")
-    return three(R.implements_rpc(nodes, rows_of(spark, [("auth.proto", "go", "gen/go")], "proto_path string, lang string, prefix string")))
+C = F.col
 
 
-@query("""SELECT * FROM (VALUES ('sym:com.example.Child', 'sym:com.example.Base', '{}'), ('sym:com.app.Child', 'sym:com.lib.Only', '{}'), ('sym:com.app.Child', 'sym:com.a.Twice', '{"ambiguous_resolution":"true"}'), ('sym:com.app.Child', 'sym:com.b.Twice', '{"ambiguous_resolution":"true"}')) AS v(from_node, to_node, metadata)""")
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS n, 'sym:p' || p_size || '.Svc' || (p_partkey % 7) AS s FROM part)
+SELECT s || 'Server.Do' || k AS from_node, s || '.Do' || k AS to_node, 'implements_rpc' AS kind FROM p WHERE k % 2 = 0 AND NOT (n % 2 = 0 AND k % 3 = 0)
+UNION ALL SELECT s || 'Client.do' || k, s || '.Do' || k, 'implements_rpc' FROM p WHERE k % 5 = 0""")
+def implements_rpc(spark, d):
+    """Every part is an rpc; half have a Go server, some of them outside of the generator's folder, a fifth a Dart client."""
+    p = t(spark, d, "part").select(C("p_partkey").alias("k"), C("p_size").alias("n"), text_of("sym:p", C("p_size"), ".Svc", C("p_partkey") % 7).alias("s"))
+    node = lambda rows, id_, path, meta="{}": rows.select(id_.alias("id"), F.lit("symbol").alias("kind"), path.alias("source_path"), F.lit(meta).alias("metadata"))
+    proto = text_of("api/p", C("n"), ".proto")
+    nodes = node(p, text_of(C("s"), ".Do", C("k")), proto, '{"input_type":"R"}')
+    nodes = nodes.unionByName(node(p.where("k % 2 = 0"), text_of(C("s"), "Server.Do", C("k")), F.when(C("k") % 3 == 0, F.lit("other/x.go")).otherwise(F.lit("gen/go/x.go"))))
+    nodes = nodes.unionByName(node(p.where("k % 5 = 0"), text_of(C("s"), "Client.do", C("k")), F.lit("lib/x.dart")))
+    manifest = p.where("n % 2 = 0").select(proto.alias("proto_path"), F.lit("go").alias("lang"), F.lit("gen/go").alias("prefix")).distinct()
+    return three(R.implements_rpc(nodes, manifest))
+
+
+@query("""WITH r AS (SELECT DISTINCT s_nationkey AS n, s_suppkey % 40 AS k FROM supplier), z AS (SELECT k, count(*) AS m FROM r GROUP BY k),
+c AS (SELECT 'sym:n' || c_nationkey || '.C' || c_custkey AS from_node, c_nationkey AS n, c_custkey % 60 AS k FROM customer)
+SELECT from_node, 'sym:n' || r.n || '.S' || r.k AS to_node, '{}' AS metadata FROM c JOIN r ON r.n = c.n AND r.k = c.k
+UNION ALL SELECT from_node, 'sym:n' || r.n || '.S' || r.k, CASE WHEN m > 1 THEN '{"ambiguous_resolution":"true"}' ELSE '{}' END FROM c JOIN r ON r.k = c.k JOIN z ON z.k = c.k
+  WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.n = c.n AND x.k = c.k)
+UNION ALL SELECT from_node, 'sym:S' || k, '{"unresolved":"true"}' FROM c WHERE k NOT IN (SELECT k FROM r)""")
 def fqn_resolution(spark, d):
-    real = ["com.example.Base", "com.example.Child", "com.lib.Base", "com.lib.Only", "com.app.Child", "com.a.Twice", "com.b.Twice"]
-    nodes = rows_of(spark, [(f"sym:{x}", "symbol", False) for x in real] + [(f"sym:{x}", "symbol", True) for x in ("Base", "Only", "Twice")], "id string, kind string, is_placeholder boolean")
-    bare = [("sym:com.example.Child", "sym:Base"), ("sym:com.app.Child", "sym:Only"), ("sym:com.app.Child", "sym:Twice")]
-    edges = rows_of(spark, [(a, b, "inherits", 1.0, '{"unresolved":"true"}') for a, b in bare], "from_node string, to_node string, kind string, weight double, metadata string")
+    """Every customer's class inherits a bare name, which suppliers' classes of its nation or of others have."""
+    real = t(spark, d, "supplier").select(text_of("sym:n", C("s_nationkey"), ".S", C("s_suppkey") % 40).alias("id")).distinct()
+    child = t(spark, d, "customer").select(text_of("sym:n", C("c_nationkey"), ".C", C("c_custkey")).alias("id"), text_of("sym:S", C("c_custkey") % 60).alias("bare"))
+    node = lambda rows, held: rows.select("id", F.lit("symbol").alias("kind"), F.lit(held).alias("is_placeholder"))
+    nodes = node(real, False).unionByName(node(child, False)).unionByName(node(child.select(C("bare").alias("id")).distinct(), True))
+    edges = child.select(C("id").alias("from_node"), C("bare").alias("to_node"), F.lit("inherits").alias("kind"), F.lit(1.0).alias("weight"), F.lit('{"unresolved":"true"}').alias("metadata"))
     return R.resolve_names(edges, nodes).select("from_node", "to_node", "metadata")
 
 
-@query("SELECT * FROM (VALUES ('public.users', 'sym:public.users', false), ('public.users.email', 'sym:public.users', false), ('nowhere', 'sym:nowhere', true)) AS v(target_name, to_node, unresolved)")
+@query("""WITH o AS (SELECT 'sym:f' || o_orderkey AS from_node, o_custkey % 50 AS k, o_custkey % 3 AS m, (o_custkey % 50) IN (SELECT n_nationkey FROM nation) AS known FROM orders),
+x AS (SELECT *, CASE m WHEN 0 THEN 'public.t' || k WHEN 1 THEN 'public.t' || k || '.col' ELSE 'nowhere' || k END AS target_name FROM o)
+SELECT from_node, target_name, CASE WHEN m = 1 AND known THEN 'sym:public.t' || k ELSE 'sym:' || target_name END AS to_node, m = 2 OR NOT known AS unresolved FROM x""")
 def body_references(spark, d):
-    nodes = rows_of(spark, [("sym:public.users",)], "id string")
-    edges = rows_of(spark, [("sym:f", "public.users", "read"), ("sym:f", "public.users.email", "read"), ("sym:f", "nowhere", "write")], "from_node string, target_name string, op string")
-    return R.resolve_body_references(edges, nodes).select("target_name", "to_node", "unresolved")
+    """Every order is a function that names a table, a column, or nothing that there is."""
+    k, m = (C("o_custkey") % 50).cast("string"), C("o_custkey") % 3
+    target = F.when(m == 0, F.concat(F.lit("public.t"), k)).when(m == 1, F.concat(F.lit("public.t"), k, F.lit(".col"))).otherwise(F.concat(F.lit("nowhere"), k))
+    edges = t(spark, d, "orders").select(text_of("sym:f", C("o_orderkey")).alias("from_node"), target.alias("target_name"), F.lit("read").alias("op"))
+    nodes = t(spark, d, "nation").select(text_of("sym:public.t", C("n_nationkey")).alias("id"))
+    return R.resolve_body_references(edges, nodes).select("from_node", "target_name", "to_node", "unresolved")
 
 
-@query("SELECT * FROM (VALUES ('file:pkg/auth/auth_test.go', 'file:pkg/auth/auth.go'), ('file:tests/test_x.py', 'file:x.py'), ('file:src/__tests__/a.ts', 'file:src/a.ts'), ('file:src/b.spec.ts', 'file:src/b.tsx')) AS v(from_node, to_node)")
+@query("""SELECT 'file:pkg' || p_size || '/x' || p_partkey || '_test.go' AS from_node, 'file:pkg' || p_size || '/x' || p_partkey || '.go' AS to_node FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT 'file:tests/test_y' || p_partkey || '.py', 'file:y' || p_partkey || '.py' FROM part WHERE p_partkey % 15 = 0""")
 def test_links(spark, d):
-    paths = ["pkg/auth/auth_test.go", "pkg/auth/auth.go", "pkg/foo_test.go", "tests/test_x.py", "x.py", "src/__tests__/a.ts", "src/a.ts", "src/b.spec.ts", "src/b.tsx"]
-    return R.test_edges(rows_of(spark, [(p,) for p in paths], "path string")).select("from_node", "to_node")
+    p = t(spark, d, "part")
+    files = p.select(text_of("pkg", C("p_size"), "/x", C("p_partkey"), ".go").alias("path"))
+    files = files.unionByName(p.where("p_partkey % 2 = 0").select(text_of("pkg", C("p_size"), "/x", C("p_partkey"), "_test.go").alias("path")))
+    files = files.unionByName(p.where("p_partkey % 3 = 0").select(text_of("tests/test_y", C("p_partkey"), ".py").alias("path")))
+    files = files.unionByName(p.where("p_partkey % 5 = 0").select(text_of("y", C("p_partkey"), ".py").alias("path")))
+    return R.test_edges(files).select("from_node", "to_node")
 
 
-@query("SELECT * FROM (VALUES ('src/a.ts', './b', 'src/b.ts'), ('src/a.ts', '../lib/c.js', 'lib/c.ts'), ('src/a.ts', './d', 'src/d/index.tsx')) AS v(path, specifier, target)")
+@query("""WITH i AS (SELECT 'src/a' || p_partkey || '.ts' AS path, p_partkey % 20 AS k FROM part WHERE p_partkey % 4 <> 0)
+SELECT path, './m' || k AS specifier, 'src/m' || k || CASE WHEN k < 10 THEN '.ts' WHEN k <= 12 THEN '.js' ELSE '/index.tsx' END AS target FROM i WHERE k <= 16""")
 def module_resolution(spark, d):
-    files = rows_of(spark, [(p,) for p in ("src/b.ts", "src/b.js", "lib/c.ts", "lib/c.js", "src/d/index.tsx")], "path string")
-    imports = rows_of(spark, [("src/a.ts", s) for s in ("./b", "../lib/c.js", "./d", "react", "./none")], "path string, specifier string")
-    return R.resolve_modules(imports, files)
+    n = t(spark, d, "nation").select(C("n_nationkey").alias("k"))
+    file = lambda low, high, end: n.where(C("k").between(low, high)).select(text_of("src/m", C("k"), end).alias("path"))
+    files = file(0, 9, ".ts").unionByName(file(5, 12, ".js")).unionByName(file(13, 16, "/index.tsx"))
+    specifier = F.when(C("p_partkey") % 4 == 0, F.lit("react")).otherwise(text_of("./m", C("p_partkey") % 20))
+    return R.resolve_modules(t(spark, d, "part").select(text_of("src/a", C("p_partkey"), ".ts").alias("path"), specifier.alias("specifier")), files)
 
 
-@query("SELECT 'sym:m.A' AS from_node, 'sym:n.B' AS to_node, 'lib.T,lib.U' AS resolved")
+@query("""WITH c AS (SELECT 'sym:c' || c_custkey AS from_node, 'sym:n' || c_nationkey AS to_node, c_nationkey AS n, c_custkey % 5 = c_nationkey % 5 AS a, c_nationkey % 2 = 0 AS b, c_custkey % 5 AS k FROM customer)
+SELECT from_node, to_node, concat_ws(',', CASE WHEN a THEN 'lib' || n || '.T' || k END, CASE WHEN b THEN 'lib' || n || '.U' END) AS resolved FROM c WHERE a OR b""")
 def type_variables(spark, d):
-    pending = rows_of(spark, [("sym:m.A", "sym:n.B", [("T", "lib"), ("U", "lib"), ("X", "lib")])], "from_node string, to_node string, type_args array<struct<name string, module string>>")
-    return R.resolve_type_variables(pending, rows_of(spark, [("lib", "T"), ("lib", "U")], "module string, name string")).select("from_node", "to_node", F.array_join("resolved", ",").alias("resolved"))
+    arg = lambda name: F.struct(name.alias("name"), text_of("lib", C("c_nationkey")).alias("module"))
+    pending = t(spark, d, "customer").select(text_of("sym:c", C("c_custkey")).alias("from_node"), text_of("sym:n", C("c_nationkey")).alias("to_node"), F.array(arg(text_of("T", C("c_custkey") % 5)), arg(F.lit("U"))).alias("type_args"))
+    n = t(spark, d, "nation")
+    variables = n.select(text_of("lib", C("n_nationkey")).alias("module"), text_of("T", C("n_nationkey") % 5).alias("name")).unionByName(n.where("n_nationkey % 2 = 0").select(text_of("lib", C("n_nationkey")).alias("module"), F.lit("U").alias("name")))
+    return R.resolve_type_variables(pending, variables).select("from_node", "to_node", F.array_join("resolved", ",").alias("resolved"))
+
+
+# --- by kind, related, shown ---
+
+
+@query(f"WITH {NODES_SQL} SELECT id, label FROM n WHERE kind = 'nation'")
+def nodes_by_kind(spark, d):
+    return G.of_kind(star_nodes(spark, d), "nation").select("id", "label")
+
+
+@query("SELECT 'c:' || c_custkey AS id FROM customer WHERE c_mktsegment ILIKE '%build%'")
+def nodes_with_metadata(spark, d):
+    nodes = t(spark, d, "customer").select(text_of("c:", C("c_custkey")).alias("id"), F.lit("customer").alias("kind"), F.to_json(F.struct(C("c_mktsegment").alias("segment"))).alias("metadata"))
+    return G.of_kind(nodes, "customer", "build").select("id")
+
+
+@query(f"WITH {EDGES_SQL} SELECT from_node, to_node, kind FROM e WHERE kind = 'based_in'")
+def edges_by_kind(spark, d):
+    return three(G.of_kind(star_edges(spark, d), "based_in"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS title FROM supplier WHERE s_nationkey = (SELECT arg_min(s_nationkey, s_suppkey) FROM supplier) AND s_suppkey > (SELECT min(s_suppkey) FROM supplier)")
+def related_documents(spark, d):
+    """Suppliers are documents, and share a file with the first of their nation."""
+    s = t(spark, d, "supplier")
+    first = s.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("first"))
+    edges = s.join(first, "s_nationkey").where("s_suppkey <> first").select(text_of("doc:", C("first")).alias("from_node"), text_of("doc:", C("s_suppkey")).alias("to_node"), F.lit("shared_code_ref").alias("kind"))
+    docs = s.select(C("s_suppkey").cast("string").alias("id"), C("s_name").alias("title"))
+    return G.related_documents(docs, edges, str(s.agg(F.min("s_suppkey")).first()[0]))
+
+
+@query(f"WITH {EDGES_SQL} SELECT id, round(least(18.0, 4.0 + 2.5 * ln(1 + degree)), 6) AS radius FROM (SELECT id, count(*) AS degree FROM (SELECT from_node AS id FROM e UNION ALL SELECT to_node FROM e WHERE from_node <> to_node) GROUP BY id)")
+def node_radius(spark, d):
+    return G.degrees(star_edges(spark, d)).select("id", F.round(T.node_radius(C("degree")), 6).alias("radius"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'sym:' WHEN 'N' THEN 'file:' ELSE 'key:' END || l_partkey AS target FROM lineitem")
+def target_ids(spark, d):
+    kind = F.when(C("l_returnflag") == "A", "call").when(C("l_returnflag") == "N", "mentions").otherwise("config-key")
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", G.target_id(kind, C("l_partkey").cast("string"), F.lit(None).cast("string")).alias("target"))
 
 
 # --- iterative ---
