@@ -10,13 +10,14 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.functions.embed import Embedder, HashEmbedder
+from lorekeep.functions.embed import Embedder, HashEmbedder, Reranker, Summarizer, check_model, dimension, reranked, summary
 from lorekeep.operators import graph as G
 from lorekeep.operators import resolve as R
 from lorekeep.operators import retrieval as S
-from lorekeep.operators.store import Store, settle
+from lorekeep.operators.store import Store, fill_summaries, settle
+from lorekeep.plans import faq, trace
 from lorekeep.plans import index as I
-from lorekeep.sources.files import default_registry, ignore_rules, scan, walk, without_generated
+from lorekeep.sources.files import closed_issues, default_registry, git_log, ignore_rules, scan, walk, without_generated
 from lorekeep.sources.handlers import parse_files
 
 
@@ -31,42 +32,86 @@ class Config:
     test_edges: bool = True
     exclude: list[str] = field(default_factory=list)
     metric: str = "l2"
+    rerank_top: int = S.RERANK_TOP
 
 
 class Workspace:
-    """A store and what is asked of it."""
+    """A store and what is asked of it. A summarizer fills the chunks' summaries, a reranker orders vector searches."""
 
-    def __init__(self, spark: SparkSession, root: str, store: str, embedder: Embedder | None = None, config: Config | None = None):
+    def __init__(self, spark: SparkSession, root: str, store: str, embedder: Embedder | None = None, config: Config | None = None, reranker: Reranker | None = None, summarizer: Summarizer | None = None):
         self.spark, self.root, self.config = spark, root, config or Config()
         self.store, self.embedder = Store(spark, store), embedder or HashEmbedder()
+        self.reranker, self.summarizer = reranker, summarizer
 
     # --- writing ---
 
+    def _parsed(self, name: str, files: DataFrame, force: bool) -> DataFrame:
+        """The files' parsed rows: those that the store has for the same content, and the others made now."""
+        fresh, kept = I.still_parsed(files, self.store.read(name), force)
+        made = parse_files(fresh)
+        return settle(made if kept is None else kept.unionByName(made))
+
     def index(self, force: bool = False) -> dict[str, int]:
-        """Documents of the docs folder, code of the whole project. Unchanged documents keep their chunks and vectors."""
-        docs_root = f"{self.root}/{self.config.docs_dir}"
-        files = walk(scan(self.spark, docs_root), default_registry(), self.config.exclude)
+        """Documents of the docs folder, code of the whole project. Files whose content is the stored one are not parsed
+        again, and unchanged documents keep their chunks and vectors. Another model than the store's is refused before
+        anything is embedded."""
+        stored = self.store.read("meta")
+        meta = check_model({r["key"]: r["value"] for r in stored.collect()} if stored is not None else {}, self.embedder.model(), dimension(self.embedder))
+        files = walk(scan(self.spark, f"{self.root}/{self.config.docs_dir}"), default_registry(), self.config.exclude)
         old_docs, old_chunks = self.store.read("documents"), self.store.read("chunks")
-        fresh = files if old_docs is None or force else I.reindexed(files, old_docs)
-        parsed = parse_files(fresh).persist()
+        parsed = self._parsed("parsed_docs", files, force)
         docs, chunks = I.documents(parsed), I.document_chunks(parsed, self.embedder)
-        if old_docs is not None:
-            gone = old_docs.select("file_path").join(files.select(F.col("path").alias("file_path")), "file_path", "left_anti").union(fresh.select("path"))
-            docs = old_docs.join(gone, "file_path", "left_anti").select(*docs.columns).unionByName(docs)
-            chunks = old_chunks.join(gone, "file_path", "left_anti").select(*chunks.columns).unionByName(chunks)
+        if old_chunks is not None and not force:
+            same = docs.select("file_path", "content_hash").join(old_docs.select("file_path", "content_hash"), ["file_path", "content_hash"], "left_semi").select("file_path")
+            changed = parsed.join(same.withColumnRenamed("file_path", "path"), "path", "left_anti")
+            chunks = old_chunks.join(same, "file_path", "left_semi").select(*chunks.columns).unionByName(I.document_chunks(changed, self.embedder))
+        frames = {}
+        if self.summarizer is not None:
+            cache = self.store.read("summary_cache")
+            cache = self.spark.createDataFrame([], "content_hash string, summary string") if cache is None else cache
+            filled, cache = fill_summaries(chunks.withColumn("embedding_text", F.col("content")), cache, lambda c: summary(self.summarizer, c))
+            chunks, frames["summary_cache"] = filled.select(*chunks.columns), settle(cache)
         everything = scan(self.spark, self.root)
-        code = parse_files(without_generated(walk(everything, default_registry(), self.config.exclude, ignore_rules(everything)))).persist()
-        nodes, edges = I.resolve_all(code, *I.project(code), tests=self.config.test_edges)
-        cited, refs = map(settle, I.code_files(parse_files(files)))
+        sources = without_generated(walk(everything, default_registry(), self.config.exclude, ignore_rules(everything)))
+        code = self._parsed("parsed_code", sources, force)
+        nodes, edges = I.resolve_all(code, *I.project(code), tests=self.config.test_edges, files=sources)
+        cited, refs = map(settle, I.code_files(parsed))
         docs, chunks, nodes = settle(docs), settle(chunks), settle(nodes)
         doc_nodes, doc_edges = I.document_graph(docs, refs, cited)
         nodes = nodes.unionByName(doc_nodes.join(nodes.select("id"), "id", "left_anti").select(*nodes.columns))
-        self.store.write(documents=docs, chunks=chunks, code_files=cited, refs=refs, nodes=nodes, edges=edges.unionByName(doc_edges))
+        postings, lengths = S.word_index(chunks)
+        frames |= {"postings": postings.repartitionByRange("term").sortWithinPartitions("term"), "lengths": lengths}
+        frames["meta"] = self.spark.createDataFrame(sorted(meta.items()), "key string, value string").coalesce(1)
+        self.store.write(documents=docs, chunks=chunks, code_files=cited, refs=refs, nodes=nodes, edges=edges.unionByName(doc_edges), parsed_docs=parsed, parsed_code=code, **frames)
         errors = parsed.where("error IS NOT NULL").count() + code.where("error IS NOT NULL").count()
-        parsed.unpersist()
-        code.unpersist()
         return self.status() | {"errors": errors}
 
+    def reindex(self) -> dict[str, int]:
+        """Drop vectors, chunks and the model's record, and make them anew, as for another model."""
+        self.store.clear_vectors()
+        return self.index(force=True)
+
+    def write_questions(self, git_log_path: str | None = None, issues_path: str | None = None, folder: str = "faq") -> int:
+        """Questions that a log or closed issues answer, as documents of the docs folder; then index. Returns how many."""
+        rows = []
+        if git_log_path:
+            rows.append(git_log(self.spark, git_log_path).select(F.col("hash").alias("id"), F.col("subject").alias("title"), F.col("body").alias("detail")))
+        if issues_path:
+            rows.append(closed_issues(self.spark, issues_path))
+        if not rows:
+            return 0
+        both = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+        made = faq.as_markdown(faq.entries(faq.questions_from(both), self.embedder))
+        base = f"{self.root}/{self.config.docs_dir}/{folder}"
+        os.makedirs(base, exist_ok=True)
+        n = 0
+        for r in made.toLocalIterator():
+            with open(os.path.join(base, os.path.basename(r["file_name"])), "w", encoding="utf-8") as f:
+                f.write(r["content"])
+            n += 1
+        self.index()
+        return n
+
     def update_docs(self, file_path: str, content: str) -> None:
         """Write a document, which must lie in the docs folder, and index it."""
         base = os.path.realpath(f"{self.root}/{self.config.docs_dir}")
@@ -108,7 +153,11 @@ class Workspace:
     def search_docs(self, query: str, limit: int = 5, include_refs: bool = False, include_body: bool = False, budget: int = 0) -> DataFrame:
         chunks, limit = self.store.read("chunks"), within(limit, 1, 20)
         vector = self.embedder.embed_batch([query])[0]
-        found = S.hybrid_search(chunks, vector, query, limit, self.config.metric) if self.config.hybrid else S.search_chunks(chunks, vector, limit, self.config.metric)
+        if self.config.hybrid:
+            found = S.hybrid_search(chunks, vector, query, limit, self.config.metric, index=(self.store.read("postings"), self.store.read("lengths")))
+        else:
+            order = reranked(query, self.reranker, max(self.config.rerank_top, limit)) if self.reranker is not None else None
+            found = S.search_chunks(chunks, vector, limit, self.config.metric, order, self.config.rerank_top)
         out = S.summaries_or_bodies(S.token_budget(found, budget), include_body)
         if include_refs:
             paths = S.referenced_paths(self.store.read("documents"), self.store.read("refs").select("doc_id", "code_file_id"), self.store.read("code_files"))
@@ -146,11 +195,17 @@ class Workspace:
     def graph_explain(self, node_id: str) -> DataFrame:
         return G.explain(self.store.read("edges"), G.resolve_node(self.store.read("nodes"), node_id))
 
-    def trace_rpc(self, rpc: str) -> dict[str, DataFrame]:
+    def trace_rpc(self, rpc: str, format: str | None = None) -> dict[str, DataFrame] | str:
+        """What is known of an rpc, as frames, or rendered as ``markdown`` or ``json``. Accepted are the node's id, its dotted
+        path or the end of it, and file:method."""
+        if format not in (None, "markdown", "json"):
+            raise ValueError(f"unsupported format {format!r}")
         nodes = self.store.read("nodes")
         calls = nodes.where(F.col("metadata").contains('"input_type":'))
-        name = rpc.removeprefix("sym:")
+        name = rpc.strip().removeprefix("sym:")
         hits = [r["id"] for r in calls.where((F.col("id") == f"sym:{name}") | F.col("id").endswith(f".{name}") | (F.concat("source_path", F.lit(":"), "label") == rpc)).select("id").limit(10).collect()]
+        hits = [f"sym:{name}"] if f"sym:{name}" in hits else hits
         if len(hits) != 1:
             raise G.Ambiguous(f"{rpc}: {sorted(hits)}") if hits else KeyError(rpc)
-        return R.rpc_implementations(self.store.read("edges"), nodes, hits[0])
+        found = R.rpc_implementations(self.store.read("edges"), nodes, hits[0])
+        return found if format is None else trace.render(rpc, found, format)

@@ -96,6 +96,20 @@ def embedding(embedder: Embedder, text: Column) -> Column:
     return run(text)
 
 
+def summary(summarizer: Summarizer, text: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield b.fillna("").map(summarizer.summarize)
+
+    return run(text)
+
+
+def dimension(embedder: Embedder) -> int:
+    own = getattr(embedder, "dimension", None)
+    return own if own is not None else len(embedder.embed_batch(["x"])[0] or [])
+
+
 def check_model(meta: dict[str, str], model: str, dimension: int) -> dict[str, str]:
     """The store's model and dimension; another one may not write to it."""
     if not meta:

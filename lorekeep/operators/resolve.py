@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import has_path_prefix, lower_first, package_of, short_name
+from lorekeep.functions.text import has_path_prefix, language, lower_first, package_of, short_name
 
 
 def rpc_candidates(pkg: Column, svc: Column, method: Column, small: Column) -> Column:
@@ -163,4 +163,35 @@ def rpc_implementations(edges: DataFrame, nodes: DataFrame, rpc: str, depth: int
     direct = edges.where((F.col("to_node") == rpc) & (F.col("kind") == "call_rpc")).select(F.col("from_node").alias("id")).distinct()
     siblings = F.regexp_replace(F.lit(rpc), r"[^.]*$", "")
     related = nodes.where(F.col("id").startswith(siblings) & (F.col("id") != rpc) & F.col("metadata").contains('"input_type":')).orderBy("id")
-    return {"definition": nodes.where(F.col("id") == rpc), "implementations": impl.join(nodes, "id").orderBy("source_path", "id"), "callers": near, "direct": direct.join(nodes, "id").orderBy("id"), "related": related}
+    definition = nodes.where(F.col("id") == rpc)
+    implementations = impl.join(nodes, "id").withColumns({"language": language(F.col("source_path")), "side": implementation_kind(F.col("id"))})
+    return {
+        "definition": definition, "fields": message_fields(definition, nodes), "implementations": implementations.orderBy("language", "id"),
+        "callers": near, "direct": direct.join(nodes, "id").orderBy("id"), "related": related,
+    }
+
+
+def implementation_kind(node_id: Column) -> Column:
+    """How generated names tell a server's side from a client's."""
+    owner = F.regexp_extract(node_id, r"([^.]*)\.[^.]*$", 1)
+    return F.when(owner.rlike("(Server|Handler|Base)$"), "server").when(owner.rlike("Client$"), "client").otherwise("stub")
+
+
+def message_fields(rpcs: DataFrame, nodes: DataFrame, depth: int = 3) -> DataFrame:
+    """(role, level, message, field, type, number): the fields of the rpcs' input and output messages, and of the messages
+    that these have as fields, ``depth`` levels down. A type is looked for in the message's own scope and outwards."""
+    of = lambda name: F.get_json_object("metadata", f"$.{name}")
+    scope = F.regexp_replace("id", r"^sym:|\.[^.]*\.[^.]*$", "")
+    wanted = rpcs.select(F.explode(F.array(F.struct(F.lit("input").alias("role"), of("input_type").alias("type")), F.struct(F.lit("output").alias("role"), of("output_type").alias("type")))).alias("w"), scope.alias("scope")).select("w.role", "w.type", "scope")
+    fields = nodes.where(F.col("metadata").contains('"field_number":')).select(F.regexp_replace("id", r"^sym:|\.[^.]*$", "").alias("message"), F.col("label").alias("field"), of("type").alias("of"), of("value_type").alias("value"), of("field_number").cast("int").alias("number"))
+    fields = fields.withColumn("type", F.when(F.col("of") == "map", F.col("value")).otherwise(F.col("of"))).drop("value")
+    out = None
+    for level in range(1, depth + 1):
+        parts = F.split("scope", r"\.")
+        outward = F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda n: F.concat_ws(".", F.when(n > 0, F.array_join(F.slice(parts, F.lit(1), n), ".")), F.col("type")))
+        asked = wanted.withColumn("type", F.regexp_replace("type", r"^\.", "")).select("role", "type", F.posexplode(outward).alias("nth", "message"))
+        hit = asked.join(fields.select("message").distinct(), "message").groupBy("role", "type").agg(F.min(F.struct("nth", "message")).alias("m")).select("role", F.col("m.message").alias("message")).distinct()
+        now = hit.join(fields, "message").select("role", F.lit(level).alias("level"), "message", "field", F.col("of").alias("type"), "number", F.col("type").alias("__type"))
+        out = now if out is None else out.unionByName(now)
+        wanted = now.select("role", F.col("__type").alias("type"), F.col("message").alias("scope")).distinct()
+    return out.drop("__type").groupBy("role", "message", "field", "type", "number").agg(F.min("level").alias("level")).orderBy("role", "level", "message", "number")

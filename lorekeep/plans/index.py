@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from lorekeep.operators import graph as G
 from lorekeep.operators import resolve as R
 from lorekeep.operators import store as K
 from lorekeep.plans.queries import code_references
+from lorekeep.sources import code
 
 #: Unit kinds that are no symbols, and kinds of edges that references make.
 NO_SYMBOLS = ["section", "page", "row", "key-path", "paragraph"]
@@ -83,11 +87,60 @@ def manifest_of(parsed: DataFrame) -> DataFrame | None:
     return R.buf_manifest(plugins, protos)
 
 
-def resolve_all(parsed: DataFrame, nodes: DataFrame, edges: DataFrame, tests: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The resolvers in order: rpc implementations, names, body references, tests; then edges whose ends are gone go."""
-    columns = ["from_node", "to_node", "kind", "weight", "metadata"]
+EDGE = ["from_node", "to_node", "kind", "weight", "metadata"]
+
+
+def module_edges(parsed: DataFrame, edges: DataFrame) -> DataFrame:
+    """Imports of JavaScript and TypeScript with a relative specifier go to the file that it means, if there is one."""
+    wanted = parsed.where("handler = 'javascript' AND error IS NULL").select("path", F.explode("refs").alias("r")).where("r.kind = 'import'").select("path", F.col("r.target").alias("specifier")).distinct()
+    found = R.resolve_modules(wanted, parsed.select("path").distinct())
+    ends = found.select(F.concat(F.lit("file:"), "path").alias("from_node"), F.concat(F.lit("sym:"), "specifier").alias("to_node"), F.concat(F.lit("file:"), "target").alias("file"))
+    moved = edges.where("kind = 'import'").join(ends, ["from_node", "to_node"]).select("from_node", F.col("file").alias("to_node"), "kind", "weight", "metadata")
+    kept = edges.join(ends.select("from_node", "to_node", F.lit("import").alias("kind")), ["from_node", "to_node", "kind"], "left_anti").select(*EDGE)
+    return kept.unionByName(moved)
+
+
+def call_rpc_edges(files: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """call_rpc edges from functions to the rpcs that they call on generated clients: connect stubs in TypeScript and
+    JavaScript, client classes in Dart. What goes to the tasks is the generated classes, as many as the project has
+    services. ``files`` has path and content."""
+    stub = lambda name: F.get_json_object("metadata", f"$.{name}").alias(name)
+    stubs = {r["const_name"]: r["service_typename"] for r in nodes.where(F.col("metadata").contains('"connect_es_stub"')).select(stub("const_name"), stub("service_typename")).distinct().collect()}
+    dart = edges.where("kind = 'implements_rpc'").join(nodes.where(F.lower("source_path").endswith(".dart")).select(F.col("id").alias("from_node")), "from_node")
+    registry: dict[str, dict[str, str]] = {}
+    for r in dart.select("from_node", "to_node").collect():
+        *_, cls, method = r["from_node"].split(".")
+        registry.setdefault(cls, {})[method] = r["to_node"].removeprefix("sym:")
+    schema = "caller string, rpc string"
+    if not stubs and not registry:
+        return edges.select(*EDGE).limit(0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for path, data in zip(b["path"], b["content"], strict=True):
+                text = bytes(data).decode("utf-8", "replace")
+                if path.endswith(".dart"):
+                    found += code.dart_call_sites(path, text, registry)
+                else:
+                    found += [(f"{code.module_title(path)}.{caller}", rpc) for caller, rpc in code.connect_call_sites(text, stubs)]
+            yield pd.DataFrame(found, columns=["caller", "rpc"])
+
+    callable_ = F.col("path").rlike(r"(?i)\.(ts|tsx|js|jsx|mts|mjs|cts|cjs|dart)$") & ~F.col("path").rlike(r"(?i)_connect(web)?\.(ts|js)$")
+    sites = files.where(callable_).select("path", "content").mapInPandas(run, schema).distinct()
+    made = sites.select(F.concat(F.lit("sym:"), "caller").alias("from_node"), F.concat(F.lit("sym:"), "rpc").alias("to_node"), F.lit("call_rpc").alias("kind"), F.lit(1.0).alias("weight"), F.lit("{}").alias("metadata"))
+    rpcs = nodes.where(F.col("metadata").contains('"input_type":')).select(F.col("id").alias("to_node"))
+    callers = nodes.where("NOT is_placeholder").select(F.col("id").alias("from_node"))
+    return made.join(callers, "from_node", "left_semi").join(rpcs, "to_node", "left_semi").select(*EDGE)
+
+
+def resolve_all(parsed: DataFrame, nodes: DataFrame, edges: DataFrame, tests: bool = True, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The resolvers in order: modules, rpc implementations, calls of rpcs (with ``files``), names, body references, tests;
+    then edges whose ends are gone go."""
     nodes, edges = K.settle(nodes), K.settle(edges)
-    edges = edges.select(*columns).unionByName(R.implements_rpc(nodes, manifest_of(parsed)))
+    edges = K.settle(module_edges(parsed, edges.select(*EDGE)).unionByName(R.implements_rpc(nodes, manifest_of(parsed))))
+    if files is not None:
+        edges = edges.unionByName(call_rpc_edges(files, nodes, edges))
     edges = K.settle(R.resolve_names(K.settle(edges), nodes))
     bodies = edges.where("kind = 'body_references'").withColumns({"target_name": F.coalesce(F.get_json_object("metadata", "$.target_name"), F.regexp_replace("to_node", "^sym:", "")), "op": F.get_json_object("metadata", "$.op")})
     solved = R.resolve_body_references(bodies.select("from_node", "target_name", "op"), nodes.where("NOT is_placeholder"))
@@ -100,6 +153,17 @@ def resolve_all(parsed: DataFrame, nodes: DataFrame, edges: DataFrame, tests: bo
     return nodes.where("NOT is_placeholder").unionByName(nodes.where("is_placeholder").join(used, "id", "left_semi").select(*nodes.columns)), edges
 
 
+def still_parsed(files: DataFrame, old: DataFrame | None, force: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(files to parse, parsed rows that hold): a file whose content's hash is that of its stored rows is not parsed again,
+    and rows of files that are gone or changed go."""
+    if old is None or force:
+        return files, None
+    now = files.select("path", content_hash(F.col("content")).alias("content_hash"))
+    kept = old.join(now, ["path", "content_hash"], "left_semi").select(*old.columns)
+    fresh = files.withColumn("content_hash", content_hash(F.col("content"))).join(old.select("path", "content_hash").distinct(), ["path", "content_hash"], "left_anti")
+    return fresh.select(*files.columns), kept
+
+
 def reindexed(new: DataFrame, old_documents: DataFrame, force: bool = False) -> DataFrame:
     """Files whose content is not what the store has."""
     known = old_documents.select(F.col("file_path").alias("path"), F.col("content_hash").alias("old"))

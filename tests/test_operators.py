@@ -236,3 +236,77 @@ def test_communities_that_do_not_settle_are_an_error(spark, monkeypatch):
     edges = edges_of(spark, [("a", "b", "mentions"), ("b", "c", "mentions"), ("c", "d", "mentions")])
     with pytest.raises(RuntimeError, match="did not settle"):
         analytics.communities(nodes, edges)
+
+
+def test_reranking_of_vector_searches(corpus):
+    class Backwards:
+        def scores(self, query, texts):
+            assert len(texts) <= 20
+            return list(range(len(texts)))
+
+    class Broken:
+        def scores(self, query, texts):
+            raise TimeoutError
+
+    q = [1.0, 0.0, 0.0, 0.0]
+    order = lambda r: [x["chunk_id"] for x in S.search_chunks(corpus, q, 3, rerank=r).collect()]
+    assert order(None) == [1, 2, 3] == order(embed.reranked("q", Broken()))
+    assert order(embed.reranked("q", Backwards())) == [10, 9, 8]  # of ten fetched
+
+
+def test_word_index_gives_what_the_texts_give(spark):
+    texts = ["Das Öl über dem Haus, Öl!", "search_docs finds docs", "docs search", "über alles", "", None, "search docs search-docs"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    for query in ("öl", "search_docs", "docs über", "nothing", "*()", "ÜBER öl search_docs"):
+        a, b = (sorted((r["chunk_id"], round(r["score"], 9)) for r in x.collect()) for x in (S.bm25(docs, query, 9), S.bm25_indexed(*S.word_index(docs), query, 9)))
+        assert a == b, query
+    assert {r["chunk_id"] for r in S.bm25(docs, "search_docs", 9).collect()} == {1, 6}
+
+
+def test_ranks_go_by_exact_values(spark):
+    rows = [(1, [1.0 + 4e-8, 0.0]), (2, [1.0 + 2e-8, 0.0]), (3, [2.0, 0.0])]
+    near = S.knn(spark.createDataFrame(rows, "chunk_id long, embedding array<double>"), [1.0, 0.0], 2)
+    assert [r["chunk_id"] for r in near.collect()] == [2, 1]
+
+
+def test_store_pointers(spark, tmp_path):
+    s = K.Store(spark, f"file://{tmp_path}/store")
+    one = spark.createDataFrame([(1,)], "id int")
+    s.write(t=one, chunks=one)
+    s.write(documents=spark.createDataFrame([("a", "h")], "file_path string, content_hash string"))
+    assert s.version() == 2 and "documents" not in s.tables(1) and set(s.tables()) == {"t", "chunks", "documents"}
+    s.clear_vectors()
+    assert s.read("chunks") is None and s.read("documents").first()["content_hash"] == "" and s.read("t").count() == 1
+
+
+def test_kinds_and_incident_edges(spark):
+    e = edges_of(spark, [("a", "b", "call"), ("c", "a", "call"), ("a", "d", "import")])
+    assert G.of_kind(e, "call").count() == 2 and G.incident(e, "a").count() == 3
+    assert {r["kind"]: (r["others"], r["n"]) for r in G.explain(e, "a", most=1).collect()} == {"call": (["b"], 2), "import": (["d"], 1)}
+    n = spark.createDataFrame([("x", "symbol", '{"Buf_Gen":1}'), ("y", "symbol", "{}")], "id string, kind string, metadata string")
+    assert [r["id"] for r in G.of_kind(n, "symbol", "buf_gen").collect()] == ["x"]
+
+
+def test_code_references_follow_the_rules(spark):
+    from lorekeep.plans.queries import code_references
+
+    text = "see internal/auth/auth.go and cmd/ here\n`internal/store/` or *.md **bold** a/\nagain internal/auth/auth.go, then internal/x/*.go\nhttp://host.org/ and **/*.ts *it* x/y.json"
+    found = lambda patterns=None: {(r["path"], r["ref_type"], r["line"]) for r in code_references(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text", patterns).collect()}
+    assert found() == {("internal/auth/auth.go", "file", 0), ("cmd/", "directory", 0), ("internal/store/", "directory", 1), ("internal/x/*.go", "pattern", 2), ("**/*.ts", "pattern", 3), ("x/y.json", "file", 3)}
+    assert ("x/y.json", "file", 3) not in found(["*.go"]) and ("internal/auth/auth.go", "file", 0) in found(["*.go"])
+
+
+def test_greedy_clusters_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(120, 3)))]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    want, anchors = {}, []
+    for i, v in rows:
+        u = np.array(v) / np.linalg.norm(v)
+        hit = next((a for a, w in anchors if u @ w >= 0.9), None)
+        want[i] = i if hit is None else hit
+        anchors += [(i, u)] if hit is None else []
+    for block in (7, 512):
+        assert {r["id"]: r["anchor"] for r in A.greedy_clusters(df, 0.9, block=block).collect()} == want

@@ -191,3 +191,111 @@ def test_streams(spark, tmp_path):
         q.awaitTermination()
     assert spark.table("distinct_events").count() == 20
     assert spark.table("tumbling").count() == 1  # windows that the watermark has passed
+
+
+PROTO = """syntax = "proto3";
+package auth.v1;
+service AuthService { rpc Login(LoginRequest) returns (stream Reply) {} rpc Logout(LoginRequest) returns (Reply) {} }
+message LoginRequest { string name = 1; Device device = 2; }
+message Device { string id = 1; }
+message Reply { bool ok = 1; }
+"""
+STUB = """export const AuthService = {
+  typeName: "auth.v1.AuthService",
+  methods: {
+    login: { name: "Login", I: LoginRequest, O: Reply, kind: MethodKind.ServerStreaming },
+  }
+};
+"""
+CALLER = """import { AuthService } from "./auth_connect";
+import { thing } from "./thing";
+const client = createClient(AuthService, transport);
+export function signIn() {
+  return client.login({});
+}
+"""
+
+
+def test_calls_of_rpcs_traces_and_the_command_line(spark, tmp_path):
+    import io as text_io
+    import json
+
+    from lorekeep.__main__ import main
+
+    root = tmp_path / "project"
+    (root / "docs").mkdir(parents=True)
+    (root / "docs" / "a.md").write_text("# Sign in\n\n" + "login token session " * 40)
+    for name, text in {"auth.proto": PROTO, "auth_connect.ts": STUB, "page.ts": CALLER, "thing.ts": "export function thing() {}\n"}.items():
+        (root / name).write_text(text)
+    w = Workspace(spark, str(root), f"file://{tmp_path}/store")
+    assert w.index()["errors"] == 0
+    edges = {(r["from_node"], r["to_node"], r["kind"]) for r in w.store.read("edges").collect()}
+    assert ("sym:page.signIn", "sym:auth.v1.AuthService.Login", "call_rpc") in edges and ("file:page.ts", "file:thing.ts", "import") in edges
+    made = json.loads(w.trace_rpc("AuthService.Login", "json"))
+    assert made["definition"]["kind"] == "server streaming" and made["definition"]["package"] == "auth.v1" and made["definition"]["line"] == 3
+    assert [(f["role"], f["message"], f["field"]) for f in made["definition"]["fields"]] == [("input", "auth.v1.LoginRequest", "name"), ("input", "auth.v1.LoginRequest", "device"), ("input", "auth.v1.Device", "id"), ("output", "auth.v1.Reply", "ok")]
+    assert [r["symbol"] for r in made["direct_callers"]] == ["page.signIn"] and [r["symbol"] for r in made["related"]] == ["auth.v1.AuthService.Logout"]
+    assert "## Callers of the rpc" in w.trace_rpc("auth.proto:Login", "markdown")
+    with pytest.raises(ValueError):
+        w.trace_rpc("Login", "xml")
+    out = text_io.StringIO()
+    at = ["--root", str(root), "--store", f"file://{tmp_path}/store", "--json"]
+    assert main([*at, "status"], spark, out) == 0 and "documents\t1" in out.getvalue()
+    assert main([*at, "search", "login session", "--limit", "1"], spark, out) == 0 and '"file_path": "a.md"' in out.getvalue()
+    assert main([*at, "neighbors", "page.signIn", "--kind", "call_rpc"], spark, out) == 0 and main([*at, "trace", "nothing"], spark, out) == 1
+
+
+def test_only_changed_files_are_parsed_and_models_are_guarded(spark, tmp_path):
+    from lorekeep.functions.embed import HashEmbedder
+    from lorekeep.plans import index as I
+    from lorekeep.sources.files import scan, walk
+
+    class Short:
+        def summarize(self, text):
+            return "short: " + text[:9]
+
+    root = tmp_path / "project"
+    (root / "docs").mkdir(parents=True)
+    for name in "ab":
+        (root / "docs" / f"{name}.md").write_text(f"# {name}\n\n" + f"{name}word other token " * 40)
+    w = Workspace(spark, str(root), f"file://{tmp_path}/store", summarizer=Short())
+    w.index()
+    assert {r["summary"] for r in w.store.read("chunks").collect()} == {"short: Document:"}
+    files = lambda: walk(scan(spark, f"{root}/docs"), default_registry())
+    assert I.still_parsed(files(), w.store.read("parsed_docs"))[0].count() == 0
+    (root / "docs" / "a.md").write_text("# a\n\n" + "changed text token " * 40)
+    (root / "docs" / "b.md").unlink()
+    fresh, kept = I.still_parsed(files(), w.store.read("parsed_docs"))
+    assert [r["path"] for r in fresh.collect()] == ["a.md"] and kept.count() == 0
+    assert w.index()["documents"] == 1 and w.search_docs("changed", 1).first()["file_path"] == "a.md"
+    other = Workspace(spark, str(root), f"file://{tmp_path}/store", embedder=HashEmbedder(16))
+    with pytest.raises(ValueError):
+        other.index()
+    assert other.reindex()["documents"] == 1 and len(other.store.read("chunks").first()["embedding"]) == 16
+
+
+def test_questions_of_a_log_and_of_issues_become_documents(spark, tmp_path):
+    root = tmp_path / "project"
+    (root / "docs").mkdir(parents=True)
+    (tmp_path / "log.txt").write_text("h1\x1fHow do I sign in?\x1fUse the form on the first page.\x1eh2\x1fAdd a feature\x1fNone.\x1e")
+    (tmp_path / "issues.json").write_text('[{"id": "i1", "title": "Why is it slow?", "description": "d", "status": "closed", "close_reason": "Because of the cache."}, {"id": "i2", "title": "What now?", "description": "open one", "status": "open", "close_reason": ""}]')
+    w = Workspace(spark, str(root), f"file://{tmp_path}/store")
+    assert w.write_questions(str(tmp_path / "log.txt"), str(tmp_path / "issues.json")) == 2
+    assert sorted(p.name for p in (root / "docs" / "faq").iterdir()) == ["how-do-i-sign-in.md", "why-is-it-slow.md"]
+
+
+def test_the_rest_lives_without_the_training_data_operators(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(here, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache"))
+    code_ = "import __spark_entry__ as e; n = set(e.queries()); assert 'hybrid_search' in n and 'pipeline' not in n and not any(x.startswith('op1') for x in n), n; assert set(e.oracle_sql()) <= n; import lorekeep.api, lorekeep.__main__, tests.test_oracle"
+    for gone in ((), ("corpus_pipeline.py",)):
+        for name in gone:
+            (copy / name).unlink()
+        done = subprocess.run([sys.executable, "-c", code_], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
+        assert done.returncode == 0, done.stderr
