@@ -473,7 +473,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     t = passage_words - SHINGLE + 1
     rows = distinct_documents(docs, key, text)
     hot = hot_signatures(rows, docs.count(), t) if hot is None else hot
-    linked = links(windows(rows, t, functions)).unionByName(equal_links(rows, t, functions, hot))
+    equal = cut(equal_links(rows, t, functions, hot))  # few rows, whose shuffles of all frames go before the next begin
+    linked = links(windows(rows, t, functions)).unionByName(equal)
     pairs = cut(interval_pairs(linked, t, enough).withColumn("pair", F.monotonically_increasing_id()))
     span = lambda id_, v, a, b: pairs.select(F.col(id_).alias("doc_id"), F.col(v).alias("variant"), cells_of(a, b).alias("cell"))
     wanted = span("doc_id", "variant", "a", "b").union(span("src_id", "src_variant", "sa", "sb")).groupBy("doc_id", "variant").agg(F.collect_set("cell").alias("cells"))
