@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import display_id
 from lorekeep.operators.graph import degrees
-from lorekeep.operators.store import settle
+from lorekeep.operators.store import written
 
 TOP = 10
-ROUNDS = 12
-LOCAL_EDGES = 200_000
+GAIN = 1e-6  # modularity that a sweep must gain to count
+LEAST = 1e-9  # gain of a move, in links, that is more than a rounding error
 
 
 def edge_kind_counts(edges: DataFrame) -> DataFrame:
@@ -69,111 +69,90 @@ def simple_graph(edges: DataFrame) -> DataFrame:
     return edges.where("from_node <> to_node").select(F.least("from_node", "to_node").alias("a"), F.greatest("from_node", "to_node").alias("b")).distinct()
 
 
-def modularity(pairs: Iterable[tuple[int, int, float]], of: np.ndarray) -> float:
-    inside, degree, m = 0.0, np.zeros(int(of.max()) + 1), 0.0
-    for a, b, w in pairs:
-        m += w
-        inside += w * (of[a] == of[b])
-        degree[of[a]] += w
-        degree[of[b]] += w
-    return inside / m - float(((degree / (2 * m)) ** 2).sum()) if m else 0.0
-
-
-def local_louvain(n: int, pairs: list[tuple[int, int, float]]) -> np.ndarray:
-    """Community of each of n nodes: nodes move to the neighbouring community of largest gain, in order of number, until
-    none moves; communities become nodes, and so on. Ties go to the smaller community number."""
-    of = np.arange(n)
-    weights = [dict() for _ in range(n)]
-    loops = np.zeros(n)
-    for a, b, w in pairs:
-        if a == b:
-            loops[a] += w
-        else:
-            weights[a][b] = weights[a].get(b, 0.0) + w
-            weights[b][a] = weights[b].get(a, 0.0) + w
-    two_m = sum(sum(x.values()) for x in weights) + 2 * loops.sum()
-    if not two_m:
-        return of
-    while True:
-        size = len(weights)
-        member, degree = list(range(size)), [sum(weights[i].values()) + 2 * loops[i] for i in range(size)]
-        total, moved_once = degree[:], False
-        moved = True
-        while moved:
-            moved = False
-            for i in range(size):
-                links: dict[int, float] = {}
-                for j, w in weights[i].items():
-                    links[member[j]] = links.get(member[j], 0.0) + w
-                home = member[i]
-                total[home] -= degree[i]
-                best, gain = home, links.get(home, 0.0) - degree[i] * total[home] / two_m
-                for c in sorted(links):
-                    g = links[c] - degree[i] * total[c] / two_m
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                total[best] += degree[i]
-                if best != home:
-                    member[i], moved, moved_once = best, True, True
-        if not moved_once:
-            return of
-        number = {c: k for k, c in enumerate(sorted(set(member)))}
-        of = np.array([number[member[c]] for c in of])
-        fresh: list[dict[int, float]] = [dict() for _ in number]
-        new_loops = np.zeros(len(number))
-        for i in range(size):
-            a = number[member[i]]
-            new_loops[a] += loops[i]
-            for j, w in weights[i].items():
-                b = number[member[j]]
-                if a == b:
-                    new_loops[a] += w / 2
-                else:
-                    fresh[a][b] = fresh[a].get(b, 0.0) + w
-        weights, loops = fresh, new_loops
-
-
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, community). A graph of up to ``LOCAL_EDGES`` pairs, whose size is counted first, is worked on whole; a larger
-    one is first contracted by rounds of distributed moves until it is within that size; if it never is, that is an error.
+    """(id, community): nodes move to the neighbouring community of largest gain in modularity until no sweep gains
+    ``GAIN`` or more; communities become nodes, and so on until a level moves none. One algorithm at every size: each sweep
+    is a few joins and aggregates, and nothing but its modularity comes to the driver.
 
-    A community's number is the order of its smallest member among communities of the final level.
+    Loops and repeated edges count once or not at all; a node without edges is its own community; edges of unknown nodes
+    are left out. A community is named by its smallest member.
     """
-    spark = edges.sparkSession
-    pairs = simple_graph(edges.join(nodes.select(F.col("id").alias("from_node")), "from_node", "left_semi").join(nodes.select(F.col("id").alias("to_node")), "to_node", "left_semi"))
-    weighted = pairs.groupBy("a", "b").agg(F.lit(1.0).alias("w"))
-    member = nodes.select("id", F.col("id").alias("group")).distinct()
-    for _ in range(ROUNDS):
-        if weighted.count() <= LOCAL_EDGES:
+    known = nodes.select("id").where("id IS NOT NULL").distinct()
+    ends = lambda end: known.withColumnRenamed("id", end)
+    pairs = simple_graph(edges.join(ends("from_node"), "from_node", "left_semi").join(ends("to_node"), "to_node", "left_semi"))
+    one = F.lit(1.0).alias("w")
+    links = written(pairs.select("a", "b", one).unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), one)))
+    two_m = links.agg(F.sum("w")).first()[0]
+    member = known.select("id", F.col("id").alias("group"))
+    while two_m:
+        place = _level(links, two_m)
+        if place is None:
             break
-        label = _moves(weighted)
-        member = member.join(label.withColumnRenamed("id", "group"), "group", "left").select("id", F.coalesce("to", "group").alias("group"))
-        ends = weighted.join(label.select(F.col("id").alias("a"), F.col("to").alias("ta")), "a").join(label.select(F.col("id").alias("b"), F.col("to").alias("tb")), "b")
-        weighted = ends.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"))
-        weighted, member = settle(weighted), settle(member)
-    local = weighted.where("a <> b OR w > 0").limit(LOCAL_EDGES + 1).toPandas()
-    if len(local) > LOCAL_EDGES:
-        raise RuntimeError(f"communities did not settle: more than {LOCAL_EDGES} pairs are left after {ROUNDS} rounds")
-    if len(local):
-        names = sorted(set(local["a"]) | set(local["b"]))
-        at = {x: i for i, x in enumerate(names)}
-        of = local_louvain(len(names), [(at[a], at[b], w) for a, b, w in zip(local["a"], local["b"], local["w"], strict=True)])
-        _, first, of = np.unique(of, return_index=True, return_inverse=True)
-        top = spark.createDataFrame(pd.DataFrame({"group": names, "to": [names[i] for i in first[of].tolist()]}))
-        member = member.join(top, "group", "left").select("id", F.coalesce("to", "group").alias("group"))
+        to = place.select(F.col("id").alias("group"), "home")
+        member = written(member.join(to, "group", "left").select("id", F.coalesce("home", "group").alias("group")))
+        a, b = place.select(F.col("id").alias("a"), F.col("home").alias("ha")), place.select(F.col("id").alias("b"), F.col("home").alias("hb"))
+        links = written(links.join(a, "a").join(b, "b").groupBy(F.col("ha").alias("a"), F.col("hb").alias("b")).agg(F.sum("w").alias("w")))
     least = member.groupBy("group").agg(F.min("id").alias("least"))
     return member.join(least, "group").select("id", F.col("least").alias("community"))
 
 
-def _moves(weighted: DataFrame) -> DataFrame:
-    """(id, to): each node's neighbour group of largest gain if its number is smaller, so that moves never cross."""
-    both = weighted.where("a <> b").select("a", "b", "w").unionAll(weighted.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    degree = both.groupBy("a").agg(F.sum("w").alias("d"))
-    m = degree.agg((F.sum("d")).alias("two_m"))
-    gain = both.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("db")), "b").join(F.broadcast(m)).withColumn("g", F.col("w") - F.col("d") * F.col("db") / F.col("two_m"))
-    best = gain.where("g > 0").groupBy("a").agg(F.min(F.struct((-F.col("g")).alias("g"), "b")).alias("x")).select(F.col("a").alias("id"), F.col("x.b").alias("to"))
-    taken = best.where("to < id")
-    return degree.select(F.col("a").alias("id")).join(taken, "id", "left").select("id", F.coalesce("to", "id").alias("to"))
+def _level(links: DataFrame, two_m: float) -> DataFrame | None:
+    """(id, home) after the sweeps of one level, None if no sweep gains. ``links`` (a, b, w) has both directions; a loop has
+    the weight of all links inside, in both directions."""
+    degree = links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("d"))
+    loops = links.where("a = b").agg(F.sum("w")).first()[0] or 0.0
+    between = links.where("a <> b")
+    seen = _survey(between, degree.select("id", F.col("id").alias("home"), "d"), two_m)
+    score, movers = _score(seen, loops, two_m)
+    swept = False
+    while movers:
+        for alone in (False, True):
+            then = _survey(between, _moved(seen, alone), two_m)
+            now, left = _score(then, loops, two_m)
+            if now >= score + GAIN:
+                break
+        else:
+            break
+        seen, score, movers, swept = then, now, left, True
+    return seen.select("id", "home") if swept else None
+
+
+def _survey(between: DataFrame, place: DataFrame, two_m: float) -> DataFrame:
+    """(id, home, d, total, own, best): each node's community with its total degree, the weight of its links there, and the
+    best other community as (value, total, community). Sums of whole weights are exact, so that ties are ties."""
+    total = place.groupBy(F.col("home").alias("c")).agg(F.sum("d").alias("t"))
+    near = between.join(place.select(F.col("id").alias("b"), F.col("home").alias("c")), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("w"))
+    rows = near.join(total, "c").join(place, "id")
+    value = F.col("w") - F.col("d") * F.col("t") / two_m
+    other = F.when(F.col("c") != F.col("home"), F.struct(value.alias("value"), F.col("t").alias("t"), F.col("c").alias("c")))
+    best = rows.groupBy("id").agg(F.sum(F.when(F.col("c") == F.col("home"), F.col("w"))).alias("own"), F.max(other).alias("best"))
+    held = place.join(total.withColumnsRenamed({"c": "home", "t": "total"}), "home").join(best, "id", "left")
+    return written(held.select("id", "home", "d", "total", F.coalesce("own", F.lit(0.0)).alias("own"), "best", _gain(two_m).alias("gain")))
+
+
+def _gain(two_m: float) -> Column:
+    return F.col("best.value") - (F.coalesce("own", F.lit(0.0)) - F.col("d") * (F.col("total") - F.col("d")) / two_m)
+
+
+def _score(seen: DataFrame, loops: float, two_m: float) -> tuple[float, int]:
+    """Modularity, and how many nodes would gain by a move."""
+    row = seen.agg(F.sum("own"), F.sum(F.col("d") * F.col("total")), F.count(F.when(F.col("gain") > LEAST, 1))).first()
+    return ((row[0] or 0.0) + loops) / two_m - (row[1] or 0.0) / two_m**2, row[2]
+
+
+def _moved(seen: DataFrame, alone: bool) -> DataFrame:
+    """(id, home, d) after the moves of a sweep. A community whose best move is one of its own nodes' gives nodes and takes
+    none; the others take and give none, so that no two nodes change places. Moves to one community may still hinder each
+    other: with ``alone`` a community has part in its best move only, and the gains add up."""
+    key = F.struct("gain", F.col("best.t").alias("t"), F.col("best.c").alias("c"), F.col("id").alias("id"))
+    moves = seen.where(F.col("gain") > LEAST).select("id", "home", F.col("best.c").alias("target"), key.alias("key"))
+    parts = moves.select(F.col("home").alias("c"), "key", F.lit(True).alias("gives")).unionAll(moves.select(F.col("target").alias("c"), "key", F.lit(False).alias("gives")))
+    role = parts.groupBy("c").agg(F.max(F.struct("key", "gives")).alias("top"))
+    of = lambda end, name: role.select(F.col("c").alias(end), F.col("top").alias(name))
+    taken = moves.join(of("home", "x"), "home").join(of("target", "y"), "target").where("x.gives AND NOT y.gives")
+    if alone:
+        taken = taken.where("x.key = key AND y.key = key")
+    return seen.select("id", "home", "d").join(taken.select("id", "target"), "id", "left").select("id", F.coalesce("target", "home").alias("home"), "d")
 
 
 class Anchors:

@@ -16,18 +16,32 @@ from pyspark.sql import functions as F
 from lorekeep.functions.text import content_hash
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once and checkpointed: later plans begin there. The folder is the one that the cluster names in
-    spark.checkpoint.dir; one of our own only where driver and executors are one process."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where driver and executors are one
+    process."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and (sc.master or "").split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lorekeep-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` computed once and checkpointed: later plans begin there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written as a table, for long loops: a checkpoint hands on the estimated sizes of its joins,
+    which multiply from step to step until planning takes minutes; a table has its true size."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def latest(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The last row of each key. A maximum of structs aggregates before its shuffle; a hot key costs one row a task."""
     rest = [c for c in rows.columns if c not in keys]

@@ -134,11 +134,37 @@ def test_two_triangles(spark):
     assert asked == ["god_pair", "bridge", "cluster_tour", "cluster_tour"]
 
 
-def test_contraction_keeps_communities_apart(spark, monkeypatch):
+def test_communities_of_known_and_of_random_graphs(spark):
+    import random
+
+    # cliques in a ring; a node without edges; loops, repeated and reversed edges; an edge of an unknown node
+    cliques = [(f"c{k}n{a}", f"c{k}n{b}") for k in range(6) for a in range(5) for b in range(a)]
+    ring = [(f"c{k}n0", f"c{(k + 1) % 6}n1") for k in range(6)]
+    rng = random.Random(7)
+    chance = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(90)})
+    extra = [("c0n0", "c0n0"), ("c0n0", "c0n1"), ("c0n1", "c0n0"), ("c0n0", "unknown")]
+    names = sorted({x for pair in cliques for x in pair}) + ["alone"] + [f"r{x}" for x in range(40)]
+    e = edges_of(spark, [(a, b, "mentions") for a, b in cliques + ring + extra + [(f"r{a}", f"r{b}") for a, b in chance]])
+    got = {r["id"]: r["community"] for r in A.communities(nodes_of(spark, [(x, "document", x, "") for x in names]), e).collect()}
+    assert sorted(got) == sorted(names) and got["alone"] == "alone"
+    assert all(got[x] == f"{x[:2]}n0" for x in names if x[0] == "c")
+    assert all(min(x for x in got if got[x] == c) == c for c in set(got.values()))
+    pairs = cliques + ring + [(f"r{a}", f"r{b}") for a, b in chance]
+    degree, between = {}, {}
+    for a, b in pairs:
+        for x in (a, b):
+            degree[got[x]] = degree.get(got[x], 0) + 1
+        if got[a] != got[b]:
+            key = tuple(sorted((got[a], got[b])))
+            between[key] = between.get(key, 0) + 1
+    m = len(pairs)
+    assert all(w / m - degree[a] * degree[b] / (2 * m * m) <= 1e-5 for (a, b), w in between.items())  # no two would gain as one
+
+
+def test_communities_without_edges(spark):
     n, e = triangles(spark)
-    monkeypatch.setattr(A, "LOCAL_EDGES", 4)
-    got = {r["id"]: r["community"] for r in A.communities(n, e).collect()}
-    assert len(got) == 6 and len(set(got.values())) < 6
+    assert {(r["id"], r["community"]) for r in A.communities(n, e.where("false")).collect()} == {(r["id"], r["id"]) for r in n.collect()}
+    assert A.communities(n.where("false"), e).count() == 0
 
 
 def test_greedy_clusters_follow_the_order(spark):
@@ -225,19 +251,6 @@ def test_signals_and_references_come_from_the_tables(spark, tmp_path):
     assert all(run(name) == set(con.sql(ORACLES[name]).fetchall()) for name in ("table_rationale_signals", "table_code_refs", "table_languages"))
 
 
-def test_communities_that_do_not_settle_are_an_error(spark, monkeypatch):
-    import pytest
-
-    from lorekeep.operators import analytics
-
-    monkeypatch.setattr(analytics, "LOCAL_EDGES", 2)
-    monkeypatch.setattr(analytics, "ROUNDS", 0)
-    nodes = spark.createDataFrame([(x,) for x in "abcd"], "id string")
-    edges = edges_of(spark, [("a", "b", "mentions"), ("b", "c", "mentions"), ("c", "d", "mentions")])
-    with pytest.raises(RuntimeError, match="did not settle"):
-        analytics.communities(nodes, edges)
-
-
 def test_reranking_of_vector_searches(corpus):
     class Backwards:
         def scores(self, query, texts):
