@@ -13,7 +13,8 @@ that links grow with the windows and not with the square of a group. Where a bat
 signature, this is done within the batch, and only the windows of its first document go on: a passage that a third of all
 documents has costs a row for each batch, not one for each document. Frames of t shingles in windows whose signature
 repeats are linked with the first equal frame too, so that equal passages are linked whatever stands between them; those
-of signatures that a sample shows to be frequent are dealt out by the frame itself. Links
+of signatures that a sample shows to be frequent are dealt out by the frame itself. Passages that are alike but not equal
+have a run of ``RUN`` shingles in common; ``near_links`` links all documents that share such a run, however many. Links
 of two documents along one diagonal join into an interval pair, kept if enough hash functions agree. Pairs are then
 verified on the shingles themselves: texts of the documents concerned are cut into cells of shingles, each cell is sent to
 the pairs that need it, and the places of the one interval whose shingles the other has make up passages, which need a
@@ -52,6 +53,8 @@ SLACK = 8
 BREAK_SHARE = 0.25  # of a passage: so many words put in leave a similarity of 0.8
 SHIFT = 64
 LOCAL_GROUP = 64  # windows of one signature in one batch; more are linked there
+RUN, ANCHOR = 20, 12  # shingles in a row that similar passages share at least; of these, so many tell where to compare
+FEW = 16  # anchors of one signature that are linked in pairs without looking at what is around them
 HOT_SAMPLE, HOT_COUNT, HOT_LIST = 10_000, 20, 20_000  # documents looked at, how many of them make a signature frequent, how many such at most
 
 
@@ -319,6 +322,189 @@ def equal_links(docs: DataFrame, t: int, functions: int, hot: list[int]) -> Data
     return found.select(F.lit((1 << functions) - 1).alias("f"), *NAMES, *reach(), src.alias("src"))
 
 
+ANCHORS = "sig long, around long, doc_id long, variant long, c long"
+CLASSES = f"{ANCHORS}, has binary, wide binary"
+
+
+def anchor_rows(g: np.ndarray, starts: np.ndarray, t: int) -> tuple[np.ndarray, ...]:
+    """(text, c, signature, hash of the t shingles on both sides and the anchor) of each text's anchors: runs of ``ANCHOR``
+    shingles, one at least among any ``RUN`` shingles in a row, and the same one wherever these stand."""
+    n = np.diff(starts)
+    whose = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(g)) - starts[whose]
+    use = np.flatnonzero((place <= n[whose] - ANCHOR) & (n[whose] >= t))
+    if not len(use):
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+    runs = np.where(n >= t, n - ANCHOR + 1, 0)
+    text, _, c, _, sig = compact_windows(frame_hashes(g, ANCHOR)[use], np.r_[0, np.cumsum(runs)], RUN - ANCHOR + 1, 0)
+    padded = np.zeros(len(g) + 2 * t * len(n), dtype=np.uint64)
+    padded[np.arange(len(g)) + t * (2 * whose + 1)] = g
+    around = frame_hashes(padded, 2 * t + ANCHOR)[starts[text] + 2 * t * text + c]
+    return text, c, sig.view(np.int64), around.view(np.int64)
+
+
+def anchors(docs: DataFrame, t: int) -> DataFrame:
+    """Rows of ``ANCHORS``; of a batch's anchors that are equal with all around them, the first document's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, variant, g, starts in parts_of(b):
+                text, c, sig, around = anchor_rows(g, starts, t)
+                order = np.lexsort((c, variant[text], ids[text], around, sig))
+                new = np.r_[True, (sig[order][1:] != sig[order][:-1]) | (around[order][1:] != around[order][:-1])][: len(order)]
+                on = order[new]
+                columns = [sig[on], around[on], ids[text][on], variant[text][on], c[on]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["sig", "around", *NAMES])
+
+    return in_batches(docs).mapInArrow(run, ANCHORS)
+
+
+def alike_classes(win: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which rows count, what counts in each and 0 elsewhere, a hash of that). A row has an anchor's shingles and t on both sides, 0 where no
+    other document has the shingle. Of a frame of t shingles with the anchor in it, a similar passage has all but
+    ``t // 4``; what lies outside such frames is of no account."""
+    gone = np.concatenate([np.zeros((len(win), 1), dtype=np.int64), np.cumsum(win == 0, axis=1)], axis=1)
+    first, last = ANCHOR, t  # where frames begin that hold the anchor, at t to t + ANCHOR
+    good = gone[:, first + t : last + t + 1] - gone[:, first : last + 1] <= t // 4
+    any_good = good.any(axis=1)
+    low = first + good.argmax(axis=1)
+    high = last - good[:, ::-1].argmax(axis=1) + t
+    at = np.arange(win.shape[1])
+    win = np.where((at >= low[:, None]) & (at < high[:, None]), win, 0)
+    h = np.zeros(len(win), dtype=np.uint64)
+    for k in range(win.shape[1]):
+        h = mix(h + win[:, k].view(np.uint64) + np.uint64(k))
+    return np.flatnonzero(any_good), win, h.view(np.int64)
+
+
+def classes(docs: DataFrame, many: DataFrame, t: int) -> DataFrame:
+    """Rows of ``CLASSES`` for the anchors ``many``: ``around`` stands for those shingles near the anchor that documents
+    share (``has`` in 32 bits, 0 for others; ``wide`` has what is shared a little further out too). Anchors of one class differ in what no other document has, so that each pair of them is as much alike as any
+    other. Anchors near which no passage can be similar to another are left out."""
+    asked = cut(many.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("sig", "c")).alias("asked")))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            items = [((i, v, a), s.encode("utf-8", "surrogatepass")) for i, v, s, a in zip(b["doc_id"], b["variant"], b["text"], b["asked"], strict=True)]
+            for part in batched(items):
+                g, starts = text_shingles([s for _, s in part])
+                for k, ((i, v, a), _) in enumerate(part):
+                    own = g[starts[k] : starts[k + 1]].view(np.int64)
+                    c = np.fromiter((x["c"] for x in a), dtype=np.int64, count=len(a))
+                    edge = np.zeros(len(own) + 1, dtype=np.int64)
+                    np.add.at(edge, np.maximum(c - t, 0), 1)
+                    np.add.at(edge, np.minimum(c + ANCHOR + t, len(own)), -1)
+                    place = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+                    yield pd.DataFrame({"h": own[place], "doc_id": i, "variant": v, "place": place})
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                sig, c = (np.fromiter((x[k] for x in r.asked), dtype=np.int64, count=len(r.asked)) for k in ("sig", "c"))
+                place, h = (np.fromiter((x[k] for x in r.got), dtype=np.int64, count=len(r.got)) for k in ("place", "h"))
+                reach = t + 2 * SLACK
+                base = int(min(place.min(), c.min())) - reach
+                own = np.zeros(int(max(place.max(), c.max())) - base + 2 * reach + ANCHOR, dtype=np.int64)
+                own[place - base] = h
+                packed = lambda x: np.unique(x[x != 0].astype(np.int32)).tobytes()
+                for k in range(0, len(c), 1000):
+                    some = c[k : k + 1000]
+                    wide = own[(some - base - reach)[:, None] + np.arange(2 * reach + ANCHOR)]
+                    on, has, kind = alike_classes(wide[:, 2 * SLACK : -2 * SLACK], t)
+                    yield pd.DataFrame({"sig": sig[k : k + 1000][on], "around": kind[on], "doc_id": r.doc_id, "variant": r.variant, "c": some[on], "has": [x.astype(np.int32).tobytes() for x in has[on]], "wide": [packed(x) for x in wide[on]]})
+
+    who = F.struct("doc_id", "variant")
+    texts = in_batches(split_join(docs, asked, ["doc_id", "variant"]).select("doc_id", "variant", "text", "asked"))
+    shown = cut(texts.mapInPandas(near, "h long, doc_id long, variant long, place long"))
+    shared = shown.groupBy("h").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a != b").select("h")
+    kept = split_join(shown, shared, ["h"]).groupBy("doc_id", "variant").agg(F.collect_list(F.struct("place", "h")).alias("got"))
+    return in_batches(kept.join(asked, ["doc_id", "variant"])).mapInPandas(judge, CLASSES)
+
+
+PLACED = "struct<doc_id: long, variant: long, c: long>"
+
+
+def uncovered(has: np.ndarray, wide: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of ``has`` that ``wide`` lacks, which of them lie outside the passage that both have)."""
+    there = np.isin(has, wide) & (has != 0)
+    lacks = (has != 0) & ~there
+    at = np.flatnonzero(there)
+    a, b = int(at[0]), int(at[-1]) + 1
+    both = len(np.unique(has[a:b][there[a:b]]))
+    if both < SIMILARITY * (2 * (b - a) - both):  # not similar as a whole; what is equal around the anchor is
+        gaps = np.flatnonzero(~there)
+        a, b = int(gaps[gaps < t].max(initial=-1)) + 1, int(gaps[gaps >= t].min(initial=len(has)))
+    at = np.flatnonzero(lacks)
+    outside = (at < a) | (at >= b) if b - a >= t else np.ones(len(at), dtype=bool)
+    return has[at], outside
+
+
+def class_links(heads: DataFrame, t: int) -> DataFrame:
+    """(own, src): links of the heads of classes with earlier ones. Every head of a signature is held against the first one.
+    Another one can only add to that for a head that has shingles outside the passage it shares with the first, and only
+    if it has one of these too: those with such a shingle in common make a smaller group, with a first one of its own, and
+    so on until ``FEW`` are left, which are linked in pairs. No group is limited."""
+    one, other = heads.select("sig", "own", "has"), heads.select("sig", F.col("own").alias("first"), "wide")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for sig, own, first, seeks, has, wide in b[["sig", "own", "first", "seeks", "has", "wide"]].itertuples(index=False):
+                lacks, outside = uncovered(np.frombuffer(has, dtype=np.int32), np.frombuffer(wide, dtype=np.int32), t)
+                rows.append((sig, own, first, None, seeks))
+                rows += [(sig, own, first, e, seeks and o) for e, o in dict(zip(lacks.tolist(), outside.tolist(), strict=True)).items()]
+            yield pd.DataFrame({k: pd.Series(list(v), dtype="Int64" if k == "e" else object) for k, v in zip(("sig", "own", "first", "e", "seeks"), zip(*rows))})
+
+    firsts = heads.groupBy("sig").agg(F.min("own").alias("first"))
+    todo = split_join(one.select("sig", "own"), firsts, ["sig"]).where("own != first").withColumn("seeks", F.lit(True))
+    found = None
+    while True:
+        held = split_join(split_join(todo, one, ["sig", "own"]), other, ["sig", "first"])
+        out = cut(in_batches(held).mapInPandas(run, f"sig long, own {PLACED}, first {PLACED}, e long, seeks boolean"))
+        linked = out.where("e IS NULL AND seeks").select("own", F.col("first").alias("src"))
+        found = linked if found is None else found.unionByName(linked)
+        group = ["sig", "first", "e"]
+        keys = out.where("e IS NOT NULL")
+        groups = keys.groupBy(*group).agg(F.count("*").alias("n"), F.max("seeks").alias("sought"), F.min("own").alias("next")).where("n > 1 AND sought")
+        keys = cut(split_join(keys, groups.select(*group, "n", "next"), group))
+        few = keys.where(F.col("n") <= FEW).groupBy(*group).agg(F.collect_list(F.struct("own", "seeks")).alias("all"))
+        few = few.select("all", F.explode("all").alias("one")).where("one.seeks").select(F.col("one.own").alias("own"), F.explode("all.own").alias("src")).where("src < own")
+        found = found.unionByName(few.distinct())
+        todo = keys.where((F.col("n") > FEW) & (F.col("own") != F.col("next")))
+        todo = cut(todo.groupBy("sig", "own", F.col("next").alias("first")).agg(F.max("seeks").alias("seeks")))
+        if todo.isEmpty():
+            return found
+
+
+def near_links(docs: DataFrame, t: int, functions: int) -> DataFrame:
+    """Rows like those of ``links``, without a bound on a place's partners: any two documents that have an anchor in common
+    are linked there, or each with the first document that is the same around it.
+
+    Anchors equal with all around them stand for one: their passages are equal, which ``equal_links`` joins. All others of
+    one signature are linked in pairs, if they are ``FEW`` or fewer. If they are more, ``classes`` tells them apart by what
+    documents share; each is linked with the first of its class, and the first ones of all classes in pairs."""
+    often = cut(anchors(docs, t).groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"))
+    found = split_join(anchors(docs, t), often, ["sig"])
+    own = F.struct(*NAMES)
+    firsts = lambda rows: rows.groupBy("sig", "around").agg(F.min(own).alias("own"))
+    found = cut(firsts(found))
+    sizes = found.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
+    found = cut(split_join(found, sizes, ["sig"]))
+    listed = found.where(F.col("n") <= FEW).groupBy("sig").agg(F.sort_array(F.collect_list("own")).alias("all"))
+    pairs = listed.select("all", F.posexplode("all").alias("k", "own")).where("k > 0").select("own", F.explode(F.slice("all", F.lit(1), F.col("k"))).alias("src"))
+    many = found.where(F.col("n") > FEW).select("sig", "own.*")
+    if not many.isEmpty():
+        rows = cut(classes(docs, many, t))
+        first = F.min(F.struct(own.alias("own"), "has", "wide")).alias("first")
+        heads = cut(rows.groupBy("sig", "around").agg(first).select("sig", "around", "first.*"))
+        member = split_join(rows, heads.select("sig", "around", F.col("own").alias("src")), ["sig", "around"]).select(own.alias("own"), "src")
+        pairs = pairs.unionByName(member).unionByName(class_links(heads, t))
+    pairs = pairs.select("own.*", "src").where(apart())
+    reach = [F.lit(t).cast("long").alias("lefts"), F.lit(t + ANCHOR - 1).cast("long").alias("rights")]
+    src = F.struct(*(F.col(f"src.{n}").alias(n) for n in NAMES), *reach)
+    return pairs.select(F.lit((1 << functions) - 1).alias("f"), *NAMES, *reach, src.alias("src"))
+
+
 PAIR = ["doc_id", "variant", "src_id", "src_variant"]
 
 
@@ -474,7 +660,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = distinct_documents(docs, key, text)
     hot = hot_signatures(rows, docs.count(), t) if hot is None else hot
     equal = cut(equal_links(rows, t, functions, hot))  # few rows, whose shuffles of all frames go before the next begin
-    linked = links(windows(rows, t, functions)).unionByName(equal)
+    near = cut(near_links(rows, t, functions))
+    linked = links(windows(rows, t, functions)).unionByName(equal).unionByName(near)
     pairs = cut(interval_pairs(linked, t, enough).withColumn("pair", F.monotonically_increasing_id()))
     span = lambda id_, v, a, b: pairs.select(F.col(id_).alias("doc_id"), F.col(v).alias("variant"), cells_of(a, b).alias("cell"))
     wanted = span("doc_id", "variant", "a", "b").union(span("src_id", "src_variant", "sa", "sb")).groupBy("doc_id", "variant").agg(F.collect_set("cell").alias("cells"))

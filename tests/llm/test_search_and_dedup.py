@@ -308,6 +308,28 @@ def test_recall_of_near_passages_against_all_pairs(spark):
     assert len(want) >= 45 and found <= set(range(len(rows))) and len(found & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("families,members,few", [(8, 2, 16), (20, 4, 4)])
+def test_versions_between_others_are_found_as_all_pairs_find_them(spark, monkeypatch, families, members, few):
+    """Versions of one passage, shuffled: families differ in two words, members in one more. Every word that all pairs of
+    texts show to repeat is found, by pairs of a signature and, where it has more than ``few`` anchors, by classes."""
+    monkeypatch.setattr(substring_dedup, "FEW", few, raising=False)
+    rng = random.Random(families // 8)
+
+    def changed(words, at):
+        return [passage(rng, 1) if k in at else w for k, w in enumerate(words)]
+
+    base, versions = passage(rng, 56).split(), []
+    for _ in range(families):
+        family = changed(base, rng.sample(range(56), 2))
+        versions += [changed(family, [rng.choice([0, 1, 54, 55, rng.randrange(56)])] if m else []) for m in range(members)]
+    rng.shuffle(versions)
+    rows = [(i, " ".join([passage(rng, 60), *v, passage(rng, 60)])) for i, v in enumerate(versions)]
+    g = [substring_dedup.text_shingles([x.encode()])[0].astype(np.uint32).view(np.int32) for _, x in rows]
+    want = {(i, w) for i in range(len(rows)) for j in range(i) for a, b, *_ in substring_dedup.passages(g[i], g[j], 0, 46, 0.8) for w in range(a, b + 5)}
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert want and want <= {(r["doc_id"], w) for r in found for w in range(r["start"], r["stop"])}
+
+
 def test_no_passages_in_nothing(spark):
     assert substring_dedup.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
