@@ -330,6 +330,21 @@ def test_versions_between_others_are_found_as_all_pairs_find_them(spark, monkeyp
     assert want and want <= {(r["doc_id"], w) for r in found for w in range(r["start"], r["stop"])}
 
 
+def test_versions_that_all_differ_are_linked_in_proportion(spark):
+    """Versions of one passage, each with changes of its own at few places, so that many share a change: links are only made
+    where they add to what others show, and every word that all pairs show to repeat is found."""
+    rng = random.Random(18)
+    base, t = passage(rng, 60).split(), 46
+    other = [passage(rng, 2).split() for _ in base]
+    rows = [(i, " ".join([rng.choice(other[k]) if rng.random() < 0.03 else w for k, w in enumerate(base)])) for i in range(120)]
+    df = spark.createDataFrame(rows, DOCS).coalesce(4)
+    assert substring_dedup.near_links(df.withColumn("variant", F.lit(0).cast("long")), t, 5).count() <= 9 * len(rows)
+    g = [substring_dedup.text_shingles([x.encode()])[0].astype(np.uint32).view(np.int32) for _, x in rows]
+    want = {(i, w) for i in range(len(rows)) for j in range(i) for a, b, *_ in substring_dedup.passages(g[i], g[j], 0, t, 0.8) for w in range(a, b + 5)}
+    found = substring_dedup.repeated_passages(df).collect()
+    assert want and want <= {(r["doc_id"], w) for r in found for w in range(r["start"], r["stop"])}
+
+
 def test_no_passages_in_nothing(spark):
     assert substring_dedup.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
