@@ -372,3 +372,68 @@ def test_signatures_that_batches_cut_are_linked(spark):
     assert {i for i in range(1, 40) if any(r["doc_id"] == i and r["start"] <= 20 and r["stop"] >= 80 for r in found)} == set(range(1, 40))
     own, more, src = substring_dedup.joined_runs([np.array([1, 1, 1, 1]), np.zeros(4, int), np.array([7, 5, 6, 9])], [np.zeros(4, int), np.zeros(4, int), np.array([3, 1, 2, 5])])
     assert own[2].tolist() == [5, 9] and more.tolist() == [2, 0] and src[2].tolist() == [1, 5]
+
+
+def test_similarity_of_passages_is_that_of_their_different_shingles():
+    rng, held = np.random.default_rng(3), 0
+    for k in range(200):
+        kinds = (60, 10_000)[k % 2]  # with repeats, and nearly without
+        shared = rng.integers(0, kinds, 60)
+        own, src = (np.concatenate([rng.integers(0, kinds, n), shared, rng.integers(0, kinds, n)]) for n in rng.integers(0, 40, 2))
+        src[rng.integers(0, len(src), 4)] = kinds
+        found = substring_dedup.passages(own, src, int(rng.integers(-20, 20)), 30, 0.8)
+        held += bool(found)
+        for a, b, sa, sb, alike in found:
+            x, y = set(own[a : b + 1].tolist()), set(src[sa : sb + 1].tolist())
+            assert alike == len(x & y) / len(x | y) >= 0.8
+    assert held > 100
+
+
+def test_a_stretch_counts_whole_on_any_diagonal():
+    line = np.arange(12)
+    own, src = (np.concatenate([before + np.arange(70), np.tile(line, n), before + np.arange(100, 170)]) for before, n in ((1000, 30), (2000, 10)))
+    for shift in range(-120, 300, 12):
+        found = substring_dedup.passages(own, src, shift, 46, 0.8)
+        assert {w for a, b, *_ in found for w in range(a, b + 1)} == set(range(70, 430)), shift
+
+
+def test_partners_that_share_too_little_are_left_alone_though_shingles_repeat(monkeypatch):
+    t, calls = 46, []
+    n = 2 * t + substring_dedup.ANCHOR
+    rng = np.random.default_rng(4)
+    passages = substring_dedup.passages
+    monkeypatch.setattr(substring_dedup, "passages", lambda *x: calls.append(1) or passages(*x))
+    edge = substring_dedup.EDGE
+    own = rng.integers(1, 1 << 30, n)
+    own[5] = own[9]  # a repeat
+    wide = np.concatenate([np.zeros(edge, dtype=np.int64), own, np.zeros(edge, dtype=np.int64)])
+    others = np.repeat(wide[None], 50, axis=0)
+    others[:, edge : edge + n : 2] = rng.integers(1, 1 << 30, (50, (n + 1) // 2))  # each second shingle is another
+    others[7] = wide
+    src = [np.arange(50), np.zeros(50, dtype=np.int64), np.zeros(50, dtype=np.int64)]
+    row, at = substring_dedup.partners([np.array([99]), np.array([0]), np.array([0])], wide[None], np.zeros((1, n + 4), dtype=bool), src, others, t)
+    assert (row.tolist(), at.tolist()) == ([0], [7]) and len(calls) <= 2
+
+
+@pytest.mark.parametrize("places", [substring_dedup.CLASS_PLACES, 500])
+def test_classes_of_many_documents_are_told_apart_together(monkeypatch, places):
+    import pyarrow as pa
+
+    t, rng, calls = 46, np.random.default_rng(5), []
+    rows = []
+    for i in range(200):
+        c = int(rng.integers(0, 300))
+        place = np.arange(max(0, c - t), c + t + substring_dedup.ANCHOR)
+        h = place - c + (0 if i % 3 else 10_000 * i)
+        on = rng.random(len(place)) < 0.97
+        rows.append({"doc_id": i, "variant": i % 2, "asked": [{"sig": 5, "c": c}, {"sig": 6, "c": c + 1}], "got": [{"place": int(p), "h": int(x)} for p, x in zip(place[on], h[on], strict=True)]})
+    item = lambda *names: pa.list_(pa.struct([(x, pa.int64()) for x in names]))
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("variant", pa.int64()), ("asked", item("sig", "c")), ("got", item("place", "h"))]))
+    result = lambda b: [r for x in substring_dedup.class_rows(b, t) for r in x.to_pylist()]
+    single = [r for k in range(len(batch)) for r in result(batch.slice(k, 1))]
+    assert len(single) > 300
+    mix = substring_dedup.mix
+    monkeypatch.setattr(substring_dedup, "mix", lambda x: calls.append(1) or mix(x))
+    monkeypatch.setattr(substring_dedup, "CLASS_PLACES", places)
+    assert result(batch) == single
+    assert places == 500 or len(calls) <= 2 * (2 * t + substring_dedup.ANCHOR)
